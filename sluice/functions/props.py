@@ -122,3 +122,12 @@ def parallel_memory(prop: int, threads: int, memory_limit: int) -> int:
     per = block + block + block // 16 + _IN_BUFFER_WORKER + (1 << 16)
     n = admitted(threads, memory_limit, per, threads)
     return size + _IN_BUFFER_SERIAL + (n * per if n > 1 else 0)
+
+
+def encoder_memory(settings: Settings, block_size: int = 0) -> int:
+    """About what one encoding task takes: the match finder's tables over the dictionary, the block and its output."""
+    r = settings.resolved()
+    tree = MATCH_FINDERS[r.match_finder][0]
+    tables = r.dict_size * (8 if tree else 4) + min(1 << 26, r.dict_size * 2)
+    block = block_size or r.dict_size
+    return r.dict_size + tables + 2 * block + (block >> 10) + (1 << 20)

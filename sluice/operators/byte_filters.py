@@ -332,14 +332,14 @@ def bcj2_encode(src: bytes, relat_limit: int = RELAT_LIMIT, file_size: int | Non
     at, prev, n = 0, 0, len(src)
     marks = _branch_marks(src)
     k = 0
-    while True:
+    while at < n:
         while k < len(marks) and marks[k] < at:
             k += 1
         # a byte right after a converted target has the target's last byte before it
         nxt = marks[k] if k < len(marks) else n
-        if at < n and prev == 0x0F and src[at] & 0xF0 == 0x80 and at < nxt:
+        if prev == 0x0F and src[at] & 0xF0 == 0x80:
             nxt = at
-        elif nxt == at and not _is_branch(prev, src[at] if at < n else 0):
+        elif nxt == at and not _is_branch(prev, src[at]):
             main.append(src[at])
             prev = src[at]
             at += 1

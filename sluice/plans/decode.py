@@ -248,3 +248,41 @@ def encode_files(rows: DataFrame, encoder: codec.Encoder | None = None, key: str
 
     every = rows.select(F.col(key).cast("string").alias("_key")).distinct().join(parts, "_key", "left")
     return every.select("_key", "p").mapInArrow(put, f"`{key}` string, data binary")
+
+
+def with_checks(pieces: DataFrame, plan) -> DataFrame:
+    """Adds `segments`: the checks of each piece as a ChecksumPlan cuts the output, in the task that decoded it."""
+    from sluice.functions.columns import segments
+
+    return pieces.withColumn("segments", segments(F.col("out_offset"), F.col("data"), plan))
+
+
+def block_counts(blocks: DataFrame) -> DataFrame:
+    """path, streams, blocks, parallel: whether a file is one stream of several blocks. From metadata only."""
+    counted = blocks.where("error is null").groupBy("path").agg((F.max("stream_no") + 1).alias("streams"), F.count("*").alias("blocks"))
+    return counted.withColumn("parallel", (F.col("streams") == 1) & (F.col("blocks") > 1))
+
+
+def observed(pieces: DataFrame, name: str = "decode") -> DataFrame:
+    """pieces, reporting bytes, pieces and errors of the run to Observation or a streaming listener as `name`."""
+    return pieces.observe(name, F.sum(F.octet_length("data")).alias("bytes"), F.count("*").alias("pieces"), F.count("error").alias("errors"))
+
+
+def encode_lzma2_files(rows: DataFrame, encoder: codec.Encoder | None = None, key: str = "path", content: str = "content") -> DataFrame:
+    """One raw LZMA2 stream per row from blocks that are encoded in parallel: key, prop, data."""
+    from sluice.operators.relational import cut_blocks
+
+    enc = encoder or codec.Encoder(block_size=1 << 20)
+    prop = xz.prop_from_dict_size(enc.dict_size)
+    blocks = cut_blocks(rows.select(F.col(key).cast("string").alias("_key"), content), enc.block_size or 2**31 - 1, content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [codec.lzma2_encode(d, enc)[1][:-1] for d in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["_key", "block_no", "raw"])
+
+    parts = blocks.select("_key", "block_no", "block").repartition("_key", "block_no").mapInArrow(run, "_key string, block_no int, raw binary")
+    whole = parts.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("block_no", "raw"))).alias("p"))
+    every = rows.select(F.col(key).cast("string").alias("_key")).distinct().join(whole, "_key", "left")
+    joined = F.concat(F.unhex(F.array_join(F.transform(F.coalesce("p", F.array().cast("array<struct<block_no:int,raw:binary>>")), lambda x: F.hex(x["raw"])), "")), F.unhex(F.lit("00")))
+    return every.select(F.col("_key").alias(key), F.lit(prop).alias("prop"), joined.alias("data"))
