@@ -133,9 +133,9 @@ def q_split_points(spark, sf):
     f"WITH k AS (SELECT {_T32} AS t), b AS (SELECT item_id, {_B.format('text')} AS b FROM benchmark), "
     "p AS (SELECT item_id, b, (sum(len(b)) OVER (ORDER BY item_id) - len(b))::BIGINT AS o FROM b), "
     "w AS (SELECT item_id, o, lead(o, 3) OVER (ORDER BY item_id) AS e FROM p), "
-    "r AS (SELECT item_id, 'tiled' AS kind, o AS offset, e - o AS len FROM w WHERE e IS NOT NULL UNION ALL SELECT item_id, 'late', o + 1, e - o - 1 FROM w WHERE e IS NOT NULL UNION ALL SELECT item_id, 'none', o, 0 FROM w WHERE e IS NOT NULL), "
-    "f AS (SELECT r.item_id, r.kind, r.offset, r.len, flatten(list(p.b ORDER BY p.o)) AS b FROM r JOIN p ON p.item_id BETWEEN r.item_id AND r.item_id + 2 GROUP BY ALL) "
-    f"SELECT item_id, kind, offset AS \"offset\", len AS \"len\", CASE kind WHEN 'none' THEN '00000000' WHEN 'tiled' THEN lpad(upper(to_hex({_crc32_sql('b')})), 8, '0') END AS crc FROM f, k"
+    "r AS (SELECT item_id, 'tiled' AS kind, o AS \"offset\", e - o AS \"len\" FROM w WHERE e IS NOT NULL UNION ALL SELECT item_id, 'late', o + 1, e - o - 1 FROM w WHERE e IS NOT NULL UNION ALL SELECT item_id, 'none', o, 0 FROM w WHERE e IS NOT NULL), "
+    "f AS (SELECT r.item_id, r.kind, r.\"offset\", r.\"len\", flatten(list(p.b ORDER BY p.o)) AS b FROM r JOIN p ON p.item_id BETWEEN r.item_id AND r.item_id + 2 GROUP BY ALL) "
+    f'SELECT item_id, kind, f."offset" AS "offset", f."len" AS "len", ' + f"CASE kind WHEN 'none' THEN '00000000' WHEN 'tiled' THEN lpad(upper(to_hex({_crc32_sql('b')})), 8, '0') END AS crc FROM f, k"
 )
 def q_folder_range(spark, sf):
     from pyspark.sql.window import Window

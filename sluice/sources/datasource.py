@@ -257,7 +257,8 @@ class _Writer(DataSourceWriter):
 
 
 class XzStreamReader(SimpleDataSourceStreamReader):
-    """Files that appear under the path, a number of them per batch; each is decoded whole when it is listed."""
+    """Files that appear under the path, maxFilesPerTrigger of them per batch; each is decoded whole when it is listed,
+    by the driver. For small files; for large ones stream the paths and use plans.decode."""
 
     def __init__(self, options: dict):
         self.options = {**options}
@@ -276,7 +277,7 @@ class XzStreamReader(SimpleDataSourceStreamReader):
 
     def read(self, start):
         new = [f for f in files_under(self.options["path"], ".xz") if f > start["after"]][: self.most]
-        return (x for f in new for x in self._rows(f)), {"after": new[-1] if new else start["after"]}
+        return iter([x for f in new for x in self._rows(f)]), {"after": new[-1] if new else start["after"]}
 
     def readBetweenOffsets(self, start, end):
         return (x for f in files_under(self.options["path"], ".xz") if start["after"] < f <= end["after"] for x in self._rows(f))
