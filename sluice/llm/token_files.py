@@ -54,7 +54,7 @@ class ByteBpe:
     """Encodes with a tokenizer file of the tokenizers library. A space between two characters that aren't white
     space always begins a pre-token, so the pieces between such spaces are encoded once and remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,6 +65,8 @@ class ByteBpe:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.most = most
+        alone = self.tok.encode("\n", add_special_tokens=False).ids
+        self.newline = alone[0] if len(alone) == 1 else None
         self.known: dict = {}
         self.first: dict = {}
 
@@ -77,9 +79,16 @@ class ByteBpe:
             into.clear()
             new = list(words)
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        one_line = [w for w in plain if "\n" not in w] if lead and self.newline is not None else []
+        if one_line:
+            # one call for all: a line break after a word and before a space is a pre-token, and here a token, of its own
+            ids = np.array(self.tok.encode_batch_fast(["".join([f"{lead}{w}\n" for w in one_line])], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == self.newline) * self.width
+            raw = ids.tobytes()
+            into.update(zip(one_line, [raw[a:b] for a, b in zip([0, *(ends[:-1] + self.width).tolist()], ends.tolist(), strict=True)], strict=True))
+            plain = [w for w in plain if "\n" in w]
         into.update(zip(plain, self._encode([lead + w for w in plain]), strict=True))
-        if len(plain) < len(new):
-            into.update((w, None) for w in set(new).difference(plain))
+        into.update((w, None) for w in new if w not in into)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
