@@ -15,8 +15,8 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(ascii_lower(text), "\n"), trimmed)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `text` deduplicated, and `n_lines`, `n_dropped` (long).
+def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, key: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+    """docs with `text` deduplicated, and with counts `n_lines`, `n_dropped` (long), in place of columns of that name.
 
     A line whose key has `min_chars` code points and is in `min_docs` documents or more stays only in the
     smallest id that has it. Null texts count as empty; null ids as one document before all others. Rows of
@@ -25,37 +25,35 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, key: st
     Only (hash, id, position) is shuffled for counting, pre-aggregated by hash; a hot line is one row per
     task there, and in the join back AQE splits it. Texts move once, to meet the positions to drop.
     """
-    rows = docs.withColumns({"_text": F.coalesce(F.col(text), F.lit("")), "_id": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))})
-    rows = rows.withColumn("_of", F.xxhash64("_text"))
+    rows = docs.withColumns({"__text": F.coalesce(F.col(text), F.lit("")), "__id": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))})
+    rows = rows.withColumn("__of", F.xxhash64("__text"))
     lines = (
-        rows.select("_id", "_of", F.posexplode(line_keys(F.col("_text"))).alias("_pos", "_key"))
-        .where(F.length("_key") >= min_chars)
-        .select("_id", "_of", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
+        rows.select("__id", "__of", F.posexplode(line_keys(F.col("__text"))).alias("__pos", "__key"))
+        .where(F.length("__key") >= min_chars)
+        .select("__id", "__of", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(7), "__key").alias("__h2"))
     )
-    counted = lines.groupBy("_h1", "_h2")
+    counted = lines.groupBy("__h1", "__h2")
     if min_docs == 2:
-        shared = counted.agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first <> _last")
+        shared = counted.agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first <> __last")
     else:
-        once = lines.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one"))
-        shared = once.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.sum("_one").alias("_n")).where(F.col("_n") >= min_docs)
+        once = lines.groupBy("__h1", "__h2", "__id").agg(F.lit(1).alias("__one"))
+        shared = once.groupBy("__h1", "__h2").agg(F.min("__id").alias("__first"), F.sum("__one").alias("__n")).where(F.col("__n") >= min_docs)
     drops = (
-        lines.join(shared.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
-        .where("_id <> _first")
-        .groupBy("_id", "_of")
-        .agg(F.collect_set("_pos").alias("_drop"))
+        lines.join(shared.select("__h1", "__h2", "__first"), ["__h1", "__h2"])
+        .where("__id <> __first")
+        .groupBy("__id", "__of")
+        .agg(F.collect_set("__pos").alias("__drop"))
     )
-    got = rows.join(drops, ["_id", "_of"], "left")
-    split = F.split(F.col("_text"), "\n")
+    got = rows.join(drops, ["__id", "__of"], "left")
+    split = F.split(F.col("__text"), "\n")
     n = F.size(split)
     kept = F.transform(
-        F.array(split), lambda line: F.transform(F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_drop"))), lambda i: F.get(line, i))
+        F.array(split), lambda line: F.transform(F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__drop"))), lambda i: F.get(line, i))
     )[0]
-    out = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
-    return got.select(
-        *[out.alias(c) if c == text else F.col(c) for c in docs.columns],
-        n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    out = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
+    added = [n.cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped")] if counts else []
+    kept_columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    return got.select(*[out.alias(c) if c == text else F.col(c) for c in kept_columns], *added)
 
 
 def op10_line_dedup(spark, sf_dir):

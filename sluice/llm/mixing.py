@@ -191,16 +191,16 @@ def mixed_documents(docs: DataFrame, weights: Mapping[str | None, float] | None
 
     plan = mix_plan(docs, weights, key=key, text=text, source=source, **options).where("taken > 0")
     geometry = ["size", "offset", "shard_size", "blocks", "base", "extra", "step", "start"]
-    plan = plan.select(F.col(key).alias("_k"), F.col(source).alias("_s"), *[F.col(g).alias(f"_{g}") for g in geometry])
-    plan = plan.dropDuplicates(["_k", "_s", "_size"])
-    sized = docs.withColumn("_n", n_words(F.col(text)))
-    joined = sized.join(plan, sized[key].eqNullSafe(plan["_k"]) & sized[source].eqNullSafe(plan["_s"]) & (sized["_n"] == plan["_size"])).drop("_k", "_s", "_n")
+    plan = plan.select(F.col(key).alias("__k"), F.col(source).alias("__s"), *[F.col(g).alias(f"__{g}") for g in geometry])
+    plan = plan.dropDuplicates(["__k", "__s", "__size"])
+    sized = docs.withColumn("__n", n_words(F.col(text)))
+    joined = sized.join(plan, sized[key].eqNullSafe(plan["__k"]) & sized[source].eqNullSafe(plan["__s"]) & (sized["__n"] == plan["__size"])).drop("__k", "__s", "__n")
     out = docs.schema
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            geo = list(zip(*[batch.column(batch.schema.get_field_index(f"_{g}")).to_pylist() for g in geometry], strict=True))
+            geo = list(zip(*[batch.column(batch.schema.get_field_index(f"__{g}")).to_pylist() for g in geometry], strict=True))
             rows, texts = [], []
             for n, (t, g) in enumerate(zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), geo, strict=True)):
                 spans = None
