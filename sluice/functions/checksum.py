@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -27,10 +28,10 @@ def crc_table(width: int) -> list[int]:
 
 
 _T64 = crc_table(64)
-_LANES = 256
 
 
-def _gf2_shift(width: int, n_bytes: int) -> list[int]:
+@lru_cache(maxsize=256)
+def _gf2_shift(width: int, n_bytes: int) -> tuple[int, ...]:
     """Columns of the matrix that appends n_bytes zero bytes to a raw CRC state."""
     one = [POLY[width], *(1 << i for i in range(width - 1))]
     square = lambda m: [_times(m, c) for c in m]
@@ -39,9 +40,10 @@ def _gf2_shift(width: int, n_bytes: int) -> list[int]:
     while n_bytes:
         if n_bytes & 1:
             out = [_times(step, c) for c in out]
-        step = square(step)
         n_bytes >>= 1
-    return out
+        if n_bytes:
+            step = square(step)
+    return tuple(out)
 
 
 def _times(matrix: Sequence[int], vector: int) -> int:
@@ -67,29 +69,57 @@ def crc64_combine(a: int, b: int, len_b: int) -> int:
     return combine(64, a, b, len_b)
 
 
-def _crc64_plain(data: bytes, state: int) -> int:
-    for x in data:
-        state = _T64[(state ^ x) & 255] ^ state >> 8
-    return state
+def crc64_xz(data: bytes) -> int:
+    return crc64_many([data])[0]
+
+
+def crc64_many(values: Sequence[bytes]) -> list[int]:
+    """CRC-64/XZ of each value. Values are cut into segments that advance together, a byte of each at a time, and
+    are then combined; segments are as short as gives about 2,048 of them."""
+    total = sum(map(len, values))
+    if total < 4096:
+        return [_crc64_plain(v) for v in values]
+    length = 1 << min(14, max(6, (total // 2048).bit_length()))
+    starts, sizes, firsts, at = [], [], [], 0
+    for v in values:
+        firsts.append(len(starts))
+        n = len(v)
+        # the odd piece comes first, so that every later one is `length` long
+        head = n % length or min(n, length)
+        for k in [0, *range(head, n, length)] if n else []:
+            starts.append(at + k)
+            sizes.append(head if k == 0 else length)
+        at += n
+    firsts.append(len(starts))
+    data = np.frombuffer(b"".join(values), np.uint8)
+    start, size = np.array(starts, np.int64), np.array(sizes, np.int64)
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    state = np.zeros(len(start), np.uint64)
+    opening = np.zeros(len(start), bool)
+    opening[[f for f, g in zip(firsts, firsts[1:], strict=False) if g > f]] = True
+    state[opening[order]] = np.uint64(2**64 - 1)
+    active = len(size) - np.searchsorted(size[::-1], np.arange(1, int(size[0]) + 1), side="left")
+    table, eight, low = np.array(_T64, np.uint64), np.uint64(8), np.uint64(255)
+    for t, n in enumerate(active.tolist()):
+        s = state[:n]
+        state[:n] = table[((s ^ data[start[:n] + t]) & low).astype(np.int64)] ^ (s >> eight)
+    done = np.empty_like(state)
+    done[order] = state
+    parts, shift, out = done.tolist(), _gf2_shift(64, length), []
+    for a, b in zip(firsts, firsts[1:], strict=False):
+        crc = parts[a] if b > a else 2**64 - 1
+        for x in parts[a + 1 : b]:
+            crc = _times(shift, crc) ^ x
+        out.append(crc ^ 2**64 - 1)
+    return out
 
 
-def crc64_xz(data: bytes) -> int:
-    """Short data byte by byte; long data in lanes that advance together and are then combined."""
-    n = len(data)
-    if n < 8 * _LANES:
-        return _crc64_plain(data, 2**64 - 1) ^ 2**64 - 1
-    width = n // _LANES
-    body = np.frombuffer(data, np.uint8, width * _LANES).reshape(_LANES, width).T.copy()
-    table, state = np.array(_T64, np.uint64), np.zeros(_LANES, np.uint64)
-    state[0] = np.uint64(2**64 - 1)
-    eight = np.uint64(8)
-    for row in body:
-        state = table[((state ^ row) & np.uint64(255)).astype(np.int64)] ^ (state >> eight)
-    shift = _gf2_shift(64, width)
-    total = 0
-    for s in state.tolist():
-        total = _times(shift, total) ^ s
-    return _crc64_plain(bytes(data[width * _LANES :]), total) ^ 2**64 - 1
+def _crc64_plain(data: bytes) -> int:
+    state = 2**64 - 1
+    for x in data:
+        state = _T64[(state ^ x) & 255] ^ state >> 8
+    return state ^ 2**64 - 1
 
 
 def crc64_hex(value: int) -> str:

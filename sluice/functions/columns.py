@@ -88,7 +88,12 @@ _STRUCTS = {
 _DDL = {"bcj2": "main binary, call binary, jump binary, rc binary", "lzma2": "prop int, data binary", "segments": "array<struct<offset:long,len:long,crc32:long,crc64_hex:string>>"}
 # fmt: off
 def crc64_hex(content: Column) -> Column:
-    return _each("string", lambda x: cs.crc64_hex(cs.crc64_xz(x)), content)
+    def run(values: pa.Array) -> pa.Array:
+        rows = values.to_pylist()
+        found = iter(cs.crc64_many([v for v in rows if v is not None]))
+        return pa.array([None if v is None else cs.crc64_hex(next(found)) for v in rows], pa.string())
+
+    return arrow_udf(run, returnType="string")(content)
 
 
 def crc32_combine(a: Column, b: Column, len_b: Column) -> Column:
