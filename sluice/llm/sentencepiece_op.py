@@ -19,7 +19,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -28,59 +27,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.runtime import documents
+from sluice.llm.token_files import groups
 
 SPACE = "▁"
+#: Probabilities are drawn in units of 1 / _GRAIN.
+_GRAIN = 1 << 30
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def hashed(codes: np.ndarray, start: np.ndarray, length: int, so_far: np.ndarray | None) -> np.ndarray:
+    """Rolling hash of the `length` code points from each start on, given that of one code point less."""
+    with np.errstate(over="ignore"):
+        last = codes[start + length - 1]
+        return last if so_far is None else so_far * _BASE + last
+
+
+def slot(h: np.ndarray, length: int, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (h + np.uint64(length * 0x9E3779B97F4A7C15 & 2**64 - 1) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _SLOT_BITS)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_BITS = 20
+
+
 class Model:
-    """A SentencePiece file: best encoding by the library, piece scores for the lattice."""
+    """A SentencePiece file: the library's encoding, the pieces in hash tables, their scores for the lattice."""
 
     def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.sp.get_piece_size()
-        self.piece = {}
-        self.longest = 1
         self.byte = [0] * 256
-        score = []
+        pieces: dict[int, list[tuple[str, int]]] = {}
         for i in range(n):
             p = self.sp.id_to_piece(i)
             if self.sp.is_byte(i):
                 self.byte[int(p[3:5], 16)] = i
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
-                self.piece[p] = i
-                self.longest = max(self.longest, len(p))
+                pieces.setdefault(len(p), []).append((p, i))
+        self.longest = max(pieces)
         total = np.log(np.sum(1.0 / (np.arange(n) + 2.7)))
-        score = alpha * (-np.log(np.arange(n) + 2.7) - total)
-        self.score = score.tolist()
-
-    def edges(self, chunk: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """At each position (next position, piece ids, score). A character that is no piece is its bytes."""
-        out = []
-        n, piece, score = len(chunk), self.piece, self.score
-        for i in range(n):
-            here = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = piece.get(chunk[i:j])
-                if p is not None:
-                    here.append((j, (p,), score[p]))
-            if not here or here[0][0] != i + 1:
-                raw = tuple(self.byte[b] for b in chunk[i].encode("utf-8", "surrogatepass"))
-                here.insert(0, (i + 1, raw, sum(score[p] for p in raw)))
-            out.append(here)
+        self.score = alpha * (-np.log(np.arange(n) + 2.7) - total)
+        # two tables: a piece whose slot in the first is taken goes to the second, and what is left to a dictionary
+        self.tables = [(np.full(1 << _SLOT_BITS, -1, np.int32), np.zeros(1 << _SLOT_BITS, np.uint64)) for _ in range(2)]
+        self.rest: dict[tuple[int, int], int] = {}
+        for length, items in pieces.items():
+            codes = np.array([[ord(c) for c in p] for p, _ in items], np.uint64)
+            h = None
+            for k in range(1, length + 1):
+                h = hashed(codes.ravel(), np.arange(len(items)) * length, k, h)
+            places = [slot(h, length, salt).tolist() for salt in (0, 1)]
+            for k, (_, i) in enumerate(items):
+                for (ids, keys), at in zip(self.tables, (places[0][k], places[1][k]), strict=True):
+                    if ids[at] < 0:
+                        ids[at], keys[at] = i, h[k] ^ np.uint64(length)
+                        break
+                else:
+                    self.rest[(length, int(h[k]))] = i
+
+    def find(self, h: np.ndarray, length: int) -> np.ndarray:
+        """Piece with this hash and length, or -1."""
+        key = h ^ np.uint64(length)
+        out = np.full(len(h), -1, np.int32)
+        for salt, (ids, keys) in enumerate(self.tables):
+            at = slot(h, length, salt)
+            out = np.where((out < 0) & (keys[at] == key), ids[at], out)
+        for (n, value), i in self.rest.items():
+            if n == length:
+                out[h == np.uint64(value)] = i
         return out
 
 
 class Lattices:
-    """Chunk -> its state at position 0. Each state's outgoing edges lie side by side in flat arrays; `cum` adds
-    the state's number to the cumulative probability, so one binary search draws for many states at once.
+    """Chunk -> its state at position 0. Each state's outgoing edges lie side by side in flat arrays, longest piece
+    first; `cum` is their cumulative probability in units of 1 / _GRAIN.
 
-    Holds about `most_edges` edges; then it starts anew, so memory stays bounded.
+    Many chunks are built at once, position by position from their ends. Holds about `most_edges` edges; then it
+    starts anew, so memory stays bounded.
     """
 
-    def __init__(self, model: Model, most_edges: int = 2_000_000):
+    def __init__(self, model: Model, most_edges: int = 4_000_000):
         self.model, self.most = model, most_edges
         self.clear()
 
@@ -88,25 +117,25 @@ class Lattices:
         self.start: dict[str, int] = {}
         self.best: dict[str, bytes] = {}
         self.several: list[tuple[int, ...]] = []  # pieces of edges that are more than one piece
-        self.n = {"cum": 0, "logp": 0, "to": 0, "piece": 0, "first": 0}
-        self.held = {"cum": np.empty(1 << 12), "logp": np.empty(1 << 12), "to": np.empty(1 << 12, np.int64), "piece": np.empty(1 << 12, np.int64), "first": np.empty(1 << 12, np.int64)}
-
-    def learn(self, chunks: list[str]) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in self.start]
+        self.bytes_of: dict[int, int] = {}
+        self.kinds = {"cum": np.int32, "logp": np.float64, "to": np.int32, "piece": np.int32, "first": np.int32, "count": np.int32}
+        self.n = dict.fromkeys(self.kinds, 0)
+        self.held = {k: np.empty(1 << 12, t) for k, t in self.kinds.items()}
+
+    def learn(self, chunks) -> None:
+        wanted = dict.fromkeys(chunks)
+        new = [c for c in wanted if c not in self.start]
         if not new:
             return
         if self.n["cum"] > self.most:
             self.clear()
-            new = list(dict.fromkeys(chunks))
+            new = list(wanted)
         for c, ids in zip(new, self.encoded(new), strict=True):
             self.best[c] = np.array(ids, "<u4").tobytes()
-        more: dict[str, list] = {k: [] for k in self.n}
-        for c in new:
-            self._add(c, more)
-        for k, v in more.items():
+        for k, v in self._built(new).items():
             have, need = self.n[k], self.n[k] + len(v)
             if need > len(self.held[k]):
-                self.held[k] = np.concatenate([self.held[k][:have], np.empty(2 * need - have, self.held[k].dtype)])
+                self.held[k] = np.concatenate([self.held[k][:have], np.empty(2 * need - have, self.kinds[k])])
             self.held[k][have:need] = v
             self.n[k] = need
 
@@ -116,65 +145,125 @@ class Lattices:
         found = self.model.sp.encode([c[1:] for c in chunks], num_threads=1)
         return [ids if c != SPACE else [self.model.sp.piece_to_id(SPACE)] for c, ids in zip(chunks, found, strict=True)]
 
-    def _add(self, chunk: str, more: dict[str, list]) -> None:
-        edges = self.model.edges(chunk)
-        n = len(edges)
-        beta = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            x = [s + beta[j] for j, _, s in edges[i]]
-            if len(x) == 1:
-                beta[i] = x[0]
+    def _byte_edge(self, code: int) -> int:
+        """Piece of a character that is none itself: its byte, or the number (negative) of an edge of several bytes."""
+        if code < 128:
+            return self.model.byte[code]
+        if code not in self.bytes_of:
+            self.several.append(tuple(self.model.byte[b] for b in chr(code).encode("utf-8", "surrogatepass")))
+            self.bytes_of[code] = -len(self.several)
+        return self.bytes_of[code]
+
+    def _built(self, chunks: list[str]) -> dict[str, np.ndarray]:
+        m = self.model
+        size = np.array([len(c) for c in chunks], np.int64)
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        which = np.repeat(np.arange(len(chunks)), size)
+        end = np.cumsum(size)[which]
+        place = np.arange(len(codes))
+        left = end - place  # code points to the chunk's end
+        src, length, piece = [], [], []
+        at, h = place, None
+        for k in range(1, min(m.longest, int(size.max())) + 1):
+            on = left[at] >= k
+            at, h = at[on], None if h is None else h[on]
+            h = hashed(codes, at, k, h)
+            ids = m.find(h, k)
+            if k == 1:
+                for p in np.flatnonzero(ids < 0).tolist():
+                    ids[p] = self._byte_edge(int(codes[p]))
+                hit = np.arange(len(at))
             else:
-                top = max(x)
-                beta[i] = top + log(sum([exp(y - top) for y in x]))
-        base, at = self.n["first"] + len(more["first"]), self.n["cum"]
-        cum, logp, to, piece = more["cum"], more["logp"], more["to"], more["piece"]
-        self.start[chunk] = base
-        for i, here in enumerate(edges):
-            state, total = base + i, 0.0
-            more["first"].append(at + len(cum))
-            for j, ids, s in here:
-                lp = min(0.0, s + beta[j] - beta[i])
-                total += exp(lp)
-                cum.append(state + min(total, 1.0))
-                logp.append(lp)
-                to.append(base + j if j < n else -1)
-                if len(ids) == 1:
-                    piece.append(ids[0])
-                else:
-                    self.several.append(ids)
-                    piece.append(-len(self.several))
-            cum[-1] = state + 1.0
-
-    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n = self.n["cum"]
-        first = self.held["first"]
-        if self.n["first"] == len(first):
-            first = self.held["first"] = np.concatenate([first, np.empty(len(first) + 1, np.int64)])
-        first[self.n["first"]] = n
-        return self.held["cum"][:n], self.held["logp"][:n], self.held["to"][:n], first[: self.n["first"] + 1]
+                hit = np.flatnonzero(ids >= 0)
+            src.append(at[hit])
+            length.append(np.full(len(hit), k))
+            piece.append(ids[hit])
+        src, length, piece = np.concatenate(src), np.concatenate(length), np.concatenate(piece)
+        order = np.lexsort((-length, src, left[src]))
+        src, length, piece = src[order], length[order], piece[order]
+        score = np.where(piece >= 0, m.score[np.maximum(piece, 0)], 0.0)
+        for e in np.flatnonzero(piece < 0).tolist():
+            score[e] = sum(m.score[i] for i in self.several[-piece[e] - 1])
+        # edges now lie by distance to the end, so all that an edge leads to is done before it
+        opens = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
+        counts = np.diff(np.concatenate([opens, [len(src)]]))
+        state, state_left = src[opens], left[src[opens]]
+        beta = np.zeros(len(codes) + 1)
+        last = left[src] == length
+        x = np.empty(len(src))
+        bounds = np.searchsorted(state_left, np.arange(1, int(state_left[-1]) + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            e0, e1 = opens[a], opens[b - 1] + counts[b - 1]
+            v = score[e0:e1] + np.where(last[e0:e1], 0.0, beta[src[e0:e1] + length[e0:e1]])
+            starts, n = opens[a:b] - e0, counts[a:b]
+            top = np.maximum.reduceat(v, starts)
+            total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, n)), starts))
+            beta[state[a:b]] = total
+            x[e0:e1] = np.minimum(0.0, v - np.repeat(total, n))
+        p, cum = np.exp(x), np.zeros(len(src))
+        for rank in range(int(counts.max())):
+            on = opens[counts > rank] + rank
+            cum[on] = p[on] + (cum[on - 1] if rank else 0.0)
+        grain = np.minimum(np.rint(cum * _GRAIN), _GRAIN).astype(np.int32)
+        grain[opens + counts - 1] = _GRAIN
+        base, edges = self.n["first"], self.n["cum"]
+        first, count = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+        first[state], count[state] = edges + opens, counts
+        begin = (base + np.cumsum(size) - size).tolist()
+        self.start.update(zip(chunks, begin, strict=True))
+        return {"cum": grain, "logp": x, "to": np.where(last, -1, base + src + length), "piece": piece, "first": first, "count": count}
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(self.held[k] for k in ("cum", "logp", "to", "first", "count"))
 
     def pieces(self, edges: np.ndarray) -> np.ndarray:
         found = self.held["piece"][edges]
         if len(found) and found.min() < 0:
             return np.array([i for e in found.tolist() for i in ((e,) if e >= 0 else self.several[-e - 1])], np.int32)
-        return found.astype(np.int32)
+        return found
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """64 random-looking bits for each number; a draw is named by what it is for, so any order of work gives it."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def named(seed: int, what: int, index: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        base = scrambled(np.array([(seed + what * 0x9E3779B97F4A7C15) & 2**64 - 1], np.uint64))
+        return scrambled(base + index.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def walk(states: np.ndarray, flat, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draws a path from each state to its chunk's end. (chunk, state, edge) of all steps in path order."""
-    cum, _, to, first = flat
-    at, who = states, np.arange(len(states))
+def uniform(bits: np.ndarray) -> np.ndarray:
+    """In (0, 1)."""
+    return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+
+
+def walk(states: np.ndarray, keys: np.ndarray, flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Draws a path from each state to its chunk's end, with the key's draws. (index of the state that it began
+    with, state, edge) of all steps, path by path."""
+    cum, _, to, first, _ = flat
+    at, who, step = states, np.arange(len(states)), 0
     chunk, state, edge = [], [], []
     while len(at):
-        e = np.searchsorted(cum, at + rng.random(len(at)), side="right")
-        e = np.minimum(np.maximum(e, first[at]), first[at + 1] - 1)
+        with np.errstate(over="ignore"):
+            u = (scrambled(keys + np.uint64(step * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> np.uint64(34)).astype(np.int32)
+        e = first[at]
+        on = np.flatnonzero(cum[e] <= u)
+        while len(on):
+            e[on] += 1
+            on = on[cum[e[on]] <= u[on]]
         chunk.append(who)
         state.append(at)
         edge.append(e)
         at = to[e]
         on = at >= 0
-        at, who = at[on], who[on]
+        at, who, keys, step = at[on], who[on], keys[on], step + 1
     if not chunk:
         return (np.empty(0, np.int64),) * 3
     chunk, state, edge = np.concatenate(chunk), np.concatenate(state), np.concatenate(edge)
@@ -182,57 +271,96 @@ def walk(states: np.ndarray, flat, rng: np.random.Generator) -> tuple[np.ndarray
     return chunk[order], state[order], edge[order]
 
 
-def truncated(location: np.ndarray, most: float, rng: np.random.Generator) -> np.ndarray:
+def truncated(location: np.ndarray, most: float, u: np.ndarray) -> np.ndarray:
     """Gumbel(location) variables given that they are below `most`."""
-    u = rng.random(len(location))
-    with np.errstate(divide="ignore", over="ignore"):
-        return -np.logaddexp(-most, -location + np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))) + 0.0
-
-
-def top_k(starts: np.ndarray, flat, k: int, rng: np.random.Generator) -> list[tuple[float, float, np.ndarray]]:
-    """Up to k+1 distinct segmentations, (perturbed score, log-probability, edges), best perturbed first."""
-    _, logp, to, first = flat
-    chunk, state, edge = walk(starts, flat, rng)
-    if not len(edge):
-        return [(0.0, 0.0, edge)]
-    heap, out, n = [], [], 0
-    # a node: bound, path, step at which it parts from the path (-1: the path is drawn already), edges barred there
-    heapq.heappush(heap, (-float(rng.gumbel()), n, (chunk, state, edge), -1, ()))
-    while heap and len(out) <= k:
-        bound, _, (chunk, state, edge), step, barred = heapq.heappop(heap)
-        bound = -bound
-        if step >= 0:
-            s = state[step]
-            choice = np.array([e for e in range(first[s], first[s + 1]) if e not in barred])
-            p = np.exp(logp[choice])
-            e = choice[min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")), len(choice) - 1)]
-            rest = starts[chunk[step] + 1 :]
-            begin = np.concatenate([[to[e]], rest]) if to[e] >= 0 else rest
-            c2, s2, e2 = walk(begin, flat, rng)
-            c2 = c2 + (chunk[step] if to[e] >= 0 else chunk[step] + 1)
-            chunk, state, edge = np.concatenate([chunk[: step + 1], c2]), np.concatenate([state[: step + 1], s2]), np.concatenate([edge[:step], [e], e2])
+    return -np.logaddexp(-most, -location + np.log(-np.log(u)))
+
+
+class Search:
+    """The perturbed A* search of one text: what is popped, what waits."""
+
+    def __init__(self, starts: np.ndarray, seed: int, flat):
+        self.starts, self.seed, self.flat = starts, seed, flat
+        self.heap: list = []
+        self.out: list[tuple[float, float, np.ndarray]] = []
+        self.drawn = 0
+        self.bound = float(-np.log(-np.log(uniform(named(seed, 1, np.zeros(1)))[0])))
+        self.path = self.step = None
+        self.barred: tuple = ()
+
+    def begin(self) -> tuple[np.ndarray, np.ndarray]:
+        """States to walk from, and the keys of the walks; the path up to there is in self.path."""
+        if self.path is None:
+            at, begin = 0, self.starts
+            self.head = None
+        else:
+            _, logp, to, first, count = self.flat
+            chunk, state, edge = self.path
+            t = self.step
+            s = state[t]
+            choice = np.array([e for e in range(first[s], first[s] + count[s]) if e not in self.barred])
+            p = np.cumsum(np.exp(logp[choice]))
+            u = uniform(named(self.seed, 2, np.array([self.drawn])))[0]
+            e = choice[min(int(np.searchsorted(p, u * p[-1], side="right")), len(choice) - 1)]
+            on = to[e] >= 0
+            at = int(chunk[t]) + (not on)
+            begin = np.concatenate([[to[e]], self.starts[at + 1 :]]) if on else self.starts[at:]
+            self.head = np.copy(chunk[: t + 1]), np.copy(state[: t + 1]), np.concatenate([edge[:t], [e]])
+        self.at = at
+        return begin, named(self.seed, 3 + self.drawn, np.arange(at, at + len(begin)))
+
+    def take(self, chunk: np.ndarray, state: np.ndarray, edge: np.ndarray, k: int) -> None:
+        """The walked path: the segmentation is out, and the rest of its node waits, parted by where it leaves the path."""
+        _, logp, _, _, count = self.flat
+        chunk = chunk + self.at
+        if self.head is not None:
+            chunk, state, edge = (np.concatenate([x, y]) for x, y in zip(self.head, (chunk, state, edge), strict=True))
         steps = logp[edge]
-        total = float(steps.sum())
-        out.append((bound, total, edge))
-        if len(out) > k:
-            break
-        low = max(step, 0)
-        before = np.concatenate([[0.0], np.cumsum(steps)[:-1]])[low:]
-        left = -np.expm1(steps[low:])  # the mass that parts from the path at each step
-        if step >= 0:
-            left[0] = max(0.0, left[0] - float(np.exp(logp[list(barred)]).sum()))
-        multiple = first[state[low:] + 1] - first[state[low:]] > 1
-        if step >= 0:
-            multiple[0] = first[state[step] + 1] - first[state[step]] > len(barred) + 1
-        at = np.flatnonzero(multiple & (left > 0))
-        bounds = truncated(before[at] + np.log(left[at]), bound, rng)
-        # only the k best of these can ever be popped
-        for i in np.argsort(-bounds, kind="stable")[: k + 1]:
-            n += 1
-            t = low + int(at[i])
-            bar = (int(edge[t]), *(barred if t == step else ()))
-            heapq.heappush(heap, (-float(bounds[i]), n, (chunk, state, edge), t, bar))
-    return out
+        self.out.append((self.bound, float(steps.sum()), edge))
+        self.drawn += 1
+        low = self.step if self.step is not None else 0
+        before = np.cumsum(steps) - steps
+        left = -np.expm1(steps[low:])  # the mass that leaves the path at each step
+        free = count[state[low:]] > 1
+        if self.step is not None:
+            left[0] = max(0.0, left[0] - float(np.exp(logp[list(self.barred)]).sum()))
+            free[0] = count[state[low]] > len(self.barred) + 1
+        at = np.flatnonzero(free & (left > 0))
+        if len(at):
+            u = uniform(named(self.seed, -self.drawn, at))
+            bounds = truncated(before[low:][at] + np.log(left[at]), self.bound, u)
+            # only the k best of these can ever be popped
+            for i in np.argsort(-bounds, kind="stable")[: k + 1].tolist():
+                t = low + int(at[i])
+                bar = (int(edge[t]), *(self.barred if t == self.step else ()))
+                heapq.heappush(self.heap, (-float(bounds[i]), self.drawn, t, (chunk, state, edge), bar))
+
+    def pop(self) -> bool:
+        if not self.heap:
+            return False
+        bound, _, self.step, self.path, self.barred = heapq.heappop(self.heap)
+        self.bound = -bound
+        return True
+
+
+def top_k(starts: list[np.ndarray], seeds: list[int], flat, k: int) -> list[tuple[list[tuple[float, float, np.ndarray]], float]]:
+    """For each text up to k distinct segmentations (perturbed score, log-probability, edges), best first, and the
+    k+1st perturbed score (-inf if there is none). The texts' walks are done together, sample by sample."""
+    searches = [Search(s, seed, flat) for s, seed in zip(starts, seeds, strict=True)]
+    live = searches
+    for _ in range(k):
+        begun = [x.begin() for x in live]
+        bounds = np.cumsum([0, *(len(b) for b, _ in begun)])
+        if begun:
+            states = np.concatenate([b for b, _ in begun]).astype(np.int64)
+            chunk, state, edge = walk(states, np.concatenate([key for _, key in begun]), flat)
+            cut = np.searchsorted(chunk, bounds)
+            for n, x in enumerate(live):
+                a, b = cut[n], cut[n + 1]
+                x.take(chunk[a:b] - bounds[n], state[a:b], edge[a:b], k)
+        live = [x for x in live if x.pop()]
+    waiting = {id(x) for x in live}
+    return [(x.out, x.bound if id(x) in waiting else -np.inf) for x in searches]
 
 
 def chunks_of(text: str) -> list[str]:
@@ -245,6 +373,12 @@ def _model(path: str, alpha: float) -> Model:
     return Model(path, alpha)
 
 
+@lru_cache(maxsize=2)
+def _lattices(path: str, alpha: float) -> Lattices:
+    """One table per worker process: what it remembers serves all of the process's tasks."""
+    return Lattices(_model(path, alpha))
+
+
 def encode_documents(docs: DataFrame, model: str, *, k: int = 2, alpha: float = 1.0, seed: int = 23, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """Per row: key, ids (the library's best encoding), decoded (equals the text), samples: up to k distinct
     segmentations (ids, log_prob, perturbed, inclusion), seeded by the row's key.
@@ -254,23 +388,23 @@ def encode_documents(docs: DataFrame, model: str, *, k: int = 2, alpha: float =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(model, alpha)
-        lat = Lattices(m)
+        lat = _lattices(model, alpha)
+        m = lat.model
         kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]))
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 200):
+            for at, group in groups(texts):
                 best, same, samples = [], [], []
-                for name, t in zip(keys[at : at + 200], texts[at : at + 200], strict=True):
-                    found = chunks_of(t) if t else []
-                    lat.learn(found)
+                found_of = [chunks_of(t) if t else [] for t in group]
+                lat.learn(c for found in found_of for c in found)
+                flat = lat.flat()
+                seeds = [xxhash.xxh3_64_intdigest(repr(name).encode(), seed=seed) for name in keys[at : at + len(group)]]
+                drawn = top_k([np.array([lat.start[c] for c in found], np.int64) for found in found_of], seeds, flat, k)
+                for t, found, (got, floor) in zip(group, found_of, drawn, strict=True):
                     raw = np.frombuffer(b"".join([lat.best[c] for c in found]), "<u4").astype(np.int32)
                     best.append(raw)
-                    same.append(m.sp.decode(raw.tolist()) == (t or ""))
-                    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(repr(name).encode(), seed=seed))
-                    got = top_k(np.array([lat.start[c] for c in found], np.int64), lat.flat(), k, rng)
-                    floor = got[k][0] if len(got) > k else -np.inf
-                    samples.append([{"ids": lat.pieces(edges), "log_prob": lp, "perturbed": g, "inclusion": float(-np.expm1(-np.exp(min(lp - floor, 700)))) if np.isfinite(floor) else 1.0} for g, lp, edges in got[:k]])
+                    same.append(m.sp.decode(raw.tolist()) == t)
+                    samples.append([{"ids": lat.pieces(edges), "log_prob": lp, "perturbed": g, "inclusion": float(-np.expm1(-np.exp(min(lp - floor, 700)))) if np.isfinite(floor) else 1.0} for g, lp, edges in got])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(best)), pa.array(best, pa.list_(pa.int32())), pa.array(same), pa.array(samples, kind)], names=["_key", "ids", "decoded", "samples"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))

@@ -174,15 +174,15 @@ def test_samples_follow_the_lattice(pieces):
     def paths(at):
         if at < 0:
             return [((), 0.0)]
-        return [((e, *p), flat[1][e] + lp) for e in range(flat[3][at], flat[3][at + 1]) for p, lp in paths(flat[2][e])]
+        return [((e, *p), flat[1][e] + lp) for e in range(flat[3][at], flat[3][at] + flat[4][at]) for p, lp in paths(flat[2][e])]
 
     every = {a + b: x + y for a, x in paths(starts[0]) for b, y in paths(starts[1])}
     assert sum(np.exp(v) for v in every.values()) == pytest.approx(1, abs=1e-6)
     first, both, n = Counter(), Counter(), 6000
     for i in range(n):
-        got = top_k(starts, flat, 2, np.random.default_rng(i))
+        got, floor = top_k([starts], [i * 7919], flat, 2)[0]
         keys = [tuple(e.tolist()) for _, _, e in got]
-        assert len(set(keys)) == len(keys) == min(3, len(every))
+        assert len(set(keys)) == len(keys) == min(2, len(every)) and floor < got[-1][0]
         for (_, lp, _), k in zip(got, keys):
             assert lp == pytest.approx(every[k], abs=1e-6)
         first[keys[0]] += 1
@@ -192,8 +192,11 @@ def test_samples_follow_the_lattice(pieces):
         second = sum(p[j] * p[k] / (1 - p[j]) for j in every if j != k)
         assert first[k] / n == pytest.approx(p[k], abs=0.025)
         assert both[k] / n == pytest.approx(second, abs=0.025)
-    whole = top_k(starts, flat, len(every) + 5, np.random.default_rng(1))
-    assert len(whole) == len(every)
+    whole, floor = top_k([starts], [1], flat, len(every) + 5)[0]
+    assert {tuple(e.tolist()) for _, _, e in whole} == set(every) and len(whole) == len(every) and floor == -np.inf
+    alone = [top_k([starts], [i], flat, 3)[0] for i in range(5)]
+    together = top_k([starts] * 5, list(range(5)), flat, 3)
+    assert [[e.tolist() for _, _, e in a] for a, _ in alone] == [[e.tolist() for _, _, e in a] for a, _ in together]
 
 
 # ---- 4 near duplicates
