@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,12 @@ class ByteBpe:
         return out
 
 
+@lru_cache(maxsize=2)
+def _bpe(path: str) -> ByteBpe:
+    """One encoder per worker process: what it remembers serves all of the process's tasks."""
+    return ByteBpe(path)
+
+
 def groups(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first, texts) in groups of about so many characters; null is empty."""
     at, held, n = 0, [], 0
@@ -123,7 +130,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     files = files or max(1, 2 * docs.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(tokenizer)
+        bpe = _bpe(tokenizer)
         width, end = bytes([bpe.width]), end_id.to_bytes(bpe.width, "little")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
