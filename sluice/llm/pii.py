@@ -309,11 +309,14 @@ def find_spans(docs: DataFrame, field: Field, *, key: str = "doc_id", text: str
 
 
 def training_texts(docs: DataFrame, *, most_docs: int = 4000, most_chars: int = 100_000, share: int = 5, key: str = "doc_id", text: str = "text") -> list[str]:
-    """At most most_docs texts with candidates, of most_chars at most, in the order of a hash of the key: a bounded
-    sample to fit the field on."""
+    """At most most_docs texts with candidates, of most_chars at most, chosen by a hash of the key: a bounded sample to
+    fit the field on."""
     rows = docs.where(F.length(text) <= most_chars).where(F.col(text).rlike("[0-9@]")).where(crc_of_key(F.col(key)) % share == 0)
-    order = F.xxhash64(F.lit(9), key)
-    return [r[0] for r in rows.select(text, order.alias("_o")).orderBy("_o", text).limit(most_docs).select(text).toLocalIterator()]
+    order = F.pmod(F.xxhash64(F.lit(9), key), F.lit(1 << 30))
+    # the share of the hash range that holds about most_docs rows: no task hands on more than its part of them
+    below = int((1 << 30) * most_docs / max(1, rows.count()))
+    got = rows.where(order < below).select(order.alias("_o"), text).limit(2 * most_docs)
+    return [r[1] for r in sorted((r["_o"], r[text]) for r in got.toLocalIterator())][:most_docs]
 
 
 def op7_pii(spark, sf_dir):
