@@ -30,20 +30,16 @@ def crc_table(width: int) -> list[int]:
 _T64 = crc_table(64)
 
 
-@lru_cache(maxsize=256)
-def _gf2_shift(width: int, n_bytes: int) -> tuple[int, ...]:
-    """Columns of the matrix that appends n_bytes zero bytes to a raw CRC state."""
-    one = [POLY[width], *(1 << i for i in range(width - 1))]
-    square = lambda m: [_times(m, c) for c in m]
-    step = square(square(square(one)))
-    out = [1 << i for i in range(width)]
-    while n_bytes:
-        if n_bytes & 1:
-            out = [_times(step, c) for c in out]
-        n_bytes >>= 1
-        if n_bytes:
-            step = square(step)
-    return tuple(out)
+@lru_cache(maxsize=None)
+def _power(width: int, k: int) -> tuple[int, ...]:
+    """Columns of the matrix that appends 2 ** k zero bytes to a raw CRC state."""
+    if k == 0:
+        step = (POLY[width], *(1 << i for i in range(width - 1)))
+        for _ in range(3):
+            step = tuple(_times(step, c) for c in step)
+        return step
+    half = _power(width, k - 1)
+    return tuple(_times(half, c) for c in half)
 
 
 def _times(matrix: Sequence[int], vector: int) -> int:
@@ -58,7 +54,13 @@ def _times(matrix: Sequence[int], vector: int) -> int:
 
 def combine(width: int, a: int, b: int, len_b: int) -> int:
     """CRC of A followed by B, from their CRCs and the length of B."""
-    return _times(_gf2_shift(width, len_b), a) ^ b if len_b else a
+    k = 0
+    while len_b:
+        if len_b & 1:
+            a = _times(_power(width, k), a)
+        len_b >>= 1
+        k += 1
+    return a ^ b if k else a
 
 
 def crc32_combine(a: int, b: int, len_b: int) -> int:
@@ -106,7 +108,7 @@ def crc64_many(values: Sequence[bytes]) -> list[int]:
         state[:n] = table[((s ^ data[start[:n] + t]) & low).astype(np.int64)] ^ (s >> eight)
     done = np.empty_like(state)
     done[order] = state
-    parts, shift, out = done.tolist(), _gf2_shift(64, length), []
+    parts, shift, out = done.tolist(), _power(64, length.bit_length() - 1), []
     for a, b in zip(firsts, firsts[1:], strict=False):
         crc = parts[a] if b > a else 2**64 - 1
         for x in parts[a + 1 : b]:
