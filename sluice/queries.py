@@ -475,7 +475,7 @@ def q_lzma_alone_header(spark, sf):
 
 
 @query(
-    "SELECT i::INTEGER AS check_id, CASE WHEN i = 0 THEN 0 ELSE 4 << ((i - 1) // 3)::INTEGER END AS size, CASE i WHEN 0 THEN 'None' WHEN 1 THEN 'Crc32' WHEN 4 THEN 'Crc64' WHEN 10 THEN 'Sha256' ELSE 'Reserved(' || i || ')' END AS name, i IN (0, 1, 4, 10) AS verifiable FROM range(0, 16) r(i)"
+    "SELECT i::INTEGER AS check_id, CASE WHEN i = 0 THEN 0 ELSE 4 << ((i - 1) // 3)::INTEGER END::BIGINT AS size, CASE i WHEN 0 THEN 'None' WHEN 1 THEN 'Crc32' WHEN 4 THEN 'Crc64' WHEN 10 THEN 'Sha256' ELSE 'Reserved(' || i || ')' END AS name, i IN (0, 1, 4, 10) AS verifiable FROM range(0, 16) r(i)"
 )
 def q_check_types(spark, sf):
     c = F.col("check_id")
