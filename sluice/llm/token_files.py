@@ -55,7 +55,7 @@ class ByteBpe:
     """Encodes with a tokenizer file of the tokenizers library. A space between two characters that aren't white
     space always begins a pre-token, so the pieces between such spaces are encoded once and remembered."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,14 +75,15 @@ class ByteBpe:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, into: dict, words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in into]
+        """Ids of the words, each after `lead`, which are not known yet; None for those with white space at an end."""
+        new = words.difference(into)
         if len(into) + len(new) > self.most:
             into.clear()
-            new = list(words)
+            new = words
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        one_line = [w for w in plain if "\n" not in w] if lead and self.newline is not None else []
+        one_line = [w for w in plain if "\n" not in w] if self.newline is not None else []
         if one_line:
-            # one call for all: a line break after a word and before a space is a pre-token, and here a token, of its own
+            # one call for all: a line break between a word and what follows is a pre-token, and here a token, of its own
             ids = np.array(self.tok.encode_batch_fast(["".join([f"{lead}{w}\n" for w in one_line])], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(ids == self.newline) * self.width
             raw = ids.tobytes()
@@ -91,15 +92,41 @@ class ByteBpe:
         into.update(zip(plain, self._encode([lead + w for w in plain]), strict=True))
         into.update((w, None) for w in new if w not in into)
 
+    def _compose(self, words: set[str]) -> None:
+        """Learns what follows a space. Pre-tokens end between letters and a full stop or comma, and at a line break
+        between two characters that aren't white space, so such words are put together from their parts."""
+        lines: dict[str, list[str]] = {}
+        stems: list[str] = []
+        heads: set[str] = set()
+        rest: set[str] = set()
+        if self.newline is not None:
+            for w in words.difference(self.known):
+                if "\n" in w:
+                    p = w.split("\n")
+                    if all(x and not x[0].isspace() and not x[-1].isspace() for x in p):
+                        lines[w] = p
+                        heads.add(p[0])
+                        rest.update(p[1:])
+                elif w and w[-1] in ".," and w[:-1].isalpha():
+                    stems.append(w)
+        self._learn(self.first, {".", ",", *rest}, "")
+        self._learn(self.known, {*words.difference(lines).difference(stems), *heads, *(w[:-1] for w in stems)}, " ")
+        known, first = self.known, self.first
+        for w in stems:
+            known[w] = known[w[:-1]] + first[w[-1]]
+        if lines:
+            feed = self.newline.to_bytes(self.width, "little")
+            known.update((w, feed.join([known[p[0]], *[first[x] for x in p[1:]]])) for w, p in lines.items())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         self._learn(self.first, {p[0] for p in parts}, "")
-        self._learn(self.known, {w for p in parts for w in p[1:]}, " ")
+        self._compose(set().union(*parts))
         out = []
         for t, p in zip(texts, parts, strict=True):
             begin = self.first[p[0]]
             try:
-                out.append(begin + b"".join([self.known[w] for w in p[1:]]))
+                out.append(begin + b"".join(map(self.known.__getitem__, p[1:])))
             except TypeError:  # white space beside a space, or an empty text
                 out.append(self._encode([t])[0])
         return out
