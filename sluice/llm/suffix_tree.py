@@ -1,22 +1,24 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Counting covers every training document. A context (one or two words) is a candidate if its share of all
-training tokens reaches a bound, and stays in the tree if its next-word distribution diverges from that of its
-suffix by more than the code length of its edges (count * KL > df / 2 * log N). So the tree holds at most
-1 / share contexts of each length and 1 / edge_share edges, whatever the corpus: that is what is broadcast.
-The counts of words rarer than head_share never leave the executors; they meet the documents in a join.
+Counting covers every training document. Each context of one or two words, and each edge (a word after it), is a
+candidate if it is seen EDGE_LEAST times or more, at any size of the corpus and whatever its own first word's count;
+a context stays in the tree if its next-word distribution diverges from that of its suffix by more than the code
+length of its edges (count * KL > df / 2 * log N). The tree is a written table keyed by hashes, which grows with
+the corpus; documents meet it in a join. Only its head, by shares of all tokens, is broadcast as a fast path.
 
     P(x | s) = (c(s, x) + (o(s) + mu) P(x | suffix(s))) / (n(s) + mu),   P(x) = (c(x) + 0.1) / (N + 0.1 (V + 1))
 
 with o(s) the occurrences whose next word is no edge of s. The state of a token is the longest context in the
-tree that ends before it.
+tree that ends before it. A document's log-probability is a sum over its one-, two- and three-word runs: a run
+adds log(P(x | s) / P(x | suffix(s)) / b(s)) if it is an edge s x of the tree, and log b(s) if it is a context s of
+it with a word after it, where b(s) = (o(s) + mu) / (n(s) + mu) is what s leaves to its suffix. So one table of
+numbers by run is all that scoring needs.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from sluice.llm.runtime import WordHashes, crc_of_key, documents, staged, tokens
 
 #: No word has a line break, so this is no word's hash.
 END = xxhash.xxh3_64_intdigest(b"\n")
+#: A run of words seen once says nothing that its suffix doesn't.
+EDGE_LEAST = 2
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -54,7 +58,12 @@ class Tree:
     counts: np.ndarray
     head_count: float
     mu: float
-    levels: list[Level] = field(default_factory=list)
+    edge_count: float = EDGE_LEAST  # runs of two or three words with as many are listed in keys, if they add anything
+    leaves: np.ndarray = field(default_factory=lambda: np.empty(0))  # log10 b of the words as contexts
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # of runs of two or three words, sorted
+    adds: np.ndarray = field(default_factory=lambda: np.empty(0))
+    rest: np.ndarray | None = None  # bits of the keys that only the table has
+    levels: list[Level] = field(default_factory=list)  # the commonest contexts as counts; scoring doesn't read them
 
     @property
     def bottom(self) -> float:
@@ -69,6 +78,48 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """staged(), and the shuffle files go when the table is written, not when the driver collects garbage."""
+    conf, option = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(option)
+    conf.set(option, "true")
+    try:
+        return staged(df, name)
+    finally:
+        conf.set(option, before)
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes what written() wrote for this table."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Key of the run that `a` and `b` make: of two words, or of two pairs that share their middle word."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(k)
+    return x ^ (x >> np.uint64(32))
+
+
+def bits_of(rows: DataFrame, bits: int = 28) -> np.ndarray:
+    """A bit for each value of the first `bits` bits of a key; so many at any number of rows."""
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))")
+    got = rows.groupBy(F.shiftrightunsigned("key", 70 - bits).alias("i")).agg(F.bit_or(one).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got.column("i").to_numpy()] = got.column("b").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that bits_of did not get."""
+    at = keys >> np.uint64(64 - (len(bits) << 6).bit_length() + 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def token_hashes(texts: list[str | None], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, ends included, one text after the other; the texts' token counts."""
     parts, lengths = [], []
@@ -91,73 +142,6 @@ def grouped(batches: Iterator[pa.RecordBatch], column: int, chars: int = 2_000_0
                 at, n = i + 1, 0
 
 
-def contexts(words: np.ndarray, lengths: np.ndarray, tree: Tree) -> list[np.ndarray]:
-    """For each token and each level of the tree, the index of the context before it, or -1. words: word indexes."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    before = lambda k: np.where(place >= k, np.roll(words, k), -1)
-    out = []
-    for depth, level in enumerate(tree.levels):
-        one = before(1)
-        key = one if depth == 0 else np.where(one >= 0, (before(2) << 32) | np.maximum(one, 0), -1)
-        out.append(np.where(key >= 0, find(level.key, key), -1))
-    return out
-
-
-def word_counts(train: DataFrame, most: int = 300_000) -> DataFrame:
-    """(h, c): each token's count, words by hash. Tasks count first and hand on a row for each of their words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        ends = 0
-
-        def rows():
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([xxhash.xxh3_64_intdigest(w) for w in seen], np.uint64))), pa.array(list(seen.values()), pa.int64())], names=["h", "c"])
-            seen.clear()
-
-        for batch in batches:
-            for t in batch.column(0):
-                seen.update(tokens(t.as_py()))
-                ends += 1
-                if len(seen) >= most:
-                    yield from rows()
-        yield from rows()
-        yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([END], np.uint64))), pa.array([ends], pa.int64())], names=["h", "c"])
-
-    return train.mapInArrow(run, "h long, c long").where("c > 0").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def edge_counts(train: DataFrame, tree: Tree, depth: int, most: int = 1_000_000) -> DataFrame:
-    """(edge, c) of the next words after the contexts that level `depth` of the tree lists so far."""
-    shared = train.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo, held, size = shared.value, WordHashes(), [], 0
-
-        def merged():
-            key, count = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-            key, where = np.unique(key, return_inverse=True)
-            return key, np.bincount(where, count).astype(np.int64)
-
-        for _, texts in grouped(batches, 0):
-            h, lengths = token_hashes(texts, memo)
-            words = find(model.hashes, h)
-            at = contexts(words, lengths, model)[depth]
-            on = (at >= 0) & (words >= 0)
-            held.append(np.unique((at[on] << 32) | words[on], return_counts=True))
-            size += len(held[-1][0])
-            if size >= most:
-                held = [merged()]
-                size = len(held[0][0])
-                if size >= most // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["edge", "c"])
-                    held, size = [], 0
-        if held:
-            key, count = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(count)], names=["edge", "c"])
-
-    return train.mapInArrow(run, "edge long, c long").groupBy("edge").agg(F.sum("c").alias("c"))
-
-
 def prior(tree: Tree, words: np.ndarray, states: list[np.ndarray]) -> np.ndarray:
     """P(word | longest state given), states[d] an index into level d or -1; all words known to the head."""
     p = (tree.counts[words] + 0.1) / tree.bottom
@@ -171,77 +155,144 @@ def prior(tree: Tree, words: np.ndarray, states: list[np.ndarray]) -> np.ndarray
     return p
 
 
-def retained(tree: Tree, level: Level, suffix: np.ndarray) -> Level:
-    """The level without contexts whose next-word distribution does not diverge from their suffix's.
+def runs(h: np.ndarray, lengths: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(s, x, place of the last word) of the texts' runs of level + 1 words: the run without its last word, and
+    without its first one."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.flatnonzero(place >= level)
+    if level == 1:
+        return h[at - 1], h[at], at
+    return paired(h[at - 2], h[at - 1]), paired(h[at - 1], h[at]), at
 
-    suffix: index of each context's last word in the level above, or -1 (then the words' own shares)."""
-    if not len(level.key):
-        return level
-    s, w = level.edge >> 32, level.edge & 0xFFFFFFFF
-    above = [suffix[s]] if len(tree.levels) else []
-    q = prior(tree, w, above)
-    m = len(level.key)
-    df = np.bincount(s, minlength=m)
-    p = level.count / level.n[s]
-    gain = np.bincount(s, level.count * np.log(p / q), m)
-    rest = 1 - np.minimum(np.bincount(s, q, m), 1 - 1e-12)
-    gain += np.where(level.o > 0, level.o * np.log(np.maximum(level.o, 1e-12) / level.n / rest), 0.0)
-    keep = (df > 0) & (gain > 0.5 * df * np.log(max(tree.total, 2)))
-    new = np.cumsum(keep) - 1
-    on = keep[s]
-    return Level(level.key[keep], level.n[keep], level.o[keep], (new[s[on]] << 32) | w[on], level.count[on])
 
+def run_counts(train: DataFrame, levels: tuple[int, ...], pairs: np.ndarray | None = None, chars: int = 8_000_000) -> DataFrame:
+    """(level, s, x, c, key) of all words (level 0, s = 0) and of the runs of two (1) and three words (2) seen
+    EDGE_LEAST times or more. Tasks count first. pairs: bits of the pairs that have as many, as a triple's must."""
+    shared = train.sparkSession.sparkContext.broadcast(pairs)
 
-def learn(docs: DataFrame, *, head_share: float = 2.5e-7, share: tuple[float, ...] = (1e-4, 1e-5), edge_share: float = 1e-6, mu: float = 5.0, text: str = "text") -> tuple[Tree, DataFrame]:
-    """The tree, and the table of all word counts (h, c), from the texts of docs. Bounds: 1 / head_share words,
-    1 / share contexts of a length and 1 / edge_share edges of a length reach the driver."""
-    train = docs.select(text)
-    unigrams = staged(word_counts(train), "unigrams")
-    total, types = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, head_share * total)
-    head = unigrams.where(F.col("c") >= least).toArrow()
-    h = head.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    tree = Tree(total, types, h[order], head.column("c").to_numpy().astype(float)[order], least, mu)
-    pairs = None
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, known = WordHashes(), shared.value
+        for _, texts in grouped(batches, 0, chars):
+            h, lengths = token_hashes(texts, memo)
+            for level in levels:
+                if level:
+                    s, x, _ = runs(h, lengths, level)
+                    if known is not None:
+                        on = may_have(known, s) & may_have(known, x)
+                        s, x = s[on], x[on]
+                    _, first, n = np.unique(paired(s, x), return_index=True, return_counts=True)
+                    s, x = s[first], x[first]
+                else:
+                    x, n = np.unique(h, return_counts=True)
+                    s = np.zeros(len(x), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(signed(s)), pa.array(signed(x)), pa.array(n.astype(np.int64))], names=["level", "s", "x", "c"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level, s, x = (batch.column(k).to_numpy() for k in range(3))
+            key = np.where(level == 0, x.view(np.uint64), paired(s.view(np.uint64), x.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(key))], names=["level", "s", "x", "c", "key"])
+
+    kind = "level int, s long, x long, c long"
+    counted = train.mapInArrow(count, kind).groupBy("level", "s", "x").agg(F.sum("c").alias("c"))
+    return counted.where((F.col("level") == 0) | (F.col("c") >= EDGE_LEAST)).mapInArrow(keyed, kind + ", key long")
+
+
+def grown(edges: DataFrame, lower: DataFrame, total: int, mu: float, listed: float, name: str) -> tuple[DataFrame, DataFrame]:
+    """The contexts (s, n, o, b) that stay, and the level: its runs (key, s, x, c, p, and add where s stays). s and x
+    are given for runs seen `listed` times or more.
+
+    lower: (key, c, p) of the runs that are one word shorter, p their last word's probability after the others."""
+    e = edges.join(lower.select(F.col("key").alias("x"), F.col("p").alias("q")), "x")
+    sums = e.groupBy("s").agg(F.sum("c").alias("inside"), F.count("*").alias("df"), F.sum(F.col("c") * F.log(F.col("c") / F.col("q"))).alias("gain"), F.sum("q").alias("covered"))
+    at = sums.join(lower.select(F.col("key").alias("s"), F.col("c").alias("n")), "s").withColumn("o", F.col("n") - F.col("inside"))
+    other = F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / F.col("n") / F.greatest(1 - F.col("covered"), F.lit(1e-12)))).otherwise(0.0)
+    gain = F.col("gain") - F.col("inside") * F.log("n") + other
+    stay = at.where(gain > 0.5 * F.col("df") * float(np.log(max(total, 2)))).select("s", "n", "o", ((F.col("o") + mu) / (F.col("n") + mu)).alias("b"))
+    stay = written(stay, f"contexts-{name}")
+    p = F.coalesce((F.col("c") + (F.col("o") + mu) * F.col("q")) / (F.col("n") + mu), F.col("q"))
+    of_listed = lambda name: F.when(F.col("c") >= listed, F.col(name)).alias(name)
+    level = e.join(stay, "s", "left").withColumn("p", p).select("key", of_listed("s"), of_listed("x"), "c", "p", F.log10(F.col("p") / F.col("q") / F.col("b")).alias("add"))
+    return stay, written(level, f"edges-{name}")
+
+
+def columns(rows: DataFrame, *names: str) -> list[np.ndarray]:
+    got = rows.select(*names).toArrow()
+    return [got.column(k).to_numpy() for k in names]
+
+
+def commonest(tree: Tree, stays: list[DataFrame], levels: list[DataFrame], share: tuple[float, ...]) -> list[Level]:
+    """The contexts over these shares of all tokens, with their edges that the head lists."""
+    out, word = [], lambda h: find(tree.hashes, h.view(np.uint64))
+    first: tuple = ()
     for depth, bound in enumerate(share):
+        s, n = columns(stays[depth].where(F.col("n") >= max(EDGE_LEAST, bound * tree.total)), "s", "n")
+        key, a, x, c = columns(levels[depth].where(F.col("c") >= tree.edge_count), "key", "s", "x", "c")
         if depth == 0:
-            key = np.flatnonzero(tree.counts >= max(2.0, bound * total)).astype(np.int64)
-            key = key[tree.hashes[key] != np.uint64(END)]
-            suffix = np.full(len(key), -1, np.int64)
+            name, to = word(s), word(x)
+            order = np.argsort(key)
+            first = (key[order], word(a)[order], to[order])
         else:
-            # contexts of two words are edges of single words, taken from the candidates of the level above
-            edge, count, first = pairs
-            on = (count >= max(2.0, bound * total)) & (tree.hashes[edge & 0xFFFFFFFF] != np.uint64(END))
-            key = np.sort((first[edge[on] >> 32] << 32) | (edge[on] & 0xFFFFFFFF))
-            suffix = find(tree.levels[0].key, key & 0xFFFFFFFF)
-        m = len(key)
-        trial = Tree(tree.total, tree.types, tree.hashes, tree.counts, tree.head_count, mu, [*tree.levels, Level(key)])
-        if not m:
-            tree.levels.append(Level())
-            break
-        counted = staged(edge_counts(train, trial, depth), "edges")
-        kept = counted.where(F.col("c") >= max(2.0, edge_share * total)).toArrow()
-        edge, count = kept.column("edge").to_numpy().astype(np.int64), kept.column("c").to_numpy().astype(float)
+            k, into = find(first[0], s), find(first[0], x)
+            name = np.where((k >= 0) & (first[1][k] >= 0) & (first[2][k] >= 0), (first[1][k] << 32) | first[2][k], -1) if len(first[0]) else np.full(len(s), -1)
+            to = np.where(into >= 0, first[2][into], -1) if len(first[0]) else np.full(len(x), -1)
+        on = name >= 0
+        s, n, name = s[on], n[on].astype(float), name[on]
+        order = np.argsort(name)
+        s, n, name = s[order], n[order], name[order]
+        by_key = np.argsort(s)
+        at = find(s[by_key], a)
+        on = (at >= 0) & (to >= 0)
+        edge, c = (by_key[at[on]] << 32) | to[on], c[on].astype(float)
         order = np.argsort(edge)
-        edge, count = edge[order], count[order]
-        if depth == 0:
-            sums = tree.counts[key]  # every occurrence of a word has a next token
-        else:
-            e = find(pairs[0], (find(pairs[2], key >> 32) << 32) | (key & 0xFFFFFFFF))
-            sums = pairs[1][e]
-        other = sums - np.bincount(edge >> 32, count, m)
-        level = Level(key, sums, other, edge, count)
-        pairs = (edge, count, key)
-        tree.levels.append(retained(tree, level, suffix))
-    return tree, unigrams
+        edge, c = edge[order], c[order]
+        out.append(Level(name, n, n - np.bincount(edge >> 32, c, len(n)), edge, c))
+    return out
+
+
+def learn(docs: DataFrame, *, head_share: float = 2.5e-7, share: tuple[float, ...] = (1e-4, 1e-5), edge_share: float = 1e-6, mu: float = 5.0, text: str = "text") -> tuple[Tree, DataFrame]:
+    """The tree's head, and the table of the whole tree: (key, level, c, known, base, add), one or two rows a run. The
+    shares bound the head only: 1 / head_share words, 1 / edge_share runs of a length and, of those, the contexts
+    over `share` in Tree.levels. What documents score does not depend on them."""
+    train = docs.select(text)
+    counts = written(run_counts(train, (0, 1)), "counts")
+    words = written(counts.where("level = 0").select("key", "c"), "words")
+    total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tree = Tree(total, types, np.empty(0, np.uint64), np.empty(0), max(1.0, head_share * total), mu, max(float(EDGE_LEAST), edge_share * total))
+    pairs = counts.where("level = 1")
+    triples = written(run_counts(train, (2,), bits_of(pairs)), "triples")
+    p = (F.col("c") + 0.1) / F.lit(tree.bottom)
+    one, first = grown(pairs, words.withColumn("p", p), total, mu, tree.edge_count, "1")
+    removed(counts)
+    two, second = grown(triples, first, total, mu, tree.edge_count, "2")
+    removed(triples)
+    known, nothing = F.lit(1).cast("long").alias("known"), F.lit(0).cast("long").alias("known")
+    rows = [words.select("key", F.lit(0).alias("level"), "c", known, F.log10((F.col("c") + 0.1) / 0.1).alias("base"), F.lit(0.0).alias("add"))]
+    for level, (stay, edges) in enumerate(((one, first), (two, second))):
+        rows.append(stay.select(F.col("s").alias("key"), F.lit(level).alias("level"), F.col("n").alias("c"), nothing, F.lit(0.0).alias("base"), F.log10("b").alias("add")))
+        rows.append(edges.where("add is not null").select("key", F.lit(level + 1).alias("level"), "c", nothing, F.lit(0.0).alias("base"), "add"))
+    table = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(rows[4])
+    key, c = columns(words.where(F.col("c") >= tree.head_count), "key", "c")
+    key = key.astype(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    tree.hashes, tree.counts, tree.leaves = key[order], c[order].astype(float), np.zeros(len(key))
+    key, add = columns(one.where(F.col("n") >= tree.head_count).withColumn("add", F.log10("b")), "s", "add")
+    tree.leaves[find(tree.hashes, key.astype(np.int64).view(np.uint64))] = add
+    key, add = columns(table.where((F.col("level") > 0) & (F.col("c") >= tree.edge_count)).groupBy("key").agg(F.sum("add").alias("add")), "key", "add")
+    key = key.astype(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    tree.keys, tree.adds = key[order], add[order].astype(float)
+    if tree.edge_count > EDGE_LEAST:
+        tree.rest = bits_of(table.where((F.col("level") > 0) & (F.col("c") < tree.edge_count)))
+    tree.levels = commonest(tree, [one, two], [first, second], share)
+    return tree, table
 
 
 def head_scores(docs: DataFrame, tree: Tree, *, key: str, text: str) -> DataFrame:
-    """Per row what the broadcast tree can say, and `tail`: the hashes and numbers of the words it doesn't list.
+    """Per row what the broadcast head can say, and `tail`: the keys and numbers of the runs it doesn't list.
 
-    For those, `score` has the shares that their states leave to the words' own probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    Its words count as unknown until they meet the table."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(tree, levels=[]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -254,24 +305,30 @@ def head_scores(docs: DataFrame, tree: Tree, *, key: str, text: str) -> DataFram
             doc = np.repeat(np.arange(len(texts)), lengths)
             words = find(model.hashes, h)
             known = words >= 0
-            base = np.zeros(len(h))
+            base, more = np.full(len(h), np.log10(0.1 / model.bottom)), np.zeros(len(h))
             base[known] = np.log10((model.counts[words[known]] + 0.1) / model.bottom)
-            at = contexts(words, lengths, model)
-            p = np.ones(len(h))
-            if known.any():
-                p[known] = prior(model, words[known], [a[known] for a in at])
-            for level, a in zip(model.levels, at, strict=True):
-                on = (a >= 0) & ~known
-                p[on] *= (level.o[a[on]] + model.mu) / (level.n[a[on]] + model.mu)
+            more[known] = model.leaves[words[known]]
+            rare, rare_doc = [h[~known]], [doc[~known]]
+            for level in (1, 2):
+                s, x, last = runs(h, lengths, level)
+                keys = paired(s, x)
+                at = find(model.keys, keys)
+                on = at >= 0
+                more[last[on]] += model.adds[at[on]]
+                if model.rest is not None:
+                    on = ~on
+                    on[on] = may_have(model.rest, keys[on])
+                    rare.append(keys[on])
+                    rare_doc.append(doc[last[on]])
             sums = lambda x: np.bincount(doc, x, len(texts))
-            rare, rare_doc = signed(h[~known]), doc[~known]
+            rare, rare_doc = signed(np.concatenate(rare)), np.concatenate(rare_doc)
             order = np.lexsort((rare, rare_doc))
             rare, rare_doc = rare[order], rare_doc[order]
             new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])])) if len(rare) else np.empty(0, np.int64)
             times = np.diff(np.concatenate([new, [len(rare)]]))
             bounds = np.searchsorted(rare_doc[new], np.arange(len(texts) + 1)) if len(new) else np.zeros(len(texts) + 1, np.int64)
             tail = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(rare[new], pa.int64()), pa.array(times, pa.int64())], names=["h", "n"]))
-            columns = [batch.column(0), pa.array(row + np.arange(len(texts)), pa.int64()), pa.array(lengths), pa.array(sums(known.astype(float)).astype(np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(p))), tail.cast(kind)]
+            columns = [batch.column(0), pa.array(row + np.arange(len(texts)), pa.int64()), pa.array(lengths), pa.array(sums(known.astype(float)).astype(np.int64)), pa.array(sums(base)), pa.array(sums(base + more)), tail.cast(kind)]
             row += len(texts)
             yield pa.RecordBatch.from_arrays(columns, names=["_key", "_row", "n_tokens", "n_known", "base_score", "score", "tail"])
 
@@ -279,24 +336,24 @@ def head_scores(docs: DataFrame, tree: Tree, *, key: str, text: str) -> DataFram
     return rows.mapInArrow(run, "_key long, _row long, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,n:long>>")
 
 
-def score_documents(docs: DataFrame, tree: Tree, unigrams: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, tree: Tree, table: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, base_score, score for every row of docs, over whole texts. A null or empty text
     is the end token only. Every row has a score of its own, also where keys repeat or are null."""
     if not isinstance(docs.schema[key].dataType, IntegralType):
         raise TypeError(f"{key} must be an integer column")
-    part = staged(head_scores(docs, tree, key=key, text=text), "scores")
-    rare = unigrams.where(F.col("c") < tree.head_count)
-    tail = part.select("_row", F.explode("tail").alias("t")).select("_row", "t.h", "t.n")
-    own = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(tree.bottom)) * F.col("n")
-    met = tail.join(rare, "h", "left").groupBy("_row").agg(F.sum(own).alias("_own"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"))
+    part = written(head_scores(docs, tree, key=key, text=text), "scores")
+    rest = table.where(F.col("c") < F.when(F.col("level") == 0, tree.head_count).otherwise(tree.edge_count))
+    tail = part.select("_row", F.explode("tail").alias("t")).select("_row", F.col("t.h").alias("key"), "t.n")
+    times = lambda name: F.sum(F.col(name) * F.col("n")).alias(f"_{name}")
+    met = tail.join(rest, "key").groupBy("_row").agg(times("known"), times("base"), times("add"))
     out = part.drop("tail").join(met, "_row", "left")
-    own, more = F.coalesce("_own", F.lit(0.0)), F.coalesce("_known", F.lit(0))
-    return out.select(F.col("_key").alias(key), "n_tokens", (F.col("n_known") + more).alias("n_known"), (F.col("base_score") + own).alias("base_score"), (F.col("score") + own).alias("score"))
+    known, base, add = F.coalesce("_known", F.lit(0)), F.coalesce("_base", F.lit(0.0)), F.coalesce("_add", F.lit(0.0))
+    return out.select(F.col("_key").alias(key), "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base_score") + base).alias("base_score"), (F.col("score") + base + add).alias("score"))
 
 
 def op8_lm_scores(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    tree, unigrams = learn(docs.where(crc_of_key(F.col("doc_id")) % 10 != 0))
-    scored = score_documents(docs, tree, unigrams)
+    tree, table = learn(docs.where(crc_of_key(F.col("doc_id")) % 10 != 0))
+    scored = score_documents(docs, tree, table)
     held = crc_of_key(F.col("doc_id")) % 10 == 0
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -441,6 +441,56 @@ def test_lm_probabilities_sum_to_one_and_tail_joins(spark, docs, odd, empty):
     assert score_documents(empty, none, nothing).count() == 0
 
 
+def by_hand(train, texts, mu=5.0):
+    """Scores of the suffix tree over word tuples, every run seen twice or more a candidate; the contexts kept."""
+    toks = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    c = Counter()
+    for t in map(toks, train):
+        for k in (1, 2, 3):
+            c.update(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
+    n = sum(v for g, v in c.items() if len(g) == 1)
+    bottom = n + 0.1 * (sum(len(g) == 1 for g in c) + 1)
+    kept = {}
+
+    def p(s, x):
+        if not s:
+            return (c[(x,)] + 0.1) / bottom
+        q = p(s[1:], x)
+        if s not in kept:
+            return q
+        e = c[(*s, x)]
+        return ((e if e >= 2 else 0) + (kept[s] + mu) * q) / (c[s] + mu)
+
+    for k in (1, 2):
+        edges = {}
+        for g, v in c.items():
+            if len(g) == k + 1 and v >= 2:
+                edges.setdefault(g[:-1], {})[g[-1]] = v
+        stay = {}
+        for s, e in edges.items():
+            q = {x: p(s[1:], x) for x in e}
+            o = c[s] - sum(e.values())
+            gain = sum(v * np.log(v / c[s] / q[x]) for x, v in e.items()) + (o * np.log(o / c[s] / max(1 - sum(q.values()), 1e-12)) if o else 0)
+            if gain > 0.5 * len(e) * np.log(n):
+                stay[s] = o
+        kept.update(stay)
+    return [sum(np.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(len(w))) for w in map(toks, texts)], kept
+
+
+def test_lm_scores_use_every_context_whatever_the_head(spark, docs, odd):
+    from sluice.llm.suffix_tree import learn, score_documents
+
+    rows = docs.limit(150).select("doc_id", "text").union(odd.where("doc_id = 8").selectExpr("-doc_id", "text")).collect()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want, kept = by_hand([r["text"] for r in rows], [r["text"] for r in rows])
+    assert {len(s) for s in kept} == {1, 2}
+    for bounds in ({}, {"head_share": 1e-3, "share": (1e-2, 1e-2), "edge_share": 1e-3}):
+        tree, whole = learn(table, **bounds)
+        got = {r["doc_id"]: r["score"] for r in score_documents(table, tree, whole).collect()}
+        assert [got[r["doc_id"]] for r in rows] == pytest.approx(want, rel=1e-9)
+    assert tree.rest is not None and len(tree.keys) < len(kept)
+
+
 # ---- 9 toxicity
 
 
