@@ -491,6 +491,20 @@ def test_lm_scores_use_every_context_whatever_the_head(spark, docs, odd):
     assert tree.rest is not None and len(tree.keys) < len(kept)
 
 
+def test_lm_two_word_contexts_with_a_rare_first_word(spark):
+    from xxhash import xxh3_64_intdigest
+
+    from sluice.llm.suffix_tree import find, learn
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 200, 400)) for _ in range(100)]
+    texts += ["kappa w1 omega"] * 3
+    tree, _ = learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    a, b = find(tree.hashes, np.array([xxh3_64_intdigest(w) for w in (b"kappa", b"w1")], np.uint64))
+    assert tree.counts[a] < 1e-4 * tree.total
+    assert (a << 32) | b in tree.levels[1].key
+
+
 # ---- 9 toxicity
 
 
