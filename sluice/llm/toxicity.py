@@ -11,7 +11,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,8 +104,11 @@ class Tagger:
     curve: np.ndarray  # of the document score: constant, log(1 + expected toxic words), highest marginal
 
 
-def _sample_lines(texts: Sequence[str]) -> list[list[list[bytes]]]:
-    return [[x.split() for x in t.encode("utf-8", "surrogatepass").lower().split(b"\n")] for t in texts]
+def _sample_lines(texts: Sequence[str]) -> tuple[list[bytes], list[list[np.ndarray]]]:
+    """The distinct words, and each text's lines as indexes of them."""
+    index: dict[bytes, int] = {}
+    found = [[np.array([index.setdefault(w, len(index)) for w in x.split()], np.int32) for x in t.encode("utf-8", "surrogatepass").lower().split(b"\n")] for t in texts]
+    return list(index), found
 
 
 def toxic_parts(docs: Sequence[set[bytes]], labels: Sequence[int], least: int = 5, over: float = 1.6) -> set[bytes]:
@@ -144,35 +146,22 @@ def train(texts: Sequence[str], labels: Sequence[int], *, buckets: int = 1 << 18
     """Fits the chain and the score curve. toxic_share: of the labels that the texts are a sample of; the curve is
     fitted as if the sample had it. With one class only, every score is near that class's share."""
     labels = [int(y) for y in labels]
-    lines = _sample_lines(texts)
-    sets = [{folded(w) for line in d for w in line} for d in lines]
+    vocabulary, lines = _sample_lines(texts)
+    bare = [folded(w) for w in vocabulary]
+    sets = [{bare[k] for line in d for k in line} for d in lines]
     alone = distinct_texts(sets)
     marking = toxic_parts([sets[i] for i in alone], [labels[i] for i in alone])
-    toxic = lru_cache(maxsize=None)(lambda w: any(x in marking for x in parts(w)))
-    # training sequences: every line with a toxic token, and from each document one line without
-    seqs, marks = [], []
-    for d, y in zip(lines, labels, strict=True):
-        plain = None
-        for line in d:
-            if not line:
-                continue
-            mark = [int(y and toxic(w)) for w in line]
-            if any(mark):
-                seqs.append(line[:PIECE])
-                marks.append(mark[:PIECE])
-            elif plain is None:
-                plain = line[:PIECE]
-        if plain:
-            seqs.append(plain)
-            marks.append([0] * len(plain))
+    toxic = np.array([any(x in marking for x in parts(w)) for w in vocabulary], bool)
+    # training sequences: all lines of every text, long ones in the pieces that scoring cuts
+    seqs = [line for d in lines for line in d if len(line)]
     weights, bias, start, move = np.zeros(buckets), -2.0, 0.0, np.zeros((2, 2))
     if seqs:
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int64)
-        known = {w: features(w, buckets) for s in seqs for w in s}
-        lists = [known[w] for s in seqs for w in s]
+        bounds = pieces([len(s) for s in seqs])
+        words = np.concatenate(seqs)
+        lists = [features(w, buckets) for w in vocabulary]
         at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         ids = np.concatenate(lists)
-        y = np.array([m for s in marks for m in s], float)
+        y = (toxic[words] & np.repeat(np.array(labels, bool), [sum(map(len, d)) for d in lines])).astype(float)
         firsts = np.zeros(len(y), bool)
         firsts[bounds[:-1]] = True
         theta_sq: dict = {}
@@ -181,19 +170,19 @@ def train(texts: Sequence[str], labels: Sequence[int], *, buckets: int = 1 << 18
             theta_sq[name] = theta_sq.get(name, 0) + grad * grad
             return value + rate * grad / np.sqrt(theta_sq[name] + 1e-8)
 
-        follow = ~firsts[1:]
+        follow = (~firsts[1:]).astype(float)
+        pairs = lambda z: np.array([[0, (follow * (1 - z[:-1])) @ z[1:]], [(follow * z[:-1]) @ (1 - z[1:]), (follow * z[:-1]) @ z[1:]]])
         for _ in range(steps):
-            e = bias + np.bincount(at, weights[ids], len(y))
+            e = bias + np.bincount(at, weights[ids], len(vocabulary))[words]
             p = marginals(e, bounds, start, move)
             miss = y - p
             scale = 1 / max(1.0, y.sum())
-            grad = np.bincount(ids, miss[at], buckets) * scale - penalty * weights
+            grad = np.bincount(ids, np.bincount(words, miss, len(vocabulary))[at], buckets) * scale - penalty * weights
             weights = ascend("w", weights, grad)
             bias = float(ascend("b", bias, miss.sum() * scale))
             start = float(ascend("s", start, miss[firsts].sum() * scale))
             # pairs are taken as independent given the marginals; the diagonal learns whether toxic words cluster
-            both = np.array([[(1 - y[:-1]) * (1 - y[1:]) - (1 - p[:-1]) * (1 - p[1:]), (1 - y[:-1]) * y[1:] - (1 - p[:-1]) * p[1:]], [y[:-1] * (1 - y[1:]) - p[:-1] * (1 - p[1:]), y[:-1] * y[1:] - p[:-1] * p[1:]]])
-            g = (both * follow).sum(axis=2) * scale - penalty * move
+            g = (pairs(y) - pairs(p)) * scale - penalty * move
             g[0, 0] = 0
             move = ascend("m", move, g)
     tagger = Tagger(weights.astype(np.float32), bias, start, move, np.zeros(3))

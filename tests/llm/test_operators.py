@@ -543,6 +543,17 @@ def test_toxicity_on_held_out_labels(spark, odd, empty):
     assert score_documents(empty, train([], [])).count() == 0
 
 
+def test_toxicity_trains_on_whole_texts():
+    from sluice.llm.toxicity import document_marginals, train
+
+    # "idiotic" shares its beginnings with the marked word and is met in clean texts only: in a later line, after word 256
+    names = [" ".join(f"{a}{i}" for a in ("oak", "elm", "ash", "fir")) for i in range(80)]
+    clean = [f"{n}\n{n} " + "tree " * 300 + "idiotic" for n in names[:40]]
+    tagger = train([*clean, *(f"{n} idiot" for n in names[40:])], [0] * 40 + [1] * 40)
+    late, marked = document_marginals(tagger, ["idiotic", "idiot"])
+    assert late[0] < 0.1 and marked[0] > 0.5
+
+
 # ---- 10 lines
 
 
