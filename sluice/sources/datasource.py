@@ -258,14 +258,15 @@ class _Writer(DataSourceWriter):
 
 class XzStreamReader(SimpleDataSourceStreamReader):
     """Files that appear under the path, maxFilesPerTrigger of them per batch; each is decoded whole when it is listed,
-    by the driver. For small files; for large ones stream the paths and use plans.decode."""
+    by the driver. The offset lists the files read, so a new file is new under any name; it grows with their number.
+    For small files; for large ones stream the paths and use plans.decode."""
 
     def __init__(self, options: dict):
         self.options = {**options}
         self.most = int(options.get("maxFilesPerTrigger", 100))
 
     def initialOffset(self):
-        return {"after": ""}
+        return {"read": []}
 
     def _rows(self, path: str):
         r = XzReader(self.options)
@@ -276,11 +277,13 @@ class XzStreamReader(SimpleDataSourceStreamReader):
                     yield (row["path"], row["stream_no"], row["block_no"], row["out_offset"], row["data"], tuple(e.values()) if e else None)
 
     def read(self, start):
-        new = [f for f in files_under(self.options["path"], ".xz") if f > start["after"]][: self.most]
-        return iter([x for f in new for x in self._rows(f)]), {"after": new[-1] if new else start["after"]}
+        read = set(start["read"])
+        new = [f for f in files_under(self.options["path"], ".xz") if f not in read][: self.most]
+        return iter([x for f in new for x in self._rows(f)]), {"read": [*start["read"], *new]}
 
     def readBetweenOffsets(self, start, end):
-        return (x for f in files_under(self.options["path"], ".xz") if start["after"] < f <= end["after"] for x in self._rows(f))
+        read = set(start["read"])
+        return (x for f in end["read"] if f not in read for x in self._rows(f))
 
     def commit(self, end):
         pass

@@ -156,6 +156,22 @@ def test_file_stream(spark, files, tmp_path):
     assert joined(spark.read.parquet(str(tmp_path / "o")).collect(), "a.xz") == data
 
 
+def test_file_stream_reads_later_files_of_smaller_names(tmp_path):
+    import lzma
+
+    from sluice.sources.datasource import XzStreamReader
+
+    reader, got = XzStreamReader({"path": str(tmp_path)}), []
+    at = first = reader.initialOffset()
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.xz").write_bytes(lzma.compress(name.encode()))
+        rows, at = reader.read(at)
+        got.append(b"".join(bytes(r[4]) for r in rows if r[4] is not None))
+    assert got == [b"b", b"a", b"c"]
+    assert reader.read(at)[1] == at
+    assert b"".join(bytes(r[4]) for r in reader.readBetweenOffsets(first, at) if r[4] is not None) == b"bac"
+
+
 def test_arriving_files(spark, tmp_path):
     from sluice.streaming.splitter import INPUT_DDL, decode_arriving, runs_arriving
 
