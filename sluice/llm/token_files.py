@@ -2,12 +2,13 @@
 
 A record is: payload length (8 bytes, little-endian), masked CRC-32 of those 8 bytes (4), payload, masked
 CRC-32 of the payload (4), newline (1). A payload is: id of the document (8, signed), bytes per token id (1),
-the token ids. Files are in ascending id order, by name and within. Spark's own text writer puts the raw
+the token ids. Files are in ascending id order, by the numbers in their names and within. Spark's own text writer puts the raw
 bytes down, so its commit protocol holds and any store it can write to will do.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -15,7 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,9 +53,20 @@ def token_ids(part: memoryview) -> np.ndarray:
     return np.frombuffer(part[1:], {2: "<u2", 4: "<u4"}[part[0]])
 
 
+#: Where a text can be cut without a change to its ids: at a space or line break between two characters that aren't
+#: white space. What the pattern of byte-level tokenizers takes for one pre-token never spans such a place.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_MARK = "\x1f"
+#: Texts with white space elsewhere, or with the mark; \s of the tokenizers is within [\t-\r\x1c-\x20\x85\p{Z}].
+_UNEVEN = r"[ \n][\t-\r\x1c-\x20\x85\p{Z}]|[\t-\r\x1c-\x20\x85\p{Z}][ \n]|^[ \n]|[\t-\r\x1c-\x20\x85\p{Z}]$|\x1f"
+#: Punctuation after a letter or digit, up to where a cut is, is a pre-token.
+_TAIL = r"([\p{L}0-9])([!-/:-@\[-`{-~]+)(\x1f|$)"
+
+
 class ByteBpe:
-    """Encodes with a tokenizer file of the tokenizers library. A space between two characters that aren't white
-    space always begins a pre-token, so the pieces between such spaces are encoded once and remembered."""
+    """Encodes with a tokenizer file of the tokenizers library, with its settings as they are. Texts are cut into
+    pieces, and what the pieces consist of is encoded once and remembered: the `most` / 2 newest parts, and as many
+    of before."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         import os
@@ -62,74 +75,82 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.most = most
+        #: the library looks for these before all else
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         alone = self.tok.encode("\n", add_special_tokens=False).ids
         self.newline = alone[0] if len(alone) == 1 else None
-        self.known: dict = {}
-        self.first: dict = {}
+        self.most = most
+        self.recent: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, into: dict, words: set[str], lead: str) -> None:
-        """Ids of the words, each after `lead`, which are not known yet; None for those with white space at an end."""
-        new = words.difference(into)
-        if len(into) + len(new) > self.most:
-            into.clear()
-            new = words
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        one_line = [w for w in plain if "\n" not in w] if self.newline is not None else []
-        if one_line:
-            # one call for all: a line break between a word and what follows is a pre-token, and here a token, of its own
-            ids = np.array(self.tok.encode_batch_fast(["".join([f"{lead}{w}\n" for w in one_line])], add_special_tokens=False)[0].ids, self.kind)
+    def _by_library(self, words: list[str]) -> list[bytes]:
+        """Ids of the words. Those that neither have a line break nor end in white space go in one text, a line each:
+        a line break before a word or a space is a pre-token, and here a token, of its own."""
+        if self.newline is None:
+            return self._encode(words)
+        lined = [w for w in words if w and "\n" not in w and not w[-1].isspace() and not w[:2].isspace()]
+        found: dict[str, bytes] = {}
+        if lined:
+            ids = np.array(self.tok.encode_batch_fast(["\n".join([*lined, ""])], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(ids == self.newline) * self.width
             raw = ids.tobytes()
-            into.update(zip(one_line, [raw[a:b] for a, b in zip([0, *(ends[:-1] + self.width).tolist()], ends.tolist(), strict=True)], strict=True))
-            plain = [w for w in plain if "\n" in w]
-        into.update(zip(plain, self._encode([lead + w for w in plain]), strict=True))
-        into.update((w, None) for w in new if w not in into)
-
-    def _compose(self, words: set[str]) -> None:
-        """Learns what follows a space. Pre-tokens end between letters and a full stop or comma, and at a line break
-        between two characters that aren't white space, so such words are put together from their parts."""
-        lines: dict[str, list[str]] = {}
-        stems: list[str] = []
-        heads: set[str] = set()
-        rest: set[str] = set()
-        if self.newline is not None:
-            for w in words.difference(self.known):
-                if "\n" in w:
-                    p = w.split("\n")
-                    if all(x and not x[0].isspace() and not x[-1].isspace() for x in p):
-                        lines[w] = p
-                        heads.add(p[0])
-                        rest.update(p[1:])
-                elif w and w[-1] in ".," and w[:-1].isalpha():
-                    stems.append(w)
-        self._learn(self.first, {".", ",", *rest}, "")
-        self._learn(self.known, {*words.difference(lines).difference(stems), *heads, *(w[:-1] for w in stems)}, " ")
-        known, first = self.known, self.first
-        for w in stems:
-            known[w] = known[w[:-1]] + first[w[-1]]
-        if lines:
-            feed = self.newline.to_bytes(self.width, "little")
-            known.update((w, feed.join([known[p[0]], *[first[x] for x in p[1:]]])) for w, p in lines.items())
+            found = dict(zip(lined, [raw[a:b] for a, b in zip([0, *(ends[:-1] + self.width).tolist()], ends.tolist(), strict=True)], strict=True))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._encode(rest), strict=True))
+        return [found[w] for w in words]
+
+    def parts(self, wanted: list[str]) -> list[bytes]:
+        """Ids of the parts. What is found stays in a list of its own, so forgetting can't take it away meanwhile."""
+        got = list(map(self.recent.get, wanted))
+        missing = [k for k, ids in enumerate(got) if ids is None]
+        for k in missing:
+            got[k] = self.before.get(wanted[k])
+        new = [k for k in missing if got[k] is None]
+        for k, ids in zip(new, self._by_library([wanted[k] for k in new]), strict=True):
+            got[k] = ids
+        self.recent.update((wanted[k], got[k]) for k in missing)
+        if len(self.recent) > self.most // 2:
+            self.before, self.recent = self.recent, {}
+        return got
+
+    def _even(self, text: pa.Array) -> list[bytes]:
+        """Ids of texts in which every space and line break is where a text can be cut."""
+        text = pc.replace_substring(text, " ", _MARK + " ")
+        text = pc.replace_substring(text, "\n", f"{_MARK}\n{_MARK}")
+        text = pc.replace_substring_regex(text, _TAIL, f"\\1{_MARK}\\2\\3")
+        split = pc.split_pattern(text, _MARK)
+        coded = split.flatten().dictionary_encode()
+        ids = pa.array(self.parts(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in parts}, "")
-        self._compose(set().union(*parts))
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            begin = self.first[p[0]]
-            try:
-                out.append(begin + b"".join(map(self.known.__getitem__, p[1:])))
-            except TypeError:  # white space beside a space, or an empty text
-                out.append(self._encode([t])[0])
-        return out
+        """Ids of each text as bytes, self.width a token. Texts that hold an added token's string go to the library
+        whole; so do, cut where they can be, those with other white space than single spaces and line breaks."""
+        text = pa.array(texts, pa.large_string())
+        uneven = pc.match_substring_regex(text, _UNEVEN).to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), bool)
+        for x in self.special:
+            whole |= pc.match_substring(text, x).to_numpy(zero_copy_only=False)
+        out = np.empty(len(texts), object)
+        even = np.flatnonzero(~uneven & ~whole)
+        if len(even):
+            out[even] = self._even(text.take(pa.array(even)))
+        cut = {k: _CUT.split(texts[k]) for k in np.flatnonzero(uneven & ~whole).tolist()}
+        distinct = list({u for c in cut.values() for u in c})
+        known = dict(zip(distinct, self.parts(distinct), strict=True))
+        for k, c in cut.items():
+            out[k] = b"".join([known[u] for u in c])
+        at = np.flatnonzero(whole).tolist()
+        for k, ids in zip(at, self._encode([texts[k] for k in at]), strict=True):
+            out[k] = ids
+        return out.tolist()
 
 
 @lru_cache(maxsize=2)
@@ -138,6 +159,10 @@ def _bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+#: Characters that are encoded at once.
+GROUP = 4_000_000
+
+
 def groups(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first, texts) in groups of about so many characters; null is empty."""
     at, held, n = 0, [], 0
@@ -151,9 +176,15 @@ def groups(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[in
         yield at, held
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, files: int | None = None, key: str = "doc_id", text: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, files: int | None = None, most_records: int = 50_000, key: str = "doc_id", text: str = "text") -> None:
     """Writes docs' token ids to record files under path, in ascending order of the ids (null first; rows that
-    share an id in the order of their texts). Null and empty texts are a record with the end id only."""
+    share an id by a hash of their texts, equal rows side by side). Null and empty texts are a record with the end id
+    only, a text of any length is one record; an empty table is a folder without records. Only key and text are read,
+    under names of this function's own, so other columns don't matter.
+
+    Texts are range-partitioned once, into `files` tasks (twice the input's partitions, if none are named), by id and
+    hash, so rows that share an id are dealt over several; a task begins a new file after most_records, so that its
+    equal rows, however many, make files of a size that can be read."""
     files = files or max(1, 2 * docs.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,19 +192,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
         width, end = bytes([bpe.width]), end_id.to_bytes(bpe.width, "little")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, group in groups(texts):
+            for at, group in groups(texts, GROUP):
                 out = [frame(b"".join((k.to_bytes(8, "little", signed=True), width, e, end))) for k, e in zip(ids[at : at + len(group)], bpe.encode(group), strict=True)]
                 # the record's own newline is the writer's line end
                 yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], names=["value"])
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_t"))
-    rows = rows.repartitionByRange(files, "_id").sortWithinPartitions("_id", "_t")
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    rows = rows.withColumn("_h", F.xxhash64("_t")).repartitionByRange(files, "_id", "_h").sortWithinPartitions("_id", "_h", "_t")
+    out = rows.select("_id", "_t").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    out.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", most_records).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: file, doc_id, offset and length in the file (bytes), n_tokens, ids_crc32, start (ids of
-    all records before it, files by name). This is the offset index, too: a reader takes (file, offset, length)
+    all records before it in the file). This is the offset index, too: a reader takes (file, offset, length)
     in any order. A damaged record is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +226,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, doc_id long, offset long, length long, n_tokens long, ids_crc32 long, start long")
 
 
-def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """Writes the offset index beside the files and reads it again, `start` counted over all files.
+def file_order(file: Column) -> Column:
+    """Numbers of a file's task and of the file among the task's: names of many files don't sort as their numbers do."""
+    number = lambda pattern: F.regexp_extract(file, pattern, 1).try_cast("long")
+    return F.struct(number(r"^part-(\d+)").alias("task"), F.coalesce(number(r"-c(\d+)[^-]*$"), F.lit(0)).alias("file"))
+
 
-    Only a row per file goes through the one-task running sum.
-    """
+def with_starts(index: DataFrame) -> DataFrame:
+    """The index with `start` counted over all files; only a row per file goes through the one-task running sum."""
+    before = Window.orderBy(file_order(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
+    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return index.join(totals, "file").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
+
+
+def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
+    """Writes the offset index beside the files and reads it again, `start` counted over all files."""
     read_token_files(spark, path).write.parquet(index)
-    rows = spark.read.parquet(index)
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(totals, "file").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
+    return with_starts(spark.read.parquet(index))
 
 
 def read_record(path: str, offset: int, length: int) -> tuple[int, np.ndarray]:

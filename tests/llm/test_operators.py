@@ -301,6 +301,28 @@ def test_search_equals_brute_force(spark):
 # ---- 6 token files
 
 
+def test_ids_equal_the_library_however_little_is_remembered(docs):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sluice.llm.token_files import ByteBpe, groups
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(1)
+    parts = ["a", "B", "é", "1", "²", "½", "_", "'", "'s", "'ll", ".", ",", "$", " ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\u00a0", "\u3000", "\u2009", "<|endoftext|>", "漢", "\u0301", "😀", "x y", "ab.", "Ⅷ", "Alpha", "Omega"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    made += ["", "hello <|endoftext|> there", "a <|endoftext|> b", *(r["text"] or "" for r in docs.limit(60).collect())]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in made]
+    assert want[-62:-60] and 50256 in want[3001]
+    for most in (3, 6, 1_000_000):
+        bpe = ByteBpe(path, most)
+        for at, group in groups(made, 3000):
+            for t, ids, w in zip(group, bpe.encode(group), want[at:]):
+                assert np.frombuffer(ids, "<u2").tolist() == w, (most, t)
+
+
 def test_token_files(spark, docs, odd, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -309,22 +331,21 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    extra = [(10**6, "a  b \n c d <|endoftext|> e　f퟿"), (10**6 + 1, " lead and trail "), (10**6 + 2, None)]
+    extra = [(10**6, "a  b \n c d <|endoftext|> e\u3000f\ud7ff"), (10**6 + 1, " lead and trail "), (10**6 + 2, None), (-5, "word " * 100_000), *((10**6 + 3, f"many rows of one id {i % 9}") for i in range(300))]
     rows = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    write_token_files(rows, f"file://{tmp_path}/r", path, files=3)
-    got = write_index(spark, f"file://{tmp_path}/r", f"file://{tmp_path}/i").orderBy("doc_id").collect()
-    at = 0
-    want = sorted(((r["doc_id"], r["text"]) for r in rows.collect()))
-    assert len(got) == len(want)
-    for r, (i, t) in zip(got, want):
-        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
-        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
+    want = sorted((r["doc_id"], [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in rows.collect())
+    for n, options in enumerate(({"files": 3}, {"files": 40, "most_records": 7})):
+        write_token_files(rows, f"file://{tmp_path}/r{n}", path, **options)
+        got = write_index(spark, f"file://{tmp_path}/r{n}", f"file://{tmp_path}/i{n}").orderBy("start").collect()
+        assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want)
+        at, was = 0, None
+        for r in got:
+            assert r["start"] == at and (was is None or r["doc_id"] >= was)
+            at, was = at + r["n_tokens"], r["doc_id"]
     some = got[7]
-    doc, ids = read_record(f"{tmp_path}/r/{some['file']}", some["offset"], some["length"])
+    doc, ids = read_record(f"{tmp_path}/r1/{some['file']}", some["offset"], some["length"])
     assert doc == some["doc_id"] and len(ids) == some["n_tokens"]
-    raw = bytearray(next(p for p in (tmp_path / "r").iterdir() if p.name.startswith("part-")).read_bytes())
+    raw = bytearray(next(p for p in (tmp_path / "r0").iterdir() if p.name.startswith("part-") and p.stat().st_size).read_bytes())
     raw[30] ^= 1
     with pytest.raises(ValueError):
         record_at(memoryview(bytes(raw)), 0)
@@ -333,6 +354,18 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
         assert write_index(spark, f"file://{tmp_path}/o{k}", f"file://{tmp_path}/oi{k}").count() == df.count()
 
 
+def test_starts_follow_the_numbers_of_the_files(spark):
+    from sluice.llm.token_files import with_starts
+
+    names = ["part-00007-u-1-c000.txt", "part-00007-u-1-c001.txt", "part-00007-u-1-c010.txt", "part-10001-u-1-c000.txt", "part-99999-u-1-c000.txt", "part-100000-u-1-c000.txt", "part-100000-u-1-c1000.txt"]
+    rows = [(f, 2 * k + j, 10 + k, j * (10 + k)) for k, f in enumerate(names) for j in range(2)]
+    got = with_starts(spark.createDataFrame(rows[::-1], "file string, doc_id long, n_tokens long, start long")).orderBy("doc_id").collect()
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 # ---- 7 personal data
 
 
