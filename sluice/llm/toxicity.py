@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.runtime import crc_of_key, documents
+from sluice.llm.runtime import crc_of_key, documents, staged
 
+#: Words that are worked on at a time; nothing depends on it.
 PIECE = 256
 _EDGE = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,45 +57,123 @@ class Emissions(dict):
         return found
 
 
-def pieces(lengths: Sequence[int]) -> np.ndarray:
-    """Start offsets of the sequences that lines of these lengths (words) make; over PIECE words, several."""
-    out, at = [], 0
-    for n in lengths:
-        out += range(at, at + n, PIECE)
-        at += n
-    return np.array([*out, at], np.int64)
+def pieces(lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the pieces that lines of these lengths (words) are worked on in, and each piece's number within its
+    line. Lines over PIECE words have several; messages go through them as through one."""
+    n = np.asarray(lengths, np.int64)
+    per = -(-n // PIECE)
+    number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    first = np.repeat(np.cumsum(n) - n, per) + number * PIECE
+    return np.append(first, n.sum()).astype(np.int64), number
 
 
-def marginals(emission: np.ndarray, bounds: np.ndarray, start: float, move: np.ndarray) -> np.ndarray:
-    """P(toxic) of each token, for the sequences [bounds[i], bounds[i + 1]) at once.
+def _steps(length: np.ndarray) -> np.ndarray:
+    """How many of the pieces (longest first) have a token t, for each t from 0 on."""
+    return len(length) - np.searchsorted(length[::-1], np.arange(1, int(length[0]) + 1), side="left")
 
-    Forward and backward messages are log ratios toxic : clean; the sequences advance together, longest first.
-    """
-    if len(emission) == 0:
-        return np.empty(0)
-    first, length = bounds[:-1], np.diff(bounds)
+
+def _transfers(emission: np.ndarray, first: np.ndarray, length: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Of each piece the product over its tokens of (transition, then emission), scaled: (pieces, 2, 2)."""
+    out = np.broadcast_to(np.eye(2), (len(first), 2, 2)).copy()
+    if not len(first):
+        return out
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
-    active = len(length) - np.searchsorted(length[::-1], np.arange(1, int(length[0]) + 1), side="left")
-    oo, ot, to, tt = np.exp(move.ravel())  # clean->clean, clean->toxic, toxic->clean, toxic->toxic
+    m, t = out[order], np.exp(move)
+    for k, n in enumerate(_steps(length).tolist()):
+        x = m[:n] @ t
+        e = np.clip(emission[first[:n] + k], -60, 60)
+        x[:, :, 1] *= np.exp(np.minimum(e, 0))[:, None]
+        x[:, :, 0] *= np.exp(-np.maximum(e, 0))[:, None]
+        m[:n] = np.maximum(x / x.max(axis=(1, 2), keepdims=True), 1e-300)
+    out[order] = m
+    return out
+
+
+def messages(emission: np.ndarray, bounds: np.ndarray, number: np.ndarray, start: float, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (with the token's own emission) and backward messages of each token, as log ratios toxic : clean.
+
+    Pieces advance together, longest first. What enters a line's later pieces from the left, and its earlier ones
+    from the right, is carried through the pieces' transfer products, so lines of any length are one chain each."""
     fwd, bwd = np.empty(len(emission)), np.zeros(len(emission))
-    r = np.clip(start + emission[first], -60, 60)
+    if len(emission) == 0:
+        return fwd, bwd
+    first, length = bounds[:-1], np.diff(bounds)
+    oo, ot, to, tt = np.exp(move.ravel())  # clean->clean, clean->toxic, toxic->clean, toxic->toxic
+    enter = np.full(len(first), float(start))  # log ratio before the first token's emission
+    after = np.zeros(len(first))  # backward message at the last token
+    more = np.append(number[1:] > 0, False)  # the line goes on in the next piece
+    long = np.flatnonzero((number > 0) | more)
+    if len(long):
+        m = np.empty((len(first), 2, 2))
+        m[long] = _transfers(emission, first[long], length[long], move)
+        heads = long[number[long] == 0]
+        r = np.clip(start + emission[first[heads]], -60, 60)
+        # a line's first piece: its first token has the start in place of a transition
+        m0 = _transfers(emission, first[heads] + 1, length[heads] - 1, move)
+        r = _through(m0, r)
+        at = heads
+        while len(at):
+            go = more[at]
+            at, r = at[go] + 1, r[go]
+            enter[at] = np.log((ot + np.exp(r) * tt) / (oo + np.exp(r) * to))
+            r = _through(m[at], r)
+        at = long[~more[long]]
+        r = np.zeros(len(at))
+        while len(at):
+            go = number[at] > 0
+            at, r = at[go], r[go]
+            b = np.exp(r)
+            x = m[at]
+            r = np.log((x[:, 1, 0] + x[:, 1, 1] * b) / (x[:, 0, 0] + x[:, 0, 1] * b))
+            at = at - 1
+            after[at] = r
+    order = np.argsort(-length, kind="stable")
+    first, length, enter, after = first[order], length[order], enter[order], after[order]
+    active = _steps(length).tolist()
+    r = np.clip(enter + emission[first], -60, 60)
     fwd[first] = r
-    for t in range(1, int(length[0])):
+    for t in range(1, len(active)):
         n = active[t]
         e = np.exp(r[:n])
         r = np.clip(emission[first[:n] + t] + np.log((ot + e * tt) / (oo + e * to)), -60, 60)
         fwd[first[:n] + t] = r
     last = first + length - 1
-    r = np.zeros(len(first))
-    for t in range(1, int(length[0])):
+    r = after
+    bwd[last] = r
+    for t in range(1, len(active)):
         n = active[t]
         e = np.exp(np.clip(r[:n] + emission[last[:n] - t + 1], -60, 60))
         r = np.log((to + e * tt) / (oo + e * ot))
         bwd[last[:n] - t] = r
+    return fwd, bwd
+
+
+def _through(m: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Log ratio after the transfers m of what comes in with log ratio r."""
+    e = np.exp(r)
+    return np.clip(np.log((m[:, 0, 1] + e * m[:, 1, 1]) / (m[:, 0, 0] + e * m[:, 1, 0])), -60, 60)
+
+
+def marginals(emission: np.ndarray, lengths: Sequence[int], start: float, move: np.ndarray) -> np.ndarray:
+    """P(toxic) of each token of lines of these lengths, one after the other."""
+    fwd, bwd = messages(emission, *pieces(lengths), start, move)
     return 1 / (1 + np.exp(-np.clip(fwd + bwd, -60, 60)))
 
 
+def expectations(emission: np.ndarray, bounds: np.ndarray, number: np.ndarray, firsts: np.ndarray, start: float, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of each token, and the expected number of each transition within lines (pairwise marginals of
+    forward-backward). firsts: whether a token begins a line."""
+    fwd, bwd = messages(emission, bounds, number, start, move)
+    p = 1 / (1 + np.exp(-np.clip(fwd + bwd, -60, 60)))
+    within = ~firsts[1:]
+    a, b = fwd[:-1][within], (emission[1:] + bwd[1:])[within]
+    # log weights of (from, to), less that of clean -> clean
+    x = np.stack([np.zeros(len(a)), b + move[0, 1] - move[0, 0], a + move[1, 0] - move[0, 0], a + b + move[1, 1] - move[0, 0]])
+    x = np.exp(x - x.max(axis=0))
+    return p, (x / x.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+
 @dataclass
 class Tagger:
     weights: np.ndarray
@@ -152,38 +231,38 @@ def train(texts: Sequence[str], labels: Sequence[int], *, buckets: int = 1 << 18
     alone = distinct_texts(sets)
     marking = toxic_parts([sets[i] for i in alone], [labels[i] for i in alone])
     toxic = np.array([any(x in marking for x in parts(w)) for w in vocabulary], bool)
-    # training sequences: all lines of every text, long ones in the pieces that scoring cuts
+    # training sequences: all lines of every text, whole
     seqs = [line for d in lines for line in d if len(line)]
     weights, bias, start, move = np.zeros(buckets), -2.0, 0.0, np.zeros((2, 2))
     if seqs:
-        bounds = pieces([len(s) for s in seqs])
+        lengths = [len(s) for s in seqs]
+        bounds, number = pieces(lengths)
         words = np.concatenate(seqs)
         lists = [features(w, buckets) for w in vocabulary]
         at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         ids = np.concatenate(lists)
         y = (toxic[words] & np.repeat(np.array(labels, bool), [sum(map(len, d)) for d in lines])).astype(float)
         firsts = np.zeros(len(y), bool)
-        firsts[bounds[:-1]] = True
+        firsts[np.cumsum([0, *lengths[:-1]])] = True
+        within = ~firsts[1:]
+        seen = np.bincount((2 * y[:-1] + y[1:])[within].astype(int), minlength=4).reshape(2, 2)
         theta_sq: dict = {}
 
         def ascend(name, value, grad):
             theta_sq[name] = theta_sq.get(name, 0) + grad * grad
             return value + rate * grad / np.sqrt(theta_sq[name] + 1e-8)
 
-        follow = (~firsts[1:]).astype(float)
-        pairs = lambda z: np.array([[0, (follow * (1 - z[:-1])) @ z[1:]], [(follow * z[:-1]) @ (1 - z[1:]), (follow * z[:-1]) @ z[1:]]])
         for _ in range(steps):
             e = bias + np.bincount(at, weights[ids], len(vocabulary))[words]
-            p = marginals(e, bounds, start, move)
+            p, moves = expectations(e, bounds, number, firsts, start, move)
             miss = y - p
             scale = 1 / max(1.0, y.sum())
             grad = np.bincount(ids, np.bincount(words, miss, len(vocabulary))[at], buckets) * scale - penalty * weights
             weights = ascend("w", weights, grad)
             bias = float(ascend("b", bias, miss.sum() * scale))
             start = float(ascend("s", start, miss[firsts].sum() * scale))
-            # pairs are taken as independent given the marginals; the diagonal learns whether toxic words cluster
-            g = (pairs(y) - pairs(p)) * scale - penalty * move
-            g[0, 0] = 0
+            g = (seen - moves) * scale - penalty * move
+            g[0, 0] = 0  # only differences from clean -> clean matter
             move = ascend("m", move, g)
     tagger = Tagger(weights.astype(np.float32), bias, start, move, np.zeros(3))
     x = np.array([summary(p) for p in document_marginals(tagger, texts)]).reshape(-1, 2)
@@ -221,7 +300,7 @@ def document_marginals(tagger: Tagger, texts: Sequence[str | None], memo: Emissi
     ends: list[int] = []
 
     def flush():
-        p = marginals(np.concatenate(scores) if scores else np.empty(0), pieces(lengths), tagger.start, tagger.move)
+        p = marginals(np.concatenate(scores) if scores else np.empty(0), lengths, tagger.start, tagger.move)
         at = 0
         for end in ends:
             yield p[at:end]
@@ -243,8 +322,9 @@ def document_marginals(tagger: Tagger, texts: Sequence[str | None], memo: Emissi
 
 
 def score_documents(docs: DataFrame, tagger: Tagger, *, key: str = "doc_id", text: str = "text", at_least: float = 0.5) -> DataFrame:
-    """key, score, n_toxic (words), spans ("start:end" of toxic words, code points, comma-joined). Whole texts;
-    null and empty texts have no words and get the curve's value there."""
+    """key, score, n_toxic (words), spans ("start:end" of toxic words, code points, comma-joined). Whole texts, of
+    any length; null and empty texts have no words and get the curve's value there. Every row has a result of its own:
+    repeated rows get equal ones, null keys stay null, an empty table gives no rows. Other columns aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Emissions(tagger.weights, tagger.bias)
@@ -267,18 +347,26 @@ def score_documents(docs: DataFrame, tagger: Tagger, *, key: str = "doc_id", tex
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(run, f"`{key}` long, score double, n_toxic long, spans string")
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, most_docs: int = 4000, most_chars: int = 100_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int], float]:
-    """At most most_docs labelled training texts, half of them toxic where there are as many, chosen by the hash
-    of the id, and the toxic share of all training labels. Texts over most_chars are not used for training. Rows
-    with null labels or ids are left out."""
+def training_sample(docs: DataFrame, labels: DataFrame, *, most_docs: int = 4000, most_chars: int = 10_000_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int], float]:
+    """At most most_docs labelled training texts of most_chars characters together, half of them toxic where there are
+    as many, in the order of a hash of the id, and the toxic share of all training labels. Texts are whole; one that
+    the rest of most_chars has no room for is passed over. Rows with null labels or ids are left out; of rows that
+    share an id one (by a hash of the text) is used; an id with both labels counts with either."""
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_y is not null and _k is not null").where(crc_of_key(F.col("_k")) % 5 != 0).distinct()
     rank = F.xxhash64(F.lit(3), "_k")
     half = most_docs // 2
     chosen = known.where("_y = 1").orderBy(rank).limit(half).union(known.where("_y = 0").orderBy(rank).limit(half))
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").where(F.length("_t") <= most_chars)
-    got = sorted((r["_k"], r["_t"], r["_y"]) for r in rows.toLocalIterator())
+    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_k")  # at most most_docs rows
+    rows = staged(rows.groupBy("_k", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")), "training")
+    left, wanted = most_chars, []
+    for r in rows.select("_k", "_y", F.length("_t").alias("n"), rank.alias("r")).orderBy("r", "_k", "_y").collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            wanted.append((r["_k"], r["_y"]))
+    keep = set(wanted)
+    got = sorted((r["_k"], r["_y"], r["_t"]) for r in rows.toLocalIterator() if (r["_k"], r["_y"]) in keep)
     share = known.agg(F.avg("_y")).first()[0] or 0.0
-    return [t for _, t, _ in got], [y for _, _, y in got], share
+    return [t for _, _, t in got], [y for _, y, _ in got], share
 
 
 def op9_toxicity(spark, sf_dir):
