@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding, and distinct sampled segmentations by Gumbel top-k over the lattice.
 
-A chunk is a run of spaces and the word after it. No piece of the model spans chunks, so a text's lattice is
-the product of its chunks' lattices, and a chunk's encoding and lattice are built once and remembered. A
+A chunk is a run of spaces and the word after it, or a part of that: where no piece of the model has a line break in
+it, line breaks are chunks, and where none has punctuation after a letter or digit, so is punctuation at a word's end.
+No piece spans chunks, so a text's lattice is the product of its chunks' lattices, and a chunk's encoding and lattice
+are built once and remembered. A
 segmentation's log-probability is the sum of its pieces' scores, normalised over the lattice; pieces score by
 Zipf's law of their rank in the model.
 
@@ -16,12 +18,16 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from math import exp
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +35,18 @@ from pyspark.sql import functions as F
 from sluice.llm.runtime import documents
 from sluice.llm.token_files import groups
 
+#: Characters that are worked on at once.
+GROUP = 2_000_000
+
 SPACE = "▁"
 #: Probabilities are drawn in units of 1 / _GRAIN.
 _GRAIN = 1 << 30
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_MARK = "\x1f"
+#: Texts whose words don't lie between single spaces, or that hold the marks.
+_UNEVEN = f"  |^ | $|{SPACE}|{_MARK}"
+#: Punctuation after a letter or digit, up to a cut.
+_TAIL = r"([\p{L}0-9])([!-/:-@\[-`{-~]+)(\x1f|$)"
 
 
 def hashed(codes: np.ndarray, start: np.ndarray, length: int, so_far: np.ndarray | None) -> np.ndarray:
@@ -69,6 +83,12 @@ class Model:
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
                 pieces.setdefault(len(p), []).append((p, i))
         self.longest = max(pieces)
+        known = [p for items in pieces.values() for p, _ in items]
+        #: whether texts can be cut at line breaks, and before punctuation after a letter or digit
+        self.cut_lines = not any("\n" in p for p in known)
+        self.cut_tails = not any((a.isalpha() or a in string.digits) and b in string.punctuation for p in known for a, b in zip(p, p[1:], strict=False))
+        #: what each id stands for, as bytes
+        self.surface = pa.array([bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else b"" if self.sp.is_control(i) else p.encode() for i, p in enumerate(map(self.sp.id_to_piece, range(n)))], pa.large_binary())
         total = np.log(np.sum(1.0 / (np.arange(n) + 2.7)))
         self.score = alpha * (-np.log(np.arange(n) + 2.7) - total)
         # two tables: a piece whose slot in the first is taken goes to the second, and what is left to a dictionary
@@ -114,36 +134,56 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.start: dict[str, int] = {}
-        self.best: dict[str, bytes] = {}
+        self.entry: dict[str, int] = {}  # chunk -> its number; from there its first state and its encoding
         self.several: list[tuple[int, ...]] = []  # pieces of edges that are more than one piece
         self.bytes_of: dict[int, int] = {}
-        self.kinds = {"cum": np.int32, "logp": np.float64, "to": np.int32, "piece": np.int32, "first": np.int32, "count": np.int32}
+        self.kinds = {"cum": np.int32, "logp": np.float64, "to": np.int32, "piece": np.int32, "first": np.int32, "count": np.int32, "start": np.int32, "ids": np.int32, "end": np.int64}
         self.n = dict.fromkeys(self.kinds, 0)
         self.held = {k: np.empty(1 << 12, t) for k, t in self.kinds.items()}
 
-    def learn(self, chunks) -> None:
-        wanted = dict.fromkeys(chunks)
-        new = [c for c in wanted if c not in self.start]
-        if not new:
-            return
+    def learn(self, wanted: list[str]) -> np.ndarray:
+        """Numbers of these distinct chunks, valid until the next call."""
         if self.n["cum"] > self.most:
             self.clear()
-            new = list(wanted)
-        for c, ids in zip(new, self.encoded(new), strict=True):
-            self.best[c] = np.array(ids, "<u4").tobytes()
-        for k, v in self._built(new).items():
-            have, need = self.n[k], self.n[k] + len(v)
-            if need > len(self.held[k]):
-                self.held[k] = np.concatenate([self.held[k][:have], np.empty(2 * need - have, self.kinds[k])])
-            self.held[k][have:need] = v
-            self.n[k] = need
+        found = list(map(self.entry.get, wanted))
+        new = [k for k, e in enumerate(found) if e is None]
+        if new:
+            chunks = [wanted[k] for k in new]
+            at = len(self.entry)
+            lists = self.encoded(chunks)
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            built = self._built(chunks)
+            built |= {"ids": np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), "end": self.n["ids"] + np.cumsum(size)}
+            for k, v in built.items():
+                have, need = self.n[k], self.n[k] + len(v)
+                if need > len(self.held[k]):
+                    self.held[k] = np.concatenate([self.held[k][:have], np.empty(2 * need - have, self.kinds[k])])
+                self.held[k][have:need] = v
+                self.n[k] = need
+            self.entry.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+            for k in new:
+                found[k] = self.entry[wanted[k]]
+        return np.array(found, np.int64)
+
+    def starts(self, entries: np.ndarray) -> np.ndarray:
+        return self.held["start"][entries]
+
+    def best(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' encodings one after the other, and where each ends."""
+        end = self.held["end"]
+        first = np.where(entries > 0, end[np.maximum(entries - 1, 0)], 0)
+        size = end[entries] - first
+        ends = np.cumsum(size)
+        return self.held["ids"][np.repeat(first - ends + size, size) + np.arange(int(size.sum()))], ends
 
     def encoded(self, chunks: list[str]) -> list[list[int]]:
-        """The library's encoding of chunks as they stand within a text: it puts a mark before every text but an
-        empty one, so a chunk goes in without its first mark, and a mark alone is its own piece."""
-        found = self.model.sp.encode([c[1:] for c in chunks], num_threads=1)
-        return [ids if c != SPACE else [self.model.sp.piece_to_id(SPACE)] for c, ids in zip(chunks, found, strict=True)]
+        """The library's encoding of chunks as they stand within a text. It puts a mark before every text but an empty
+        one: a chunk goes in without its first mark, one that has none after a line break, and a mark alone is its own
+        piece."""
+        sp = self.model.sp
+        before = sp.encode("\n")
+        found = sp.encode([c[1:] if c[0] == SPACE else "\n" + c for c in chunks], num_threads=1)
+        return [[sp.piece_to_id(SPACE)] if c == SPACE else ids if c[0] == SPACE else ids[len(before) :] for c, ids in zip(chunks, found, strict=True)]
 
     def _byte_edge(self, code: int) -> int:
         """Piece of a character that is none itself: its byte, or the number (negative) of an edge of several bytes."""
@@ -211,18 +251,24 @@ class Lattices:
         base, edges = self.n["first"], self.n["cum"]
         first, count = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
         first[state], count[state] = edges + opens, counts
-        begin = (base + np.cumsum(size) - size).tolist()
-        self.start.update(zip(chunks, begin, strict=True))
-        return {"cum": grain, "logp": x, "to": np.where(last, -1, base + src + length), "piece": piece, "first": first, "count": count}
+        return {"start": base + np.cumsum(size) - size, "cum": grain, "logp": x, "to": np.where(last, -1, base + src + length), "piece": piece, "first": first, "count": count}
 
     def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return tuple(self.held[k] for k in ("cum", "logp", "to", "first", "count"))
 
-    def pieces(self, edges: np.ndarray) -> np.ndarray:
+    def pieces(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The edges' pieces one after the other, and how many each has."""
         found = self.held["piece"][edges]
-        if len(found) and found.min() < 0:
-            return np.array([i for e in found.tolist() for i in ((e,) if e >= 0 else self.several[-e - 1])], np.int32)
-        return found
+        size = np.ones(len(found), np.int64)
+        at = np.flatnonzero(found < 0)
+        if not len(at):
+            return found, size
+        more = [self.several[-e - 1] for e in found[at].tolist()]
+        size[at] = [len(x) for x in more]
+        out = np.empty(int(size.sum()), np.int32)
+        many = np.repeat(found < 0, size)
+        out[~many], out[many] = found[found >= 0], [i for x in more for i in x]
+        return out, size
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -233,9 +279,10 @@ def scrambled(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def named(seed: int, what: int, index: np.ndarray) -> np.ndarray:
+def named(seed: np.ndarray, what: int, index: np.ndarray) -> np.ndarray:
+    """Bits of draw `index` of kind `what` for each of the seeds."""
     with np.errstate(over="ignore"):
-        base = scrambled(np.array([(seed + what * 0x9E3779B97F4A7C15) & 2**64 - 1], np.uint64))
+        base = scrambled(seed + np.uint64(what * 0x9E3779B97F4A7C15 & 2**64 - 1))
         return scrambled(base + index.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
@@ -276,96 +323,173 @@ def truncated(location: np.ndarray, most: float, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-most, -location + np.log(-np.log(u)))
 
 
-class Search:
-    """The perturbed A* search of one text: what is popped, what waits."""
-
-    def __init__(self, starts: np.ndarray, seed: int, flat):
-        self.starts, self.seed, self.flat = starts, seed, flat
-        self.heap: list = []
-        self.out: list[tuple[float, float, np.ndarray]] = []
-        self.drawn = 0
-        self.bound = float(-np.log(-np.log(uniform(named(seed, 1, np.zeros(1)))[0])))
-        self.path = self.step = None
-        self.barred: tuple = ()
-
-    def begin(self) -> tuple[np.ndarray, np.ndarray]:
-        """States to walk from, and the keys of the walks; the path up to there is in self.path."""
-        if self.path is None:
-            at, begin = 0, self.starts
-            self.head = None
-        else:
-            _, logp, to, first, count = self.flat
-            chunk, state, edge = self.path
-            t = self.step
-            s = state[t]
-            choice = np.array([e for e in range(first[s], first[s] + count[s]) if e not in self.barred])
+class Path:
+    """A segmentation that is out: per step its chunk (number in the text), state, edge and the log-probability of
+    the steps before it."""
+
+    __slots__ = ("before", "chunk", "edge", "state")
+
+    def __init__(self, chunk, state, edge, before):
+        self.chunk, self.state, self.edge, self.before = chunk, state, edge, before
+
+
+def best_of(values: np.ndarray, bounds: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The largest value of each segment, then the next, up to `most`: (segments that have one, places). -inf is none."""
+    values = values.copy()
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    top = np.full(len(bounds) - 1, -np.inf)
+    some = np.flatnonzero(np.diff(bounds) > 0)
+    for _ in range(most):
+        if not len(some):
+            return
+        top[:] = -np.inf
+        # a segment that is left out has nothing but -inf, so it doesn't matter to which one before it goes
+        top[some] = np.maximum.reduceat(values, bounds[some])
+        some = np.flatnonzero(top > -np.inf)
+        hit = np.flatnonzero((values == top[owner]) & (values > -np.inf))
+        _, first = np.unique(owner[hit], return_index=True)
+        hit = hit[first]
+        yield some, hit
+        values[hit] = -np.inf
+
+
+def top_k(starts: np.ndarray, bounds: np.ndarray, seeds: list[int], flat, k: int) -> list[tuple[list[tuple[float, float, np.ndarray]], float]]:
+    """For each text up to k distinct segmentations (perturbed score, log-probability, edges), best first, and the
+    k+1st perturbed score (-inf if there is none). starts: first states of all texts' chunks, text by text at bounds.
+
+    All texts are searched together, sample by sample: walks, perturbed bounds and the choice of the best nodes are
+    arrays over all of them; a text's queue holds the k best nodes that part from each path."""
+    _, logp, to, first, count = flat
+    n = len(bounds) - 1
+    seed = np.array(seeds, np.uint64)
+    score = -np.log(-np.log(uniform(named(seed, 1, np.zeros(n)))))
+    heaps: list[list] = [[] for _ in range(n)]
+    out: list[list] = [[] for _ in range(n)]
+    live = np.arange(n)
+    # of each live text: what its walk begins with, and at which chunk
+    begin, begins, at = starts.astype(np.int64), bounds, np.zeros(n, np.int64)
+    heads: list[tuple | None] = [None] * n
+    for drawn in range(k):
+        size = np.diff(begins)
+        owner = np.repeat(np.arange(len(live)), size)
+        chunk = np.arange(len(begin)) - np.repeat(begins[:-1] - at, size)
+        who, state, edge = walk(begin, named(seed[live][owner], 3 + drawn, chunk), flat)
+        cut = np.searchsorted(who, begins)
+        owner, chunk = owner[who], chunk[who]
+        step = logp[edge]
+        # log-probability before each step: of the text's steps here, and of the path they follow
+        total = np.cumsum(step)
+        ahead = np.zeros(len(live))
+        for i, head in enumerate(heads):
+            if head is not None:
+                ahead[i] = head[3]
+        base = np.where(cut[:-1] > 0, total[np.maximum(cut[:-1] - 1, 0)], 0.0) if len(total) else np.zeros(len(live))
+        before = total - step - (base - ahead)[owner] if len(total) else total
+        left = -np.expm1(step)
+        place = np.arange(len(step)) - np.repeat(cut[:-1], np.diff(cut)) + (drawn > 0)
+        on = np.flatnonzero((count[state] > 1) & (left > 0))
+        bound = np.full(len(step), -np.inf)
+        bound[on] = truncated(before[on] + np.log(left[on]), score[live][owner[on]], uniform(named(seed[live][owner[on]], -drawn - 1, place[on])))
+        paths: list[Path] = []
+        for i, text in enumerate(live.tolist()):
+            a, b = cut[i], cut[i + 1]
+            head = heads[i]
+            if head is None:
+                path = Path(chunk[a:b], state[a:b], edge[a:b], before[a:b])
+            else:
+                parent, t, e, _, bar = head
+                join = lambda x, y, z: np.concatenate([x[: t + 1], z]) if y is None else np.concatenate([x[:t], [y], z])  # noqa: E731, B023
+                path = Path(join(parent.chunk, None, chunk[a:b]), join(parent.state, None, state[a:b]), join(parent.edge, e, edge[a:b]), join(parent.before, None, before[a:b]))
+                s, p = int(parent.state[t]), float(logp[e])
+                rest = max(0.0, -float(np.expm1(p)) - sum(exp(logp[x]) for x in bar))
+                if count[s] > len(bar) + 1 and rest > 0:
+                    u = uniform(named(seed[text : text + 1], -drawn - 1, np.zeros(1)))
+                    g = float(truncated(parent.before[t] + np.log(rest), score[text], u)[0])
+                    heapq.heappush(heaps[text], (-g, drawn, t, path, (e, *bar)))
+            paths.append(path)
+            out[text].append((float(score[text]), float(path.before[-1] + logp[path.edge[-1]]) if len(path.edge) else 0.0, path.edge))
+        for some, hits in best_of(bound, cut, k):
+            for i, hit in zip(some.tolist(), hits.tolist(), strict=True):
+                path = paths[i]
+                t = len(path.edge) - int(cut[i + 1] - hit)
+                heapq.heappush(heaps[int(live[i])], (-float(bound[hit]), drawn, t, path, (int(edge[hit]),)))
+        live = np.array([text for text in live.tolist() if heaps[text]], np.int64)
+        heads, parts, at = [], [], []
+        draws = uniform(named(seed[live], 2, np.full(len(live), drawn + 1)))
+        for text, u in zip(live.tolist(), draws.tolist(), strict=True):
+            g, _, t, parent, bar = heapq.heappop(heaps[text])
+            score[text] = -g
+            if drawn == k - 1:
+                continue
+            s = int(parent.state[t])
+            choice = [e for e in range(int(first[s]), int(first[s] + count[s])) if e not in bar]
             p = np.cumsum(np.exp(logp[choice]))
-            u = uniform(named(self.seed, 2, np.array([self.drawn])))[0]
             e = choice[min(int(np.searchsorted(p, u * p[-1], side="right")), len(choice) - 1)]
             on = to[e] >= 0
-            at = int(chunk[t]) + (not on)
-            begin = np.concatenate([[to[e]], self.starts[at + 1 :]]) if on else self.starts[at:]
-            self.head = np.copy(chunk[: t + 1]), np.copy(state[: t + 1]), np.concatenate([edge[:t], [e]])
-        self.at = at
-        return begin, named(self.seed, 3 + self.drawn, np.arange(at, at + len(begin)))
-
-    def take(self, chunk: np.ndarray, state: np.ndarray, edge: np.ndarray, k: int) -> None:
-        """The walked path: the segmentation is out, and the rest of its node waits, parted by where it leaves the path."""
-        _, logp, _, _, count = self.flat
-        chunk = chunk + self.at
-        if self.head is not None:
-            chunk, state, edge = (np.concatenate([x, y]) for x, y in zip(self.head, (chunk, state, edge), strict=True))
-        steps = logp[edge]
-        self.out.append((self.bound, float(steps.sum()), edge))
-        self.drawn += 1
-        low = self.step if self.step is not None else 0
-        before = np.cumsum(steps) - steps
-        left = -np.expm1(steps[low:])  # the mass that leaves the path at each step
-        free = count[state[low:]] > 1
-        if self.step is not None:
-            left[0] = max(0.0, left[0] - float(np.exp(logp[list(self.barred)]).sum()))
-            free[0] = count[state[low]] > len(self.barred) + 1
-        at = np.flatnonzero(free & (left > 0))
-        if len(at):
-            u = uniform(named(self.seed, -self.drawn, at))
-            bounds = truncated(before[low:][at] + np.log(left[at]), self.bound, u)
-            # only the k best of these can ever be popped
-            for i in np.argsort(-bounds, kind="stable")[: k + 1].tolist():
-                t = low + int(at[i])
-                bar = (int(edge[t]), *(self.barred if t == self.step else ()))
-                heapq.heappush(self.heap, (-float(bounds[i]), self.drawn, t, (chunk, state, edge), bar))
-
-    def pop(self) -> bool:
-        if not self.heap:
-            return False
-        bound, _, self.step, self.path, self.barred = heapq.heappop(self.heap)
-        self.bound = -bound
-        return True
-
-
-def top_k(starts: list[np.ndarray], seeds: list[int], flat, k: int) -> list[tuple[list[tuple[float, float, np.ndarray]], float]]:
-    """For each text up to k distinct segmentations (perturbed score, log-probability, edges), best first, and the
-    k+1st perturbed score (-inf if there is none). The texts' walks are done together, sample by sample."""
-    searches = [Search(s, seed, flat) for s, seed in zip(starts, seeds, strict=True)]
-    live = searches
-    for _ in range(k):
-        begun = [x.begin() for x in live]
-        bounds = np.cumsum([0, *(len(b) for b, _ in begun)])
-        if begun:
-            states = np.concatenate([b for b, _ in begun]).astype(np.int64)
-            chunk, state, edge = walk(states, np.concatenate([key for _, key in begun]), flat)
-            cut = np.searchsorted(chunk, bounds)
-            for n, x in enumerate(live):
-                a, b = cut[n], cut[n + 1]
-                x.take(chunk[a:b] - bounds[n], state[a:b], edge[a:b], k)
-        live = [x for x in live if x.pop()]
-    waiting = {id(x) for x in live}
-    return [(x.out, x.bound if id(x) in waiting else -np.inf) for x in searches]
-
-
-def chunks_of(text: str) -> list[str]:
+            c = int(parent.chunk[t]) + (not on)
+            later = starts[bounds[text] + c + 1 : bounds[text + 1]] if on else starts[bounds[text] + c : bounds[text + 1]]
+            parts.append(np.concatenate([[to[e]], later]) if on else later)
+            at.append(c)
+            heads.append((parent, t, e, float(parent.before[t] + logp[e]), bar))
+        begin = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+        begins, at = np.cumsum([0, *map(len, parts)]), np.array(at, np.int64)
+        if not len(live):
+            break
+    waiting = set(live.tolist())
+    return [(found, float(score[text]) if text in waiting else -np.inf) for text, found in enumerate(out)]
+
+
+def chunks_of(text: str, model: Model) -> list[str]:
     """The text with its leading mark, cut into chunks."""
-    return _CHUNK.findall((" " + text).replace(" ", SPACE))
+    words = _CHUNK.findall((" " + text).replace(" ", SPACE))
+    if model.cut_lines:
+        words = [x for w in words for x in re.split("(\n)", w) if x]
+    if model.cut_tails:
+        words = [x for w in words for x in _tailed(w)]
+    return words
+
+
+def _tailed(word: str) -> tuple[str, ...]:
+    stem = word.rstrip(string.punctuation)
+    return (stem, word[len(stem) :]) if stem != word and stem and (stem[-1].isalpha() or stem[-1] in string.digits) else (word,)
+
+
+def chunked(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct chunks, which of them each chunk of the texts is, the texts' bounds). Texts whose words lie between
+    single spaces are cut and their chunks told apart by Arrow."""
+    text = pa.array(texts, pa.large_string())
+    size = pc.binary_length(text).to_numpy()
+    uneven = pc.match_substring_regex(text, _UNEVEN).to_numpy(zero_copy_only=False)
+    even = np.flatnonzero(~uneven & (size > 0))
+    distinct: dict[str, int] = {}
+    n = np.zeros(len(texts), np.int64)
+    which = np.empty(0, np.int64)
+    if len(even):
+        some = pc.replace_substring(text.take(pa.array(even)), " ", _MARK + SPACE)
+        if model.cut_lines:
+            some = pc.replace_substring(some, "\n", f"{_MARK}\n{_MARK}")
+        if model.cut_tails:
+            some = pc.replace_substring_regex(some, _TAIL, f"\\1{_MARK}\\2\\3")
+        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), some, pa.scalar("", pa.large_string())), _MARK)
+        flat = split.flatten()
+        real = pc.not_equal(flat, "")  # nothing between two line breaks
+        owner = np.repeat(np.arange(len(even)), np.diff(split.offsets.to_numpy()))[real.to_numpy(zero_copy_only=False)]
+        coded = flat.filter(real).dictionary_encode()
+        n[even] = np.bincount(owner, minlength=len(even))
+        which = coded.indices.to_numpy().astype(np.int64)
+        distinct = {w: k for k, w in enumerate(coded.dictionary.to_numpy(zero_copy_only=False).tolist())}
+    odd = {int(k): [distinct.setdefault(c, len(distinct)) for c in chunks_of(texts[k], model)] for k in np.flatnonzero(uneven)}
+    if odd:
+        n[list(odd)] = [len(c) for c in odd.values()]
+        out = np.empty(int(n.sum()), np.int64)
+        mine = np.repeat(np.isin(np.arange(len(texts)), list(odd)), n)
+        out[~mine], out[mine] = which, np.concatenate([np.array(odd[k], np.int64) for k in sorted(odd)])
+        which = out
+    return list(distinct), which, np.cumsum([0, *n.tolist()])
+
+
+def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int32()))
 
 
 @lru_cache(maxsize=2)
@@ -379,6 +503,33 @@ def _lattices(path: str, alpha: float) -> Lattices:
     return Lattices(_model(path, alpha))
 
 
+def decoded_equal(ids: np.ndarray, ends: np.ndarray, texts: list[str], model: Model) -> np.ndarray:
+    """Whether the ids of each text decode to it: what they stand for, one after the other, a space for each mark,
+    less the first."""
+    whole = model.surface.take(pa.array(ids))
+    at = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8)[np.concatenate([[0], ends])]
+    data = bytes(whole.buffers()[2] or b"")
+    mark = SPACE.encode()
+    return np.array([data[a:b].replace(mark, b" ") == (b" " + t.encode("utf-8", "surrogatepass") if t else b"") for a, b, t in zip(at[:-1].tolist(), at[1:].tolist(), texts, strict=True)], bool)
+
+
+def sampled(drawn: list[tuple[list[tuple[float, float, np.ndarray]], float]], lat: Lattices) -> pa.ListArray:
+    """The samples of texts, and the probability that each is among the k: that its perturbed score is over the
+    k+1st."""
+    every = [x for got, _ in drawn for x in got]
+    floor = np.array([f for got, f in drawn for _ in got], float)
+    edges = np.concatenate([e for _, _, e in every]).astype(np.int64) if every else np.empty(0, np.int64)
+    ends = np.cumsum([len(e) for _, _, e in every]) if every else np.empty(0, np.int64)
+    ids, size = lat.pieces(edges)
+    ends = np.concatenate([[0], np.cumsum(size)])[ends]
+    lp = np.array([x for _, x, _ in every], float)
+    with np.errstate(over="ignore", invalid="ignore"):
+        inclusion = np.where(np.isfinite(floor), -np.expm1(-np.exp(np.minimum(lp - floor, 700))), 1.0)
+    fields = [lists(ids, ends), pa.array(lp), pa.array([g for g, _, _ in every], pa.float64()), pa.array(inclusion)]
+    rows = pa.StructArray.from_arrays(fields, names=["ids", "log_prob", "perturbed", "inclusion"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(got) for got, _ in drawn)]), pa.int32()), rows)
+
+
 def encode_documents(docs: DataFrame, model: str, *, k: int = 2, alpha: float = 1.0, seed: int = 23, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """Per row: key, ids (the library's best encoding), decoded (equals the text), samples: up to k distinct
     segmentations (ids, log_prob, perturbed, inclusion), seeded by the row's key.
@@ -390,22 +541,17 @@ def encode_documents(docs: DataFrame, model: str, *, k: int = 2, alpha: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = _lattices(model, alpha)
         m = lat.model
-        kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]))
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, group in groups(texts):
-                best, same, samples = [], [], []
-                found_of = [chunks_of(t) if t else [] for t in group]
-                lat.learn(c for found in found_of for c in found)
-                flat = lat.flat()
+            for at, group in groups(texts, GROUP):
+                distinct, which, bounds = chunked(group, m)
+                entries = lat.learn(distinct)[which] if distinct else which
+                raw, ends = lat.best(entries)
+                ends = np.concatenate([[0], ends])[bounds[1:]]
+                same = decoded_equal(raw, ends, group, m)
                 seeds = [xxhash.xxh3_64_intdigest(repr(name).encode(), seed=seed) for name in keys[at : at + len(group)]]
-                drawn = top_k([np.array([lat.start[c] for c in found], np.int64) for found in found_of], seeds, flat, k)
-                for t, found, (got, floor) in zip(group, found_of, drawn, strict=True):
-                    raw = np.frombuffer(b"".join([lat.best[c] for c in found]), "<u4").astype(np.int32)
-                    best.append(raw)
-                    same.append(m.sp.decode(raw.tolist()) == t)
-                    samples.append([{"ids": lat.pieces(edges), "log_prob": lp, "perturbed": g, "inclusion": float(-np.expm1(-np.exp(min(lp - floor, 700)))) if np.isfinite(floor) else 1.0} for g, lp, edges in got])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(best)), pa.array(best, pa.list_(pa.int32())), pa.array(same), pa.array(samples, kind)], names=["_key", "ids", "decoded", "samples"])
+                drawn = top_k(lat.starts(entries), bounds, seeds, lat.flat(), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), lists(raw, ends), pa.array(same), sampled(drawn, lat)], names=["_key", "ids", "decoded", "samples"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))
     sample = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
