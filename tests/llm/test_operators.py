@@ -119,21 +119,59 @@ def test_quality_counts(spark, docs, odd):
         assert (r["n"], r["c"], r["s"], r["l"], r["r"]) == (len(w), sum(map(len, w)), sum((r["text"] or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeated(w))
 
 
+def rejected_by(t):
+    """Names of the default rules that reject a text."""
+    t = t or ""
+    w = words(t)
+    lines = [x for x in t.split("\n") if words(x)]
+    n, chars = len(w), sum(map(len, w))
+    said = {"few_words": n < 50, "repeated_words": 100 * repeated(w) > 50 * n, "symbols": 100 * sum(t.count(c) for c in "#*$%&|<>") > 30 * n}
+    said |= {"repeated_lines": 100 * (len(lines) - len(set(lines))) > 50 * len(lines), "word_length": chars < 2.5 * n or chars > 12 * n}
+    return {k for k, v in said.items() if v}
+
+
 def test_cascade(spark, docs, odd, empty):
-    from sluice.llm.quality import cascade, default_rules, estimate, quality_filter
+    from sluice.llm.quality import Counts, Rule, cascade, default_rules, estimate, op2_quality_rules, quality_filter
+    from sluice.llm.runtime import words as split
 
-    rules = default_rules(F.col("text"))
-    order = estimate(docs, rules, fraction=0.5)
+    rules = default_rules()
+    order = estimate(docs, rules)
     assert {e.rule.name for e in order} == {r.name for r in rules}
     ranks = [e.rank for e in order]
-    assert ranks == sorted(ranks, reverse=True)
-    a = docs.where(cascade([e.rule for e in order]).isNull()).select("doc_id").toPandas().doc_id.tolist()
-    b = docs.where(cascade(rules[::-1]).isNull()).select("doc_id").toPandas().doc_id.tolist()
-    assert sorted(a) == sorted(b) and 0 < len(a) < docs.count()
+    assert ranks == sorted(ranks, reverse=True) and all(e.cost > 0 for e in order)
+    rng = np.random.default_rng(9)
+    made = [(10**6 + i, " ".join(rng.choice([f"w{k}" for k in range(int(rng.integers(2, 90)))], int(rng.integers(0, 90))))) for i in range(120)]
+    made += [(2 * 10**6 + i, "\n".join(rng.choice([f"a line {k} of it" for k in range(9)], 20)) + " #" * int(rng.integers(0, 40))) for i in range(20)]
+    rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame(made, "doc_id long, text string"))
+    t = F.coalesce("text", F.lit(""))
+    for some in ([e.rule for e in order], rules[::-1]):
+        for r in rows.withColumn("_w", split(F.col("text"))).select("text", cascade(some, Counts(t, F.col("_w"))).alias("by")).collect():
+            want = [x.name for x in some if x.name in rejected_by(r["text"])]
+            assert r["by"] == (want[0] if want else None)
+    left = sorted(r["doc_id"] for r in quality_filter(rows).select("doc_id").collect())
+    assert left == sorted(r["doc_id"] for r in rows.collect() if not rejected_by(r["text"]))
+    kept = {r["doc_id"]: r["kept"] for r in op2_quality_rules(spark, SF).collect()}
+    assert kept == {r["doc_id"]: not rejected_by(r["text"]) for r in docs.collect()}
+    # what an earlier rule rejects doesn't reach a later one
+    stop = Rule("stop", lambda c: F.when(c.n_words >= 0, F.lit(True)).otherwise(F.lit(False)))
+    fail = Rule("fail", lambda c: F.assert_true(c.n_words < 0).isNull())
+    assert rows.select(cascade([stop, fail], Counts(t, split(F.col("text")))).alias("by")).where("by = 'stop'").count() == rows.count()
     assert quality_filter(odd).columns == odd.columns
+    clash = odd.withColumnsRenamed({"lang": "_w", "source": "_t"})
+    assert quality_filter(clash).columns == clash.columns
     assert quality_filter(empty).count() == 0
 
 
+def test_order_of_rules_repeats(docs):
+    from sluice.llm.quality import default_rules, estimate
+
+    orders = [[(e.rule.name, e.cost, e.rejected) for e in estimate(docs, default_rules(), rows=rows)] for rows in (100, 100, 2000, 2000)]
+    assert orders[0] == orders[1] and orders[2] == orders[3]
+    w = [words(r["text"]) for r in docs.collect()]
+    few = next(x for x in orders[2] if x[0] == "few_words")
+    assert few[2] == pytest.approx(sum(len(x) < 50 for x in w) / len(w))
+
+
 # ---- 3 SentencePiece
 
 
@@ -163,13 +201,39 @@ def test_encoding_equals_the_library(spark, docs, odd, empty, pieces):
     assert encode_documents(empty, pieces).count() == 0
 
 
+def test_texts_are_cut_where_no_piece_spans(pieces):
+    """Chunks encode to what the whole text does, however they were cut, and decode to it."""
+    import random
+
+    import sentencepiece
+
+    from sluice.llm.sentencepiece_op import Lattices, Model, chunked, decoded_equal
+
+    m, rng = Model(pieces), random.Random(4)
+    assert m.cut_lines and m.cut_tails
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    parts = ["a", "the", "Bé", "1", "²", ".", ",", "'s", "$", " ", " ", " ", "\n", "\n", "\t", "\u3000", "漢", "\u0301", "😀", "x.y", "ab.", "\x1f"]
+    texts = ["", " ", "\n", "a\n\n b. ", *("".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(1500))]
+    lat = Lattices(m, most_edges=20_000)
+    for k in range(0, len(texts), 100):
+        group = texts[k : k + 100]
+        distinct, which, bounds = chunked(group, m)
+        raw, ends = lat.best(lat.learn(distinct)[which])
+        ends = np.concatenate([[0], ends])[bounds]
+        for t, a, b in zip(group, ends, ends[1:]):
+            assert raw[a:b].tolist() == sp.encode(t), t
+        assert decoded_equal(raw, ends[1:], group, m).all()
+        assert not decoded_equal(raw, ends[1:], [t + "?" for t in group], m).any()
+
+
 def test_samples_follow_the_lattice(pieces):
     from sluice.llm.sentencepiece_op import Lattices, Model, chunks_of, top_k
 
-    lat = Lattices(Model(pieces))
-    found = chunks_of("ab the")
-    lat.learn(found)
-    starts, flat = np.array([lat.start[c] for c in found]), lat.flat()
+    m = Model(pieces)
+    lat = Lattices(m)
+    found = chunks_of("ab the", m)
+    starts, flat = lat.starts(lat.learn(found)), lat.flat()
+    several = lambda n: (np.tile(starts, n), np.arange(n + 1) * len(starts))
 
     def paths(at):
         if at < 0:
@@ -179,8 +243,7 @@ def test_samples_follow_the_lattice(pieces):
     every = {a + b: x + y for a, x in paths(starts[0]) for b, y in paths(starts[1])}
     assert sum(np.exp(v) for v in every.values()) == pytest.approx(1, abs=1e-6)
     first, both, n = Counter(), Counter(), 6000
-    for i in range(n):
-        got, floor = top_k([starts], [i * 7919], flat, 2)[0]
+    for got, floor in top_k(*several(n), [i * 7919 for i in range(n)], flat, 2):
         keys = [tuple(e.tolist()) for _, _, e in got]
         assert len(set(keys)) == len(keys) == min(2, len(every)) and floor < got[-1][0]
         for (_, lp, _), k in zip(got, keys):
@@ -192,11 +255,15 @@ def test_samples_follow_the_lattice(pieces):
         second = sum(p[j] * p[k] / (1 - p[j]) for j in every if j != k)
         assert first[k] / n == pytest.approx(p[k], abs=0.025)
         assert both[k] / n == pytest.approx(second, abs=0.025)
-    whole, floor = top_k([starts], [1], flat, len(every) + 5)[0]
-    assert {tuple(e.tolist()) for _, _, e in whole} == set(every) and len(whole) == len(every) and floor == -np.inf
-    alone = [top_k([starts], [i], flat, 3)[0] for i in range(5)]
-    together = top_k([starts] * 5, list(range(5)), flat, 3)
+    for whole, floor in top_k(*several(20), list(range(20)), flat, len(every) + 5):
+        assert {tuple(e.tolist()) for _, _, e in whole} == set(every) and len(whole) == len(every) and floor == -np.inf
+        scores = [g for g, _, _ in whole]
+        assert scores == sorted(scores, reverse=True)
+    alone = [top_k(*several(1), [i], flat, 3)[0] for i in range(5)]
+    together = top_k(*several(5), list(range(5)), flat, 3)
     assert [[e.tolist() for _, _, e in a] for a, _ in alone] == [[e.tolist() for _, _, e in a] for a, _ in together]
+    none = top_k(np.concatenate([starts, starts]), np.array([0, 0, len(starts), len(starts), 2 * len(starts)]), [1, 2, 3, 4], flat, 2)
+    assert [len(e) for _, _, e in none[0][0]] == [0] and none[0][1] == none[2][1] == -np.inf and len(none[1][0]) == 2
 
 
 # ---- 4 near duplicates
@@ -445,41 +512,13 @@ def test_lm_scores(spark, odd, empty):
     assert gain > 0
 
 
-def test_lm_probabilities_sum_to_one_and_tail_joins(spark, docs, odd, empty):
-    from sluice.llm.suffix_tree import learn, prior, score_documents
-
-    tree, unigrams = learn(docs, share=(2e-3, 1e-3))
-    assert len(tree.levels) == 2 and len(tree.levels[0].key)
-    words_ = np.arange(len(tree.counts))
-    rest = 1 - (tree.counts.sum() + 0.1 * len(tree.counts)) / tree.bottom
-    for d, level in enumerate(tree.levels):
-        for s in range(min(5, len(level.key))):
-            below = np.full(len(words_), -1)
-            if d:
-                below[:] = np.searchsorted(tree.levels[0].key, level.key[s] & 0xFFFFFFFF) if (level.key[s] & 0xFFFFFFFF) in tree.levels[0].key else -1
-            states = [np.full(len(words_), s)] if d == 0 else [below, np.full(len(words_), s)]
-            left = (level.o[s] + tree.mu) / (level.n[s] + tree.mu)
-            if d and below[0] >= 0:
-                up = tree.levels[0]
-                left *= (up.o[below[0]] + tree.mu) / (up.n[below[0]] + tree.mu)
-            assert prior(tree, words_, states).sum() + left * rest == pytest.approx(1, abs=1e-9)
-    whole = {r["doc_id"]: r for r in score_documents(docs, tree, unigrams).collect()}
-    small, table = learn(docs, head_share=1e-3, share=(2e-3, 1e-3))
-    assert len(small.counts) < len(tree.counts)
-    for r in score_documents(docs, small, table).collect():
-        assert r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"]) and r["n_known"] == whole[r["doc_id"]]["n_known"]
-    assert score_documents(odd, tree, unigrams).count() == len(ODD)
-    none, nothing = learn(empty)
-    assert score_documents(odd, none, nothing).where("n_known = 0").count() == len(ODD)
-    assert score_documents(empty, none, nothing).count() == 0
-
-
-def by_hand(train, texts, mu=5.0):
-    """Scores of the suffix tree over word tuples, every run seen twice or more a candidate; the contexts kept."""
+def by_hand(train, texts, mu=5.0, depth=2):
+    """Scores of the suffix tree over word tuples, every run seen twice or more a candidate; the contexts kept, and
+    P(x | s) as a function."""
     toks = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     c = Counter()
     for t in map(toks, train):
-        for k in (1, 2, 3):
+        for k in range(1, depth + 2):
             c.update(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
     n = sum(v for g, v in c.items() if len(g) == 1)
     bottom = n + 0.1 * (sum(len(g) == 1 for g in c) + 1)
@@ -494,7 +533,7 @@ def by_hand(train, texts, mu=5.0):
         e = c[(*s, x)]
         return ((e if e >= 2 else 0) + (kept[s] + mu) * q) / (c[s] + mu)
 
-    for k in (1, 2):
+    for k in range(1, depth + 1):
         edges = {}
         for g, v in c.items():
             if len(g) == k + 1 and v >= 2:
@@ -507,56 +546,135 @@ def by_hand(train, texts, mu=5.0):
             if gain > 0.5 * len(e) * np.log(n):
                 stay[s] = o
         kept.update(stay)
-    return [sum(np.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(len(w))) for w in map(toks, texts)], kept
+    return [sum(np.log10(p(tuple(w[max(0, i - depth) : i]), w[i])) for i in range(len(w))) for w in map(toks, texts)], kept, p
 
 
-def test_lm_scores_use_every_context_whatever_the_head(spark, docs, odd):
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_lm_scores_equal_a_tree_by_hand(spark, docs, odd, depth):
+    """Whatever the head lists, of whatever depth; probabilities after a context sum to one."""
     from sluice.llm.suffix_tree import learn, score_documents
 
     rows = docs.limit(150).select("doc_id", "text").union(odd.where("doc_id = 8").selectExpr("-doc_id", "text")).collect()
+    rows += [(10**6 + k, "kappa the omega " + t) for k, t in enumerate(("and so", "and so", "or not"))]  # a rare first word
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    want, kept = by_hand([r["text"] for r in rows], [r["text"] for r in rows])
-    assert {len(s) for s in kept} == {1, 2}
-    for bounds in ({}, {"head_share": 1e-3, "share": (1e-2, 1e-2), "edge_share": 1e-3}):
-        tree, whole = learn(table, **bounds)
-        got = {r["doc_id"]: r["score"] for r in score_documents(table, tree, whole).collect()}
-        assert [got[r["doc_id"]] for r in rows] == pytest.approx(want, rel=1e-9)
+    want, kept, p = by_hand([r[1] for r in rows], [r[1] for r in rows], depth=depth)
+    assert {len(s) for s in kept} == set(range(1, depth + 1))
+    assert depth < 2 or (b"kappa", b"the") in kept
+    for bounds in ({}, {"head_share": 1e-3, "edge_share": 1e-3}):
+        tree = learn(table, depth=depth, slices=2, **bounds)
+        got = {r["doc_id"]: r["score"] for r in score_documents(table, tree).collect()}
+        assert [got[r[0]] for r in rows] == pytest.approx(want, rel=1e-9)
     assert tree.rest is not None and len(tree.keys) < len(kept)
+    vocabulary = {w for r in rows for w in [*(r[1] or "").encode().lower().split(), b"\n"]}
+    for s in list(kept)[-20:]:
+        assert sum(p(s, x) for x in vocabulary) + p(s, b"no such word") == pytest.approx(1)
 
 
-def test_lm_two_word_contexts_with_a_rare_first_word(spark):
-    from xxhash import xxh3_64_intdigest
+def test_lm_scores_of_odd_rows(spark, odd, empty):
+    from sluice.llm.suffix_tree import learn, score_documents
 
-    from sluice.llm.suffix_tree import find, learn
+    tree = learn(odd, head_share=0.01, edge_share=0.01, slices=2)
+    got = score_documents(odd, tree).collect()
+    want, _, _ = by_hand([r[1] for r in ODD], [r[1] for r in ODD])
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(want)) and sum(r["doc_id"] is None for r in got) == 1
+    assert all(r["n_known"] == r["n_tokens"] for r in got)
+    none = learn(empty, slices=2)
+    assert score_documents(odd, none).where("n_known = 0").count() == len(ODD)
+    assert score_documents(empty, none).count() == 0
 
-    rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{k}" for k in rng.integers(0, 200, 400)) for _ in range(100)]
-    texts += ["kappa w1 omega"] * 3
-    tree, _ = learn(spark.createDataFrame([(t,) for t in texts], "text string"))
-    a, b = find(tree.hashes, np.array([xxh3_64_intdigest(w) for w in (b"kappa", b"w1")], np.uint64))
-    assert tree.counts[a] < 1e-4 * tree.total
-    assert (a << 32) | b in tree.levels[1].key
+
+def test_lm_keys_are_those_of_spark(spark):
+    from sluice.llm.suffix_tree import paired
+
+    a = np.array([0, 1, -1, 2**63 - 1, -(2**63), 123456789], np.int64)
+    b = a[::-1].copy()
+    rows = spark.createDataFrame(list(zip(range(6), a.tolist(), b.tolist())), "i int, a long, b long").select("i", F.xxhash64("a", "b").alias("h")).orderBy("i")
+    assert [r["h"] for r in rows.collect()] == paired(a, b).tolist()
 
 
 # ---- 9 toxicity
 
 
-def test_marginals_equal_enumeration():
+def chains(e, lengths, start, move):
+    """Per line: log of the sum over all labellings, and P(toxic) of each token, by listing them."""
     from itertools import product
 
-    from sluice.llm.toxicity import marginals
-
-    rng = np.random.default_rng(1)
-    bounds = np.array([0, 4, 5, 8])
-    e, start, move = rng.normal(size=8), 0.3, rng.normal(size=(2, 2))
-    got = marginals(e, bounds, start, move)
-    for a, b in zip(bounds, bounds[1:]):
-        total, hit = 0.0, np.zeros(b - a)
-        for y in product((0, 1), repeat=b - a):
-            s = np.exp(sum(e[a + t] * v for t, v in enumerate(y)) + start * y[0] + sum(move[p, q] for p, q in zip(y, y[1:])))
+    at = 0
+    for n in lengths:
+        total, hit = 0.0, np.zeros(n)
+        for y in product((0, 1), repeat=n):
+            s = np.exp(sum(e[at + t] * v for t, v in enumerate(y)) + start * y[0] + sum(move[p, q] for p, q in zip(y, y[1:])))
             total += s
             hit += s * np.array(y)
-        assert got[a:b] == pytest.approx(hit / total)
+        yield np.log(total), hit / total
+        at += n
+
+
+def test_marginals_equal_enumeration(monkeypatch):
+    from sluice.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    lengths = [4, 1, 9, 3, 6]
+    e, start, move = rng.normal(size=sum(lengths)), 0.3, rng.normal(size=(2, 2))
+    want = np.concatenate([p for _, p in chains(e, lengths, start, move)])
+    for piece in (1, 2, 3, 256):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert toxicity.marginals(e, lengths, start, move) == pytest.approx(want)
+
+
+def test_a_line_of_many_words_is_one_chain(monkeypatch):
+    from sluice.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    lengths = [5000, 3, 700]
+    e, start, move = rng.normal(size=sum(lengths)) - 1, -0.4, np.array([[0, -1.0], [0.2, 2.5]])
+    monkeypatch.setattr(toxicity, "PIECE", 10_000)
+    want = toxicity.marginals(e, lengths, start, move)
+    monkeypatch.setattr(toxicity, "PIECE", 256)
+    assert toxicity.marginals(e, lengths, start, move) == pytest.approx(want, rel=1e-9)
+
+
+def test_transition_gradient_equals_finite_differences(monkeypatch):
+    """The log-likelihood's slopes are observed less expected counts."""
+    from sluice.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    lengths = [7, 2, 5, 1]
+    e, start, move = rng.normal(size=sum(lengths)), -0.2, rng.normal(size=(2, 2))
+    y = rng.integers(0, 2, sum(lengths))
+    firsts = np.zeros(len(y), bool)
+    firsts[np.cumsum([0, *lengths[:-1]])] = True
+
+    def likelihood(e, start, move):
+        score = (e * y).sum() + start * y[firsts].sum() + sum(move[y[t], y[t + 1]] for t in range(len(y) - 1) if not firsts[t + 1])
+        return score - sum(z for z, _ in chains(e, lengths, start, move))
+
+    for piece in (2, 256):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        p, moves = toxicity.expectations(e, *toxicity.pieces(lengths), firsts, start, move)
+        seen = np.bincount((2 * y[:-1] + y[1:])[~firsts[1:]], minlength=4).reshape(2, 2)
+        h = 1e-5
+        for i in range(2):
+            for j in range(2):
+                up, down = move.copy(), move.copy()
+                up[i, j] += h
+                down[i, j] -= h
+                assert (likelihood(e, start, up) - likelihood(e, start, down)) / (2 * h) == pytest.approx((seen - moves)[i, j], abs=1e-6)
+        assert (likelihood(e, start + h, move) - likelihood(e, start - h, move)) / (2 * h) == pytest.approx((y - p)[firsts].sum(), abs=1e-6)
+        d = np.zeros(len(e))
+        d[3] = h
+        assert (likelihood(e + d, start, move) - likelihood(e - d, start, move)) / (2 * h) == pytest.approx((y - p)[3], abs=1e-6)
+
+
+def test_training_sample_is_bounded(spark):
+    from sluice.llm.toxicity import training_sample
+
+    docs = spark.createDataFrame([(i % 40, "x " * (i % 40 + 1), "other") for i in range(400)] + [(None, "y", "z")], "doc_id long, text string, _k string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    texts, marks, share = training_sample(docs, labels, most_docs=10)
+    assert len(texts) == len(marks) <= 10 and 0 < share < 1
+    texts, _, _ = training_sample(docs, labels, most_chars=100)
+    assert 0 < sum(map(len, texts)) <= 100
 
 
 def test_toxicity_on_held_out_labels(spark, odd, empty):
