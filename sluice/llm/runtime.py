@@ -17,21 +17,25 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where it is unset a temporary one is set, if the master is this machine;
+    on a cluster that is an error, since executors don't share the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
             found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors.
+    by: a column that the files are partitioned by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,92 +1,83 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Counting covers every training document. Each context of one or two words, and each edge (a word after it), is a
+Counting covers every training document. Each context of one to `depth` words, and each edge (a word after it), is a
 candidate if it is seen EDGE_LEAST times or more, at any size of the corpus and whatever its own first word's count;
 a context stays in the tree if its next-word distribution diverges from that of its suffix by more than the code
-length of its edges (count * KL > df / 2 * log N). The tree is a written table keyed by hashes, which grows with
-the corpus; documents meet it in a join. Only its head, by shares of all tokens, is broadcast as a fast path.
+length of its edges (count * KL > df / 2 * log N). The tree is a written table keyed by hashes, which grows with the
+corpus; documents meet it in joins. Only its head, by shares of all tokens, is broadcast as a fast path.
 
     P(x | s) = (c(s, x) + (o(s) + mu) P(x | suffix(s))) / (n(s) + mu),   P(x) = (c(x) + 0.1) / (N + 0.1 (V + 1))
 
 with o(s) the occurrences whose next word is no edge of s. The state of a token is the longest context in the
-tree that ends before it. A document's log-probability is a sum over its one-, two- and three-word runs: a run
-adds log(P(x | s) / P(x | suffix(s)) / b(s)) if it is an edge s x of the tree, and log b(s) if it is a context s of
-it with a word after it, where b(s) = (o(s) + mu) / (n(s) + mu) is what s leaves to its suffix. So one table of
-numbers by run is all that scoring needs.
+tree that ends before it. A document's log-probability is a sum over its runs of up to depth + 1 words: a run adds
+log(P(x | s) / P(x | suffix(s)) / b(s)) if it is an edge s x of the tree, and log b(s) if it is a context s of it with
+a word after it, where b(s) = (o(s) + mu) / (n(s) + mu) is what s leaves to its suffix. So one table of numbers by
+run is all that scoring needs.
+
+A run's key is the hash of two keys: of the run without its last word, and without its first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from sluice.llm.runtime import WordHashes, crc_of_key, documents, staged, tokens
+from sluice.llm.runtime import crc_of_key, documents, staged
 
 #: No word has a line break, so this is no word's hash.
 END = xxhash.xxh3_64_intdigest(b"\n")
 #: A run of words seen once says nothing that its suffix doesn't.
 EDGE_LEAST = 2
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
-
-
-@dataclass
-class Level:
-    """Contexts of one length: key (sorted), n, o; edges: context index << 32 | word index (sorted), count."""
-
-    key: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    n: np.ndarray = field(default_factory=lambda: np.empty(0))
-    o: np.ndarray = field(default_factory=lambda: np.empty(0))
-    edge: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    count: np.ndarray = field(default_factory=lambda: np.empty(0))
+#: The multipliers of 64-bit xxHash, and the seed that Spark's xxhash64 takes.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_SEED = np.uint64(42)
 
 
 @dataclass
 class Tree:
+    """The head of the tree, and the table that has the rest of it."""
+
     total: int  # N
     types: int  # V
-    hashes: np.ndarray  # of the words with c >= head_count, sorted
-    counts: np.ndarray
-    head_count: float
-    mu: float
-    edge_count: float = EDGE_LEAST  # runs of two or three words with as many are listed in keys, if they add anything
+    head_count: float  # words with as many are in the head
+    edge_count: float  # and runs of more words with as many
+    depth: int
+    slices: int
+    hashes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.empty(0))
     leaves: np.ndarray = field(default_factory=lambda: np.empty(0))  # log10 b of the words as contexts
-    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # of runs of two or three words, sorted
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     adds: np.ndarray = field(default_factory=lambda: np.empty(0))
-    rest: np.ndarray | None = None  # bits of the keys that only the table has
-    levels: list[Level] = field(default_factory=list)  # the commonest contexts as counts; scoring doesn't read them
+    rest: np.ndarray | None = None  # bits of the keys of runs that only the table has
+    table: DataFrame | None = None  # slice, key, word (or run), v: what a word adds to both scores, a run to one
 
     @property
     def bottom(self) -> float:
         return self.total + 0.1 * (self.types + 1)
 
 
-def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """staged(), and the shuffle files go when the table is written, not when the driver collects garbage."""
-    conf, option = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(option)
-    conf.set(option, "true")
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """staged(); the shuffle files go when the table is written, not when the driver collects garbage, and joins whose
+    partitions are all small, which is known when they are there, hash them instead of sorting both sides."""
+    conf = df.sparkSession.conf
+    options = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB"}
+    before = {k: conf.get(k) for k in options}
+    for k, v in options.items():
+        conf.set(k, v)
     try:
-        return staged(df, name)
+        return staged(df, name, by)
     finally:
-        conf.set(option, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def removed(table: DataFrame) -> None:
@@ -98,17 +89,23 @@ def removed(table: DataFrame) -> None:
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Key of the run that `a` and `b` make: of two words, or of two pairs that share their middle word."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(k)
-    return x ^ (x >> np.uint64(32))
-
-
-def bits_of(rows: DataFrame, bits: int = 28) -> np.ndarray:
+    """xxhash64(a, b) of Spark, of arrays of 64-bit numbers."""
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = _SEED
+    with np.errstate(over="ignore"):
+        for x in (a.view(np.uint64), b.view(np.uint64)):
+            h = (h + _P5 + np.uint64(8)) ^ (turned(x * _P2, 31) * _P1)
+            h = turned(h, 27) * _P1 + _P4
+            h = (h ^ (h >> np.uint64(33))) * _P2
+            h = (h ^ (h >> np.uint64(29))) * _P3
+            h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def bits_of(keys: DataFrame, bits: int = 28) -> np.ndarray:
     """A bit for each value of the first `bits` bits of a key; so many at any number of rows."""
     one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))")
-    got = rows.groupBy(F.shiftrightunsigned("key", 70 - bits).alias("i")).agg(F.bit_or(one).alias("b")).toArrow()
+    got = keys.groupBy(F.shiftrightunsigned("key", 70 - bits).alias("i")).agg(F.bit_or(one).alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[got.column("i").to_numpy()] = got.column("b").to_numpy().astype(np.int64).view(np.uint64)
     return out
@@ -116,104 +113,99 @@ def bits_of(rows: DataFrame, bits: int = 28) -> np.ndarray:
 
 def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False only for keys that bits_of did not get."""
-    at = keys >> np.uint64(64 - (len(bits) << 6).bit_length() + 1)
+    at = keys.view(np.uint64) >> np.uint64(64 - (len(bits) << 6).bit_length() + 1)
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def token_hashes(texts: list[str | None], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, ends included, one text after the other; the texts' token counts."""
-    parts, lengths = [], []
-    end = np.array([END], np.uint64)
-    for t in texts:
-        found = tokens(t)
-        parts += [np.fromiter(map(memo.__getitem__, found), np.uint64, len(found)), end]
-        lengths.append(len(found) + 1)
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(lengths, np.int64)
-
-
-def grouped(batches: Iterator[pa.RecordBatch], column: int, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches whose texts have about so many characters."""
+def grouped(batches: Iterator[pa.RecordBatch], column: int, chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches, and their texts, of about so many bytes."""
     for batch in batches:
-        texts, at, n = batch.column(column).to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            n += len(t or "")
-            if n >= chars or i == len(texts) - 1:
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, n = i + 1, 0
-
-
-def prior(tree: Tree, words: np.ndarray, states: list[np.ndarray]) -> np.ndarray:
-    """P(word | longest state given), states[d] an index into level d or -1; all words known to the head."""
-    p = (tree.counts[words] + 0.1) / tree.bottom
-    for level, at in zip(tree.levels, states, strict=False):
-        on = at >= 0
-        if on.any():
-            s, w = at[on], words[on]
-            e = find(level.edge, (s << 32) | w)
-            c = np.where(e >= 0, level.count[np.maximum(e, 0)], 0.0) if len(level.count) else 0.0
-            p[on] = (c + (level.o[s] + tree.mu) * p[on]) / (level.n[s] + tree.mu)
-    return p
-
-
-def runs(h: np.ndarray, lengths: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(s, x, place of the last word) of the texts' runs of level + 1 words: the run without its last word, and
-    without its first one."""
+        texts = batch.column(column).cast(pa.large_string()).fill_null("")
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + chars, side="right")))
+            yield batch.slice(at, to - at), texts.slice(at, to - at)
+            at = to
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, which of them each token has, the texts' token counts); tokens of all texts one after the
+    other, ends included. Words are split and told apart by Arrow: its ASCII functions know A-Z and [\\x20\\x09-\\x0D]."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    hashes = np.append(hashes, np.uint64(END)).view(np.int64)
+    which = coded.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    real = np.append(words != b"", True)[which] if len(words) else np.empty(0, bool)
+    which, doc = which[real], doc[real]
+    lengths = np.bincount(doc, minlength=len(texts)) + 1
+    out = np.full(int(lengths.sum()), len(hashes) - 1, np.int64)
+    out[np.arange(len(which)) + doc] = which
+    return hashes, out, lengths
+
+
+def runs(h: np.ndarray, lengths: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level from 1 to depth: (level, s, x, key, place of the last word) of the texts' runs of level + 1
+    words, s the key of the run without its last word, x without its first."""
     place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.flatnonzero(place >= level)
-    if level == 1:
-        return h[at - 1], h[at], at
-    return paired(h[at - 2], h[at - 1]), paired(h[at - 1], h[at]), at
-
-
-def run_counts(train: DataFrame, levels: tuple[int, ...], pairs: np.ndarray | None = None, chars: int = 8_000_000) -> DataFrame:
-    """(level, s, x, c, key) of all words (level 0, s = 0) and of the runs of two (1) and three words (2) seen
-    EDGE_LEAST times or more. Tasks count first. pairs: bits of the pairs that have as many, as a triple's must."""
-    shared = train.sparkSession.sparkContext.broadcast(pairs)
+    keys = h  # of the run that ends at each place, where there is one
+    for level in range(1, depth + 1):
+        at = np.flatnonzero(place >= level)
+        s, x = keys[at - 1], keys[at]
+        key = paired(s, x)
+        yield level, s, x, key, at
+        keys = np.zeros(len(h), np.int64)
+        keys[at] = key
+
+
+def run_counts(train: DataFrame, level: int, below: np.ndarray | None = None) -> DataFrame:
+    """(s, x, c) of the runs of level + 1 words seen EDGE_LEAST times or more; at level 1 also (null, x, c) of all
+    words. Tasks count first. below: bits of the runs of one word less that are as frequent, as both parts must be."""
+    shared = train.sparkSession.sparkContext.broadcast(below)
+    schema = pa.schema([("s", pa.int64()), ("x", pa.int64()), ("c", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, known = WordHashes(), shared.value
-        for _, texts in grouped(batches, 0, chars):
-            h, lengths = token_hashes(texts, memo)
-            for level in levels:
-                if level:
-                    s, x, _ = runs(h, lengths, level)
+        known = shared.value
+        for _, texts in grouped(batches, 0):
+            distinct, which, lengths = token_hashes(texts)
+            if level == 1:
+                n = np.bincount(which, minlength=len(distinct))
+                on = n > 0
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(on.sum()), pa.int64()), pa.array(distinct[on]), pa.array(n[on])], schema=schema)
+            for at, s, x, key, _ in runs(distinct[which], lengths, level):
+                if at == level:
                     if known is not None:
                         on = may_have(known, s) & may_have(known, x)
-                        s, x = s[on], x[on]
-                    _, first, n = np.unique(paired(s, x), return_index=True, return_counts=True)
-                    s, x = s[first], x[first]
-                else:
-                    x, n = np.unique(h, return_counts=True)
-                    s = np.zeros(len(x), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(signed(s)), pa.array(signed(x)), pa.array(n.astype(np.int64))], names=["level", "s", "x", "c"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            level, s, x = (batch.column(k).to_numpy() for k in range(3))
-            key = np.where(level == 0, x.view(np.uint64), paired(s.view(np.uint64), x.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(key))], names=["level", "s", "x", "c", "key"])
-
-    kind = "level int, s long, x long, c long"
-    counted = train.mapInArrow(count, kind).groupBy("level", "s", "x").agg(F.sum("c").alias("c"))
-    return counted.where((F.col("level") == 0) | (F.col("c") >= EDGE_LEAST)).mapInArrow(keyed, kind + ", key long")
-
-
-def grown(edges: DataFrame, lower: DataFrame, total: int, mu: float, listed: float, name: str) -> tuple[DataFrame, DataFrame]:
-    """The contexts (s, n, o, b) that stay, and the level: its runs (key, s, x, c, p, and add where s stays). s and x
-    are given for runs seen `listed` times or more.
-
-    lower: (key, c, p) of the runs that are one word shorter, p their last word's probability after the others."""
-    e = edges.join(lower.select(F.col("key").alias("x"), F.col("p").alias("q")), "x")
+                        s, x, key = s[on], x[on], key[on]
+                    _, first, n = np.unique(key, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(s[first]), pa.array(x[first]), pa.array(n.astype(np.int64))], schema=schema)
+
+    counted = train.mapInArrow(count, "s long, x long, c long").groupBy("s", "x").agg(F.sum("c").alias("c"))
+    return counted.where(F.col("s").isNull() | (F.col("c") >= EDGE_LEAST))
+
+
+def grown(edges: DataFrame, lower: DataFrame, total: int, mu: float, name: str, last: bool) -> tuple[DataFrame, DataFrame]:
+    """The contexts (s, n, b) that stay, and the level's runs: key, c, add where the context is one that stays, and,
+    unless it is the last level, p, their last word's probability after the others. Deletes edges' table.
+
+    lower: (key, c, p) of the runs that are one word shorter."""
+    e = written(edges.join(lower.select(F.col("key").alias("x"), F.col("p").alias("q")), "x"), f"suffixes-{name}")
+    removed(edges)
     sums = e.groupBy("s").agg(F.sum("c").alias("inside"), F.count("*").alias("df"), F.sum(F.col("c") * F.log(F.col("c") / F.col("q"))).alias("gain"), F.sum("q").alias("covered"))
     at = sums.join(lower.select(F.col("key").alias("s"), F.col("c").alias("n")), "s").withColumn("o", F.col("n") - F.col("inside"))
     other = F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / F.col("n") / F.greatest(1 - F.col("covered"), F.lit(1e-12)))).otherwise(0.0)
     gain = F.col("gain") - F.col("inside") * F.log("n") + other
-    stay = at.where(gain > 0.5 * F.col("df") * float(np.log(max(total, 2)))).select("s", "n", "o", ((F.col("o") + mu) / (F.col("n") + mu)).alias("b"))
+    stay = at.where(gain > 0.5 * F.col("df") * float(np.log(max(total, 2)))).select("s", "n", ((F.col("o") + mu) / (F.col("n") + mu)).alias("b"))
     stay = written(stay, f"contexts-{name}")
-    p = F.coalesce((F.col("c") + (F.col("o") + mu) * F.col("q")) / (F.col("n") + mu), F.col("q"))
-    of_listed = lambda name: F.when(F.col("c") >= listed, F.col(name)).alias(name)
-    level = e.join(stay, "s", "left").withColumn("p", p).select("key", of_listed("s"), of_listed("x"), "c", "p", F.log10(F.col("p") / F.col("q") / F.col("b")).alias("add"))
-    return stay, written(level, f"edges-{name}")
+    # (o + mu) / (n + mu) = b
+    p = F.coalesce(F.col("c") / (F.col("n") + mu) + F.col("b") * F.col("q"), F.col("q"))
+    rows = e.join(stay, "s", "left").select(F.xxhash64("s", "x").alias("key"), "c", p.alias("p"), F.log10(p / F.col("q") / F.col("b")).alias("add"))
+    rows = written(rows.where("add is not null").drop("p") if last else rows, f"runs-{name}")
+    removed(e)
+    return stay, rows
 
 
 def columns(rows: DataFrame, *names: str) -> list[np.ndarray]:
@@ -221,139 +213,150 @@ def columns(rows: DataFrame, *names: str) -> list[np.ndarray]:
     return [got.column(k).to_numpy() for k in names]
 
 
-def commonest(tree: Tree, stays: list[DataFrame], levels: list[DataFrame], share: tuple[float, ...]) -> list[Level]:
-    """The contexts over these shares of all tokens, with their edges that the head lists."""
-    out, word = [], lambda h: find(tree.hashes, h.view(np.uint64))
-    first: tuple = ()
-    for depth, bound in enumerate(share):
-        s, n = columns(stays[depth].where(F.col("n") >= max(EDGE_LEAST, bound * tree.total)), "s", "n")
-        key, a, x, c = columns(levels[depth].where(F.col("c") >= tree.edge_count), "key", "s", "x", "c")
-        if depth == 0:
-            name, to = word(s), word(x)
-            order = np.argsort(key)
-            first = (key[order], word(a)[order], to[order])
-        else:
-            k, into = find(first[0], s), find(first[0], x)
-            name = np.where((k >= 0) & (first[1][k] >= 0) & (first[2][k] >= 0), (first[1][k] << 32) | first[2][k], -1) if len(first[0]) else np.full(len(s), -1)
-            to = np.where(into >= 0, first[2][into], -1) if len(first[0]) else np.full(len(x), -1)
-        on = name >= 0
-        s, n, name = s[on], n[on].astype(float), name[on]
-        order = np.argsort(name)
-        s, n, name = s[order], n[order], name[order]
-        by_key = np.argsort(s)
-        at = find(s[by_key], a)
-        on = (at >= 0) & (to >= 0)
-        edge, c = (by_key[at[on]] << 32) | to[on], c[on].astype(float)
-        order = np.argsort(edge)
-        edge, c = edge[order], c[order]
-        out.append(Level(name, n, n - np.bincount(edge >> 32, c, len(n)), edge, c))
+def added(levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(key, c, add) of the contexts of two words or more and of the runs that are edges, of all levels."""
+    parts = []
+    for k, (stay, edges) in enumerate(levels):
+        if k:
+            parts.append(stay.select(F.col("s").alias("key"), F.col("n").alias("c"), F.log10("b").alias("add")))
+        parts.append(edges.where("add is not null").select("key", "c", "add"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
     return out
 
 
-def learn(docs: DataFrame, *, head_share: float = 2.5e-7, share: tuple[float, ...] = (1e-4, 1e-5), edge_share: float = 1e-6, mu: float = 5.0, text: str = "text") -> tuple[Tree, DataFrame]:
-    """The tree's head, and the table of the whole tree: (key, level, c, known, base, add), one or two rows a run. The
-    shares bound the head only: 1 / head_share words, 1 / edge_share runs of a length and, of those, the contexts
-    over `share` in Tree.levels. What documents score does not depend on them."""
+def learn(docs: DataFrame, *, depth: int = 2, head_share: float = 2.5e-7, edge_share: float = 1e-7, mu: float = 5.0, slices: int = 8, text: str = "text") -> Tree:
+    """The tree of contexts of up to `depth` words. The shares bound the head only: 1 / head_share words, and as many
+    runs of each length as 1 / edge_share. What documents score does not depend on them. Null and empty texts are an
+    end token each; repeated rows count as often as they are there; of an empty table comes a tree without words.
+
+    Tables of a step are deleted when the next one's are written; the last one is partitioned by `slices` of keys."""
     train = docs.select(text)
-    counts = written(run_counts(train, (0, 1)), "counts")
-    words = written(counts.where("level = 0").select("key", "c"), "words")
+    counts = written(run_counts(train, 1), "counts")
+    words = written(counts.where("s is null").select(F.col("x").alias("key"), "c"), "words")
     total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = Tree(total, types, np.empty(0, np.uint64), np.empty(0), max(1.0, head_share * total), mu, max(float(EDGE_LEAST), edge_share * total))
-    pairs = counts.where("level = 1")
-    triples = written(run_counts(train, (2,), bits_of(pairs)), "triples")
-    p = (F.col("c") + 0.1) / F.lit(tree.bottom)
-    one, first = grown(pairs, words.withColumn("p", p), total, mu, tree.edge_count, "1")
-    removed(counts)
-    two, second = grown(triples, first, total, mu, tree.edge_count, "2")
-    removed(triples)
-    known, nothing = F.lit(1).cast("long").alias("known"), F.lit(0).cast("long").alias("known")
-    rows = [words.select("key", F.lit(0).alias("level"), "c", known, F.log10((F.col("c") + 0.1) / 0.1).alias("base"), F.lit(0.0).alias("add"))]
-    for level, (stay, edges) in enumerate(((one, first), (two, second))):
-        rows.append(stay.select(F.col("s").alias("key"), F.lit(level).alias("level"), F.col("n").alias("c"), nothing, F.lit(0.0).alias("base"), F.log10("b").alias("add")))
-        rows.append(edges.where("add is not null").select("key", F.lit(level + 1).alias("level"), "c", nothing, F.lit(0.0).alias("base"), "add"))
-    table = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(rows[4])
+    tree = Tree(total, types, max(1.0, head_share * total), max(float(EDGE_LEAST), edge_share * total), depth, slices)
+    lower = words.withColumn("p", (F.col("c") + 0.1) / F.lit(tree.bottom))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for level in range(1, depth + 1):
+        if level > 1:
+            counts = written(run_counts(train, level, bits_of(lower)), f"counts-{level}")
+        levels.append(grown(counts.where("s is not null"), lower, total, mu, str(level), level == depth))
+        lower = levels[-1][1]
     key, c = columns(words.where(F.col("c") >= tree.head_count), "key", "c")
-    key = key.astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    tree.hashes, tree.counts, tree.leaves = key[order], c[order].astype(float), np.zeros(len(key))
-    key, add = columns(one.where(F.col("n") >= tree.head_count).withColumn("add", F.log10("b")), "s", "add")
-    tree.leaves[find(tree.hashes, key.astype(np.int64).view(np.uint64))] = add
-    key, add = columns(table.where((F.col("level") > 0) & (F.col("c") >= tree.edge_count)).groupBy("key").agg(F.sum("add").alias("add")), "key", "add")
-    key = key.astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    tree.keys, tree.adds = key[order], add[order].astype(float)
+    tree.hashes, tree.counts, tree.leaves = key.astype(np.int64), c.astype(float), np.zeros(len(key))
+    leaves = levels[0][0].select(F.col("s").alias("key"), F.col("n").alias("c"), F.log10("b").alias("add"))
+    key, add = columns(leaves.where(F.col("c") >= tree.head_count), "key", "add")
+    tree.leaves[pd.Index(tree.hashes).get_indexer(key.astype(np.int64))] = add
+    runs_ = added(levels)
+    key, add = columns(runs_.where(F.col("c") >= tree.edge_count).groupBy("key").agg(F.sum("add").alias("add")), "key", "add")
+    tree.keys, tree.adds = key.astype(np.int64), add.astype(float)
     if tree.edge_count > EDGE_LEAST:
-        tree.rest = bits_of(table.where((F.col("level") > 0) & (F.col("c") < tree.edge_count)))
-    tree.levels = commonest(tree, [one, two], [first, second], share)
-    return tree, table
+        tree.rest = bits_of(runs_.where(F.col("c") < tree.edge_count))
+    base = F.log10((F.col("c") + 0.1) / 0.1)
+    parts = [(words.where(F.col("c") < tree.head_count), True, base), (leaves.where(F.col("c") < tree.head_count), False, F.col("add")), (runs_.where(F.col("c") < tree.edge_count), False, F.col("add"))]
+    rest = None
+    for rows, word, v in parts:
+        rows = rows.select(F.pmod("key", F.lit(slices)).cast("int").alias("slice"), "key", F.lit(word).alias("word"), v.alias("v"))
+        rest = rows if rest is None else rest.unionByName(rows)
+    tree.table = written(rest, "tree", "slice")
+    for table in (words, *(t for pair in levels for t in pair)):
+        removed(table)
+    return tree
 
 
-def head_scores(docs: DataFrame, tree: Tree, *, key: str, text: str) -> DataFrame:
-    """Per row what the broadcast head can say, and `tail`: the keys and numbers of the runs it doesn't list.
+class Head:
+    """What of the tree is broadcast; the indexes over it are built once in each worker process."""
+
+    def __init__(self, tree: Tree):
+        self.bottom, self.depth, self.rest = tree.bottom, tree.depth, tree.rest
+        self.hashes, self.counts, self.leaves, self.keys, self.adds = tree.hashes, tree.counts, tree.leaves, tree.keys, tree.adds
+
+    def indexes(self) -> tuple[pd.Index, pd.Index]:
+        if "_indexes" not in self.__dict__:
+            self._indexes = pd.Index(self.hashes), pd.Index(self.keys)
+        return self._indexes
 
-    Its words count as unknown until they meet the table."""
-    shared = docs.sparkSession.sparkContext.broadcast(replace(tree, levels=[]))
+
+def head_scores(docs: DataFrame, tree: Tree, *, key: str, text: str) -> DataFrame:
+    """Per row what the broadcast head can say, and `tail0` to `tail{slices - 1}`: the keys of the runs it doesn't
+    list, once for each time they are there, by the key's rest by `slices`. Its words count as unknown until they
+    meet the table."""
+    shared, slices = docs.sparkSession.sparkContext.broadcast(Head(tree)), tree.slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, memo = shared.value, WordHashes()
+        head = shared.value
+        of_word, of_run = head.indexes()
         row = TaskContext.get().partitionId() << 36
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
-        for batch, texts in grouped(batches, 1):
-            h, lengths = token_hashes(texts, memo)
+        for batch, texts in grouped(batches, 1, 2_000_000):
+            distinct, which, lengths = token_hashes(texts)
+            h = distinct[which]
             doc = np.repeat(np.arange(len(texts)), lengths)
-            words = find(model.hashes, h)
-            known = words >= 0
-            base, more = np.full(len(h), np.log10(0.1 / model.bottom)), np.zeros(len(h))
-            base[known] = np.log10((model.counts[words[known]] + 0.1) / model.bottom)
-            more[known] = model.leaves[words[known]]
+            at = of_word.get_indexer(distinct)
+            known = at >= 0
+            base = np.full(len(distinct), np.log10(0.1 / head.bottom))
+            base[known] = np.log10((head.counts[at[known]] + 0.1) / head.bottom)
+            leaf = np.zeros(len(distinct))
+            leaf[known] = head.leaves[at[known]]
+            known, base, more = known[which], base[which], leaf[which]
+            # nothing follows a text's end, so as a context it adds nothing; its leaf is 0
             rare, rare_doc = [h[~known]], [doc[~known]]
-            for level in (1, 2):
-                s, x, last = runs(h, lengths, level)
-                keys = paired(s, x)
-                at = find(model.keys, keys)
+            for _, _, _, keys, last in runs(h, lengths, head.depth):
+                at = of_run.get_indexer(keys)
                 on = at >= 0
-                more[last[on]] += model.adds[at[on]]
-                if model.rest is not None:
-                    on = ~on
-                    on[on] = may_have(model.rest, keys[on])
+                more[last[on]] += head.adds[at[on]]
+                if head.rest is not None:
+                    on = np.flatnonzero(~on)
+                    on = on[may_have(head.rest, keys[on])]
                     rare.append(keys[on])
                     rare_doc.append(doc[last[on]])
-            sums = lambda x: np.bincount(doc, x, len(texts))
-            rare, rare_doc = signed(np.concatenate(rare)), np.concatenate(rare_doc)
-            order = np.lexsort((rare, rare_doc))
-            rare, rare_doc = rare[order], rare_doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])])) if len(rare) else np.empty(0, np.int64)
-            times = np.diff(np.concatenate([new, [len(rare)]]))
-            bounds = np.searchsorted(rare_doc[new], np.arange(len(texts) + 1)) if len(new) else np.zeros(len(texts) + 1, np.int64)
-            tail = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(rare[new], pa.int64()), pa.array(times, pa.int64())], names=["h", "n"]))
-            columns = [batch.column(0), pa.array(row + np.arange(len(texts)), pa.int64()), pa.array(lengths), pa.array(sums(known.astype(float)).astype(np.int64)), pa.array(sums(base)), pa.array(sums(base + more)), tail.cast(kind)]
+            rare, rare_doc = np.concatenate(rare), np.concatenate(rare_doc)
+            place = (rare % slices) * len(texts) + rare_doc
+            order = np.argsort(place, kind="stable")
+            rare, place = pa.array(rare[order]), place[order]
+            tails = []
+            for k in range(slices):
+                bounds = np.searchsorted(place, np.arange(k * len(texts), (k + 1) * len(texts) + 1))
+                tails.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare))
+            sums = lambda x: np.bincount(doc, x, len(texts))  # noqa: E731, B023
+            out = [batch.column(0), pa.array(row + np.arange(len(texts)), pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(sums(known.astype(float)).astype(np.int64)), pa.array(sums(base)), pa.array(sums(base + more)), *tails]
             row += len(texts)
-            yield pa.RecordBatch.from_arrays(columns, names=["_key", "_row", "n_tokens", "n_known", "base_score", "score", "tail"])
+            yield pa.RecordBatch.from_arrays(out, names=["_key", "_row", "n_tokens", "n_known", "base_score", "score", *(f"tail{k}" for k in range(slices))])
 
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text))
-    return rows.mapInArrow(run, "_key long, _row long, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,n:long>>")
+    return rows.mapInArrow(run, "_key long, _row long, n_tokens long, n_known long, base_score double, score double, " + ", ".join(f"tail{k} array<long>" for k in range(slices)))
+
 
+def score_documents(docs: DataFrame, tree: Tree, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, n_known, base_score, score for every row of docs, over whole texts of any length. A null or
+    empty text is the end token only. Every row has a score of its own, also where keys repeat or are null; an empty
+    table gives no rows; other columns aren't read.
 
-def score_documents(docs: DataFrame, tree: Tree, table: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, n_known, base_score, score for every row of docs, over whole texts. A null or empty text
-    is the end token only. Every row has a score of its own, also where keys repeat or are null."""
+    Runs that the head doesn't list are written beside the row once, and meet the tables slice by slice, so that only
+    a slice of them is shuffled at a time."""
     if not isinstance(docs.schema[key].dataType, IntegralType):
         raise TypeError(f"{key} must be an integer column")
     part = written(head_scores(docs, tree, key=key, text=text), "scores")
-    rest = table.where(F.col("c") < F.when(F.col("level") == 0, tree.head_count).otherwise(tree.edge_count))
-    tail = part.select("_row", F.explode("tail").alias("t")).select("_row", F.col("t.h").alias("key"), "t.n")
-    times = lambda name: F.sum(F.col(name) * F.col("n")).alias(f"_{name}")
-    met = tail.join(rest, "key").groupBy("_row").agg(times("known"), times("base"), times("add"))
-    out = part.drop("tail").join(met, "_row", "left")
-    known, base, add = F.coalesce("_known", F.lit(0)), F.coalesce("_base", F.lit(0.0)), F.coalesce("_add", F.lit(0.0))
-    return out.select(F.col("_key").alias(key), "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base_score") + base).alias("base_score"), (F.col("score") + base + add).alias("score"))
+    met = None
+    word = F.col("word")
+    sums = [F.sum(word.cast("int")).alias("_known"), F.sum(F.when(word, F.col("v")).otherwise(0.0)).alias("_base"), F.sum("v").alias("_score")]
+    for k in range(tree.slices):
+        tail = part.select("_row", F.explode(f"tail{k}").alias("key"))
+        got = tail.join(tree.table.where(F.col("slice") == k).drop("slice"), "key").groupBy("_row").agg(*sums)
+        got = written(got, f"tail{k}")
+        met = got if met is None else met.unionByName(got)
+    more = ("_known", "_base", "_score")
+    out = part.select("_key", "_row", "n_tokens", "n_known", "base_score", "score").join(met.groupBy("_row").agg(*(F.sum(x).alias(x) for x in more)), "_row", "left")
+    known, base, score = F.coalesce("_known", F.lit(0)), F.coalesce("_base", F.lit(0.0)), F.coalesce("_score", F.lit(0.0))
+    return out.select(F.col("_key").alias(key), "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base_score") + base).alias("base_score"), (F.col("score") + score).alias("score"))
 
 
 def op8_lm_scores(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    tree, table = learn(docs.where(crc_of_key(F.col("doc_id")) % 10 != 0))
-    scored = score_documents(docs, tree, table)
+    tree = learn(docs.where(crc_of_key(F.col("doc_id")) % 10 != 0))
+    scored = score_documents(docs, tree)
     held = crc_of_key(F.col("doc_id")) % 10 == 0
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
