@@ -168,6 +168,25 @@ def check_bytes(check_id: int, data: bytes) -> bytes:
     raise StreamError("UnsupportedCheck")
 
 
+class RunningCheck:
+    """The check of a block whose content arrives in portions."""
+
+    def __init__(self, check_id: int):
+        if check_id not in (0, 1, 4, 10):
+            raise StreamError("UnsupportedCheck")
+        self.check_id, self.value, self.sha = check_id, 0, hashlib.sha256()
+
+    def push(self, data: bytes) -> None:
+        if self.check_id == 10:
+            self.sha.update(data)
+        elif self.check_id:
+            width, name = (32, "crc32") if self.check_id == 1 else (64, "crc64")
+            self.value = combine(width, self.value, digest(name, data), len(data)) if data else self.value
+
+    def digest(self) -> bytes:
+        return self.sha.digest() if self.check_id == 10 else self.value.to_bytes({0: 0, 1: 4, 4: 8}[self.check_id], "little")
+
+
 # ---- plans and folders
 
 

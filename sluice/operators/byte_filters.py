@@ -94,6 +94,16 @@ def _arm64(data: bytes, pc: int, sign: int) -> bytes:
 
 # ---- RISC-V
 
+#: Fields of an instruction: (lowest bit, bits).
+_LENGTH, _RD, _RS1 = (0, 2), (7, 5), (15, 5)
+#: Of the length field: an instruction of four bytes. Registers: those that calls link with, those that no pair that
+#: is converted has as its base, and the one that marks a converted pair.
+_FOUR_BYTES, _LINKS, _NO_BASE, _MARK = 0b11, (1, 5), (0, 2), 2
+
+
+def _bits(x: int, low: int, n: int) -> int:
+    return x >> low & (1 << n) - 1
+
 
 def _riscv(data: bytes, pc: int, encoding: bool) -> bytes:
     """JAL to x1 and x5, and AUIPC with the instruction after it.
@@ -121,7 +131,7 @@ def _riscv(data: bytes, pc: int, encoding: bool) -> bytes:
         here = (pc + at) & M
         if buf[at] == 0xEF:
             b1, b2, b3 = buf[at + 1], buf[at + 2], buf[at + 3]
-            if b1 & 0x0D:
+            if _bits(buf[at] | b1 << 8, *_RD) not in _LINKS:
                 continue
             if encoding:
                 addr = (b1 & 0xF0) << 8 | (b2 & 0x0F) << 16 | (b2 & 0x10) << 7 | (b2 & 0xE0) >> 4 | (b3 & 0x7F) << 4 | (b3 & 0x80) << 13
@@ -133,9 +143,9 @@ def _riscv(data: bytes, pc: int, encoding: bool) -> bytes:
             free = at + 4
             continue
         first = u32(at)
-        if first & 0xE80:
+        if _bits(first, *_RD) not in _NO_BASE:
             second = u32(at + 4)
-            if ((first << 8) ^ (second - 3)) & 0xF8003:
+            if _bits(second, *_LENGTH) != _FOUR_BYTES or _bits(second, *_RS1) != _bits(first, *_RD):
                 free = at + 6
                 continue
             if encoding:
@@ -146,8 +156,10 @@ def _riscv(data: bytes, pc: int, encoding: bool) -> bytes:
                 put(at, 0x117 | second << 12)
                 put(at + 4, (first & 0xFFFFF000) | second >> 20)
         else:
-            rs1 = first >> 27
-            if (first - 0x3108 - 0xF << 18 & M) >= (rs1 & 0x1D):
+            # an encoded pair has AUIPC x2 first; its upper 20 bits are the second instruction's lower ones
+            rest = _bits(first, 12, 20)
+            rs1 = _bits(rest, *_RS1)
+            if _bits(first, *_RD) != _MARK or _bits(rest, *_LENGTH) != _FOUR_BYTES or rs1 in _NO_BASE:
                 free = at + 4
                 continue
             if encoding:
@@ -353,10 +365,12 @@ def bcj2_encode(src: bytes, relat_limit: int = RELAT_LIMIT, file_size: int | Non
         convert = False
         if n - at >= 4:
             relat = int.from_bytes(src[at : at + 4], "little")
-            place = ip + at - file_ip & 2**64 - 1
-            signed = relat - (relat >> 31 << 32)
-            inside = file_size is None or (place + 4 + signed & 2**64 - 1) <= (file_size - 1 & 2**64 - 1)
-            convert = place > (0 if b & 0xFE == 0xE8 else 1) and inside and (relat + relat_limit & 0xFFFFFFFF) >> 1 < relat_limit
+            distance = int.from_bytes(src[at : at + 4], "little", signed=True)
+            place = ip + at - file_ip  # of the offset, in the file
+            opcode = place - (1 if b & 0xFE == 0xE8 else 2)
+            whole = opcode >= 0 or place < 0  # not cut by the file's beginning
+            inside = not file_size or 0 <= place + 4 + distance < file_size
+            convert = whole and inside and -relat_limit <= distance < relat_limit
         rc.bit(_slot(before, b), int(convert))
         if convert:
             target = ip + at + 4 + relat & 0xFFFFFFFF

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from sluice.errors import StreamError
-from sluice.functions.checksum import check_bytes
-from sluice.operators.byte_filters import decode_chain, encode_chain
+from sluice.functions.checksum import RunningCheck, check_bytes
+from sluice.operators.byte_filters import ChunkedChain, decode_chain, encode_chain
 from sluice.sources import xz
 from sluice.sources.lzma2 import LzmaProps, Run, chunks, parse_lzma_header, scan_runs
 
@@ -202,6 +202,60 @@ class XzWriter:
         return out + index + xz.make_footer(CHECK_IDS[self.enc.check], len(index))
 
 
+class Lzma2Writer:
+    """Push bytes to a raw LZMA2 stream: each `size` of them are a run that decodes on its own."""
+
+    def __init__(self, enc: Encoder | None = None, size: int = 16 << 20):
+        self.enc, self.size, self.held = enc or Encoder(), size, bytearray()
+
+    def push(self, data: bytes) -> bytes:
+        self.held += data
+        out = []
+        while len(self.held) >= self.size:
+            out.append(lzma2_encode(bytes(self.held[: self.size]), self.enc)[1][:-1])
+            del self.held[: self.size]
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        return lzma2_encode(bytes(self.held), self.enc)[1]
+
+
+class LzmaWriter:
+    """Push bytes to a .lzma stream; the encoder holds its window only. The size isn't known ahead, so the header says
+    so, and the stream ends by its marker."""
+
+    def __init__(self, preset: int = 6):
+        self.c = lzma.LZMACompressor(lzma.FORMAT_ALONE, preset=preset)
+
+    def push(self, data: bytes) -> bytes:
+        return self.c.compress(data)
+
+    def finish(self) -> bytes:
+        return self.c.flush()
+
+
+class Lzma1Writer(LzmaWriter):
+    """Push bytes to raw LZMA1; `props` are known once something has been put out."""
+
+    def __init__(self, preset: int = 6):
+        super().__init__(preset)
+        self.head, self.props = b"", None
+
+    def _bare(self, out: bytes) -> bytes:
+        if self.props is None:
+            self.head += out
+            if len(self.head) < 13:
+                return b""
+            self.props, out = LzmaProps.parse(self.head[:5]), self.head[13:]
+        return out
+
+    def push(self, data: bytes) -> bytes:
+        return self._bare(super().push(data))
+
+    def finish(self) -> bytes:
+        return self._bare(super().finish())
+
+
 def decode_block(raw: bytes, block: xz.Block, limits: Limits | None = None) -> bytes:
     """One block (its unpadded bytes, or padded) that the index describes."""
     limits = limits or Limits()
@@ -257,15 +311,83 @@ def xz_decode(data: bytes, limits: Limits | None = None) -> bytes:
     return b"".join(d for _, d in iter_decoded(data, limits))
 
 
+class _OpenBlock:
+    """A block that is decoded as its chunks arrive: liblzma holds the dictionary, the filters their tails, the check
+    its sum."""
+
+    def __init__(self, header: bytes, check: int, limits: Limits):
+        from sluice.sources.lzma2 import RunScanner
+
+        self.head, self.header_size, self.check_id, self.limits = xz.parse_block_header(header), len(header), check, limits
+        size = xz.dict_size_from_prop(self.head.dict_prop)
+        if size > limits.memory:
+            raise StreamError("MemoryLimit", needed=size, limit=limits.memory)
+        self.raw = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": max(4096, size)}])
+        self.filters = ChunkedChain(list(self.head.filters[:-1]), False) if len(self.head.filters) > 1 else None
+        self.sum = RunningCheck(check) if limits.verify and xz.is_verifiable(check) else None
+        self.scanner, self.ended, self.packed, self.decoded, self.unpacked = RunScanner(), False, 0, 0, 0
+
+    def chunk_size(self, held: bytearray) -> int | None:
+        """Bytes of the chunk at the front, once its header is there."""
+        if held and held[0] == 0:
+            return 1
+        self.scanner.head = bytes(held[:6])
+        try:
+            c = self.scanner._parse()
+        except StreamError:
+            raise StreamError("Lzma") from None
+        if c is None:
+            return None
+        self.next = c
+        return c.header_len + c.payload_len
+
+    def push(self, chunk: bytes, left: int | None) -> bytes:
+        self.packed += len(chunk)
+        if chunk[0] == 0:
+            self.ended = True
+        else:
+            self.scanner._take(self.next)
+            self.decoded += self.next.unpacked_len
+            if left is not None and self.next.unpacked_len > left:
+                raise StreamError("TooMuchOutput", needed=self.next.unpacked_len, limit=left)
+            if self.decoded > min(self.limits.max_block_size, self.head.uncompressed if self.head.uncompressed is not None else self.limits.max_block_size):
+                raise StreamError("SizeMismatch", needed=self.decoded)
+        try:
+            out = self.raw.decompress(chunk)
+        except lzma.LZMAError:
+            raise StreamError("Lzma") from None
+        return self._checked(self.filters.push(out) if self.filters else out)
+
+    def _checked(self, out: bytes) -> bytes:
+        self.unpacked += len(out)
+        if self.sum:
+            self.sum.push(out)
+        return out
+
+    def finish(self, pad: bytes, check: bytes) -> bytes:
+        rest = self._checked(self.filters.finish()) if self.filters else b""
+        if any(pad):
+            raise StreamError("BadPadding")
+        if self.head.compressed not in (None, self.packed) or self.head.uncompressed not in (None, self.unpacked) or self.unpacked != self.decoded:
+            raise StreamError("SizeMismatch")
+        if self.sum and self.sum.digest() != check:
+            raise StreamError("CheckMismatch")
+        return rest
+
+
 class SequentialDecoder:
     """The forward path: header, blocks, index, footer, padding; the index is compared with what was decoded.
 
-    For files whose end can't be read first. Block ends are found from the chunk headers, so sizes need not be
-    declared. push() returns decoded bytes of whole, checked blocks.
+    For files whose end can't be read first. Block ends are found from the chunk headers, each looked at once however
+    the bytes arrive, so sizes need not be declared. push() returns decoded bytes of whole, checked blocks; with
+    `chase`, what is decoded of a block as its chunks arrive, and the error if its check fails at the end. Then no more
+    than a chunk and the dictionary is held, however large a block is.
     """
 
-    def __init__(self, limits: Limits | None = None):
-        self.limits, self.held, self.at = limits or Limits(), bytearray(), 0
+    def __init__(self, limits: Limits | None = None, chase: bool = False):
+        self.limits, self.held, self.at, self.chase = limits or Limits(), bytearray(), 0, chase
+        self.open: _OpenBlock | None = None
+        self.scanned: tuple | None = None  # scanner and place of the block that is arriving
         self.stream = self.block = self.total = 0
         self.state, self.check, self.records = "header", 0, []
         self.error: StreamError | None = None
@@ -315,6 +437,8 @@ class SequentialDecoder:
             return b""
         if self.state == "block":
             return self._block()
+        if self.state == "chased":
+            return self._chased()
         if self.state == "footer":
             if len(h) < 12:
                 return None
@@ -348,6 +472,11 @@ class SequentialDecoder:
             return self._index()
         if len(h) < size:
             return None
+        if self.chase:
+            self.open = _OpenBlock(bytes(h[:size]), self.check, self.limits)
+            self._drop(size)
+            self.state = "chased"
+            return b""
         head = xz.parse_block_header(bytes(h[:size]))
         end = self._payload_end(size)
         if end is None:
@@ -368,13 +497,37 @@ class SequentialDecoder:
         self.records.append((b.unpadded_size, unpacked))
         self._drop(whole)
         self.block += 1
+        self.scanned = None
         return data
 
+    def _chased(self) -> bytes | None:
+        """What the next whole chunk of the open block gives; at its end, its padding and check."""
+        b, h = self.open, self.held
+        if not b.ended:
+            n = b.chunk_size(h)
+            if n is None or len(h) < n:
+                return None
+            left = None if self.limits.max_unpack_bytes is None else self.limits.max_unpack_bytes - self.total
+            out = b.push(self._drop(n), left)
+            self.total += len(out)
+            return out
+        pad, tail = -b.packed % 4, xz.check_size(self.check)
+        if len(h) < pad + tail:
+            return None
+        rest = b.finish(bytes(h[:pad]), bytes(h[pad : pad + tail]))
+        self.total += len(rest)
+        self._drop(pad + tail)
+        self.records.append((b.header_size + b.packed + tail, b.unpacked))
+        self.open, self.state = None, "block"
+        self.block += 1
+        return rest
+
     def _payload_end(self, at: int) -> int | None:
         """Where the LZMA2 data that begins at `at` ends, from its chunk headers; None if that hasn't arrived."""
         from sluice.sources.lzma2 import RunScanner
 
-        s, h = RunScanner(), self.held
+        s, at = self.scanned or (RunScanner(), at)
+        h = self.held
         while at < len(h):
             if h[at] == 0:
                 return at + 1
@@ -387,6 +540,7 @@ class SequentialDecoder:
                 return None
             s._take(c)
             at += c.header_len + c.payload_len
+            self.scanned = s, at
         return None
 
     def _index(self) -> bytes | None:

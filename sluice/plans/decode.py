@@ -177,14 +177,15 @@ def decode_runs(runs: DataFrame, prop: int, memory: int = 2**40, target: int = 1
     return packed(runs, "unpacked_len", target).mapInArrow(run, PIECE_DDL)
 
 
-def decode_sequential(files: DataFrame, limits: codec.Limits | None = None, step: int = 1 << 20) -> DataFrame:
+def decode_sequential(files: DataFrame, limits: codec.Limits | None = None, step: int = 1 << 20, chase: bool = False) -> DataFrame:
     """The forward path, one task per file, for files whose index can't be read: pieces in order, then an error row
-    if there is one. Everything before the error comes out."""
+    if there is one. Everything before the error comes out; with `chase` a block's chunks too, before its check is
+    known, and no block is held whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                d, at, n = codec.SequentialDecoder(limits), 0, 0
+                d, at, n = codec.SequentialDecoder(limits, chase), 0, 0
                 row = {"path": path, "stream_no": 0, "block_no": 0, "out_offset": 0, "data": None, "error": None}
                 f, _ = open_input(path)
                 with f:
@@ -284,5 +285,10 @@ def encode_lzma2_files(rows: DataFrame, encoder: codec.Encoder | None = None, ke
     parts = blocks.select("_key", "block_no", "block").repartition("_key", "block_no").mapInArrow(run, "_key string, block_no int, raw binary")
     whole = parts.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("block_no", "raw"))).alias("p"))
     every = rows.select(F.col(key).cast("string").alias("_key")).distinct().join(whole, "_key", "left")
-    joined = F.concat(F.unhex(F.array_join(F.transform(F.coalesce("p", F.array().cast("array<struct<block_no:int,raw:binary>>")), lambda x: F.hex(x["raw"])), "")), F.unhex(F.lit("00")))
-    return every.select(F.col("_key").alias(key), F.lit(prop).alias("prop"), joined.alias("data"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [b"".join([x["raw"] for x in p or []]) + b"\0" for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([prop] * b.num_rows, pa.int32()), pa.array(out, pa.binary())], names=[key, "prop", "data"])
+
+    return every.select("_key", "p").mapInArrow(put, f"`{key}` string, prop int, data binary")
