@@ -2,19 +2,22 @@
 
 A read plans one input partition per group of blocks from the files' indexes and decodes at their offsets;
 filters on block_no and out_offset that Spark pushes keep blocks out of the plan. A write puts one stream per
-task down under a temporary name; commit renames, abort removes.
+task down in a folder of the job's own; commit moves the files of the attempts that Spark committed to names with the
+job's id, so jobs that append to one path, at once or in turn, keep out of each other's way; abort removes the folder.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from sluice.errors import StreamError
 from sluice.operators import codec
@@ -46,7 +49,7 @@ def encoder_of(options: dict) -> codec.Encoder:
 
 
 def files_under(path: str, suffix: str) -> list[str]:
-    uri = path if "://" in path else f"file://{os.path.abspath(path.removeprefix('file:'))}"
+    uri = uri_of(path)
     fs, inner = pafs.FileSystem.from_uri(uri)
     scheme = uri.split("://")[0]
     info = fs.get_file_info(inner)
@@ -59,7 +62,7 @@ def files_under(path: str, suffix: str) -> list[str]:
 @dataclass
 class Units(InputPartition):
     path: str
-    units: list
+    units: list | None  # None: not planned yet
     error: dict | None = None
 
 
@@ -96,27 +99,36 @@ class _Reader(DataSourceReader):
         test = {"==": lambda a, b: a == b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
         return all(test[op](p[name], v) for name, op, v in self.bounds)
 
+    def _units(self, path: str) -> list[Units]:
+        """The file's units in groups of about partitionBytes; of a file that can't be planned, its error."""
+        out, held, size = [], [], 0
+        try:
+            for u in self.units(path):
+                if self._wanted(u):
+                    held.append(u)
+                    size += self.place(u)["_size"]
+                    if size >= self.target:
+                        out.append(Units(path, held))
+                        held, size = [], 0
+        except StreamError as e:
+            if self.failfast:
+                raise
+            return [*out, Units(path, held, e.as_row())]
+        return [*out, Units(path, held)] if held else out
+
     def partitions(self):
-        out = []
-        for path in files_under(self.options["path"], self.suffix):
-            try:
-                held, size = [], 0
-                for u in self.units(path):
-                    if self._wanted(u):
-                        held.append(u)
-                        size += self.place(u)["_size"]
-                        if size >= self.target:
-                            out.append(Units(path, held))
-                            held, size = [], 0
-                if held:
-                    out.append(Units(path, held))
-            except StreamError as e:
-                if self.failfast:
-                    raise
-                out.append(Units(path, [], e.as_row()))
-        return out or [Units("", [])]
+        """Up to planFiles files (32 by default) are planned here, so that large ones spread over tasks; of more files
+        each is a partition, and its index is read by the task that decodes it."""
+        paths = files_under(self.options["path"], self.suffix)
+        if len(paths) > int(self.options.get("planFiles", 32)):
+            return [Units(path, None) for path in paths]
+        return [u for path in paths for u in self._units(path)] or [Units("", [])]
 
     def read(self, partition: Units) -> Iterator[pa.RecordBatch]:
+        if partition.units is None:
+            for units in self._units(partition.path):
+                yield from self.read(units)
+            return
         row = {"path": partition.path, "stream_no": None, "block_no": None, "out_offset": None, "data": None, "error": partition.error}
         if partition.error:
             yield pa.RecordBatch.from_pylist([row], _PIECES)
@@ -186,6 +198,10 @@ class LzmaReader(_Reader):
         return codec.lzma_alone_decode(f.read(), int(self.options.get("memoryLimit", 512 << 20)))
 
 
+def uri_of(path: str) -> str:
+    return path if "://" in path else f"file://{os.path.abspath(path.removeprefix('file:'))}"
+
+
 @dataclass
 class Written(WriterCommitMessage):
     temporary: str
@@ -193,52 +209,51 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """The rows' `data` (or their first binary or string column) of a task, one after the other, are one stream."""
+    """The rows' `data` (or their first binary or string column) of a task, one after the other, are one stream. What a
+    task holds is one block (`blockSize`; 16 MiB for LZMA2 where it isn't set), and for .lzma nothing."""
 
     def __init__(self, options: dict, schema, overwrite: bool, suffix: str):
-        self.options, self.suffix, self.overwrite = {**options}, suffix, overwrite
+        self.options, self.suffix, self.overwrite, self.job = {**options}, suffix, overwrite, uuid.uuid4().hex
         names = [f.name for f in schema.fields if f.dataType.typeName() in ("binary", "string")]
         if not names:
             raise ValueError("a binary or string column is needed")
         self.column = "data" if "data" in names else names[0]
         self.encoder = encoder_of(self.options)
 
+    def _place(self):
+        """(file system, folder, the job's temporary folder)"""
+        fs, inner = pafs.FileSystem.from_uri(uri_of(self.options["path"]))
+        return fs, inner, f"{inner}/_temporary-{self.job}"
+
     def write(self, iterator):
         from pyspark import TaskContext
 
         c = TaskContext.get()
-        name = f"part-{c.partitionId():05d}{self.suffix}"
-        uri = self.options["path"] if "://" in self.options["path"] else f"file://{os.path.abspath(self.options['path'].removeprefix('file:'))}"
-        fs, inner = pafs.FileSystem.from_uri(uri)
-        fs.create_dir(f"{inner}/_temporary", recursive=True)
-        temporary = f"{inner}/_temporary/{name}.{c.taskAttemptId()}"
+        name = f"part-{c.partitionId():05d}-{self.job}{self.suffix}"
+        fs, inner, held = self._place()
+        fs.create_dir(held, recursive=True)
+        # attempts of one task don't meet
+        temporary = f"{held}/{name}.{c.taskAttemptId()}"
         values = (v for row in iterator if (v := row[self.column]) is not None)
         values = (v.encode() if isinstance(v, str) else bytes(v) for v in values)
         with fs.open_output_stream(temporary) as out:
-            if self.suffix == ".xz":
-                w = codec.XzWriter(self.encoder)
-                for v in values:
-                    out.write(w.push(v))
-                out.write(w.finish())
-            elif self.suffix == ".lzma2":
-                size = self.encoder.block_size or 16 << 20
-                held = bytearray()
-                for v in values:
-                    held += v
-                    while len(held) >= size:
-                        out.write(codec.lzma2_encode(bytes(held[:size]), self.encoder)[1][:-1])
-                        del held[:size]
-                out.write(codec.lzma2_encode(bytes(held), self.encoder)[1])
-            else:
-                out.write(codec.lzma_alone_encode(b"".join(values), self.encoder.preset))
+            for piece in self._encoded(values):
+                out.write(piece)
         return Written(temporary, f"{inner}/{name}")
 
-    def _fs(self):
-        path = self.options["path"]
-        return pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path.removeprefix('file:'))}")
+    def _encoded(self, values: Iterator[bytes]) -> Iterator[bytes]:
+        if self.suffix == ".xz":
+            w = codec.XzWriter(self.encoder)
+        elif self.suffix == ".lzma2":
+            w = codec.Lzma2Writer(self.encoder, self.encoder.block_size or 16 << 20)
+        else:
+            w = codec.LzmaWriter(self.encoder.preset)
+        for v in values:
+            yield w.push(v)
+        yield w.finish()
 
     def commit(self, messages):
-        fs, inner = self._fs()
+        fs, inner, held = self._place()
         done = [m for m in messages if m is not None]
         if self.overwrite and done:
             for f in fs.get_file_info(pafs.FileSelector(inner)):
@@ -246,44 +261,77 @@ class _Writer(DataSourceWriter):
                     fs.delete_file(f.path)
         for m in done:
             fs.move(m.temporary, m.final)
-        if fs.get_file_info(f"{inner}/_temporary").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{inner}/_temporary")
+        self._remove(fs, held)
 
     def abort(self, messages):
-        fs, _ = self._fs()
-        for m in messages:
-            if m is not None and fs.get_file_info(m.temporary).type == pafs.FileType.File:
-                fs.delete_file(m.temporary)
+        fs, _, held = self._place()
+        self._remove(fs, held)
+
+    @staticmethod
+    def _remove(fs, held: str) -> None:
+        if fs.get_file_info(held).type == pafs.FileType.Directory:
+            fs.delete_dir(held)
+
 
+@dataclass
+class Arrived(InputPartition):
+    path: str
 
-class XzStreamReader(SimpleDataSourceStreamReader):
-    """Files that appear under the path, maxFilesPerTrigger of them per batch; each is decoded whole when it is listed,
-    by the driver. The offset lists the files read, so a new file is new under any name; it grows with their number.
-    For small files; for large ones stream the paths and use plans.decode."""
+
+class XzStreamReader(DataSourceStreamReader):
+    """Files that appear under the path, a partition each: executors read their indexes and decode them, the driver
+    lists names. The offset numbers the batches; the files of each are in a journal under `journal` (by default the
+    folder `_arrived` beside the files), so a new file is new under any name, an offset stays small, and a restarted
+    query reads the same files in the same batch."""
 
     def __init__(self, options: dict):
         self.options = {**options}
         self.most = int(options.get("maxFilesPerTrigger", 100))
+        path = options["path"]
+        self.fs, inner = pafs.FileSystem.from_uri(uri_of(path))
+        self.journal = options.get("journal") or f"{inner if self.fs.get_file_info(inner).type == pafs.FileType.Directory else inner + '-'}/_arrived".replace("-/_", "-_")
+        self.batches = self._journalled()
+        self.read_ = {f for b in self.batches for f in b}
+
+    def _journalled(self) -> list[list[str]]:
+        out: list[list[str]] = []
+        while self.fs.get_file_info(self._entry(len(out))).type == pafs.FileType.File:
+            with self.fs.open_input_stream(self._entry(len(out))) as f:
+                out.append(json.loads(f.read()))
+        return out
+
+    def _entry(self, n: int) -> str:
+        return f"{self.journal}/{n:09d}.json"
 
     def initialOffset(self):
-        return {"read": []}
-
-    def _rows(self, path: str):
+        return {"batch": 0}
+
+    def latestOffset(self):
+        new = [f for f in files_under(self.options["path"], ".xz") if f not in self.read_][: self.most]
+        if new:
+            self.fs.create_dir(self.journal, recursive=True)
+            part = f"{self._entry(len(self.batches))}.{uuid.uuid4().hex}"
+            with self.fs.open_output_stream(part) as out:
+                out.write(json.dumps(new).encode())
+            self.fs.move(part, self._entry(len(self.batches)))
+            self.batches.append(new)
+            self.read_.update(new)
+        return {"batch": len(self.batches)}
+
+    def partitions(self, start, end):
+        return [Arrived(f) for b in self.batches[start["batch"] : end["batch"]] for f in b] or [Arrived("")]
+
+    def read(self, partition: Arrived) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         r = XzReader(self.options)
-        for p in [Units(path, r.units(path))]:
-            for batch in r.read(p):
-                for row in batch.to_pylist():
-                    e = row["error"]
-                    yield (row["path"], row["stream_no"], row["block_no"], row["out_offset"], row["data"], tuple(e.values()) if e else None)
-
-    def read(self, start):
-        read = set(start["read"])
-        new = [f for f in files_under(self.options["path"], ".xz") if f not in read][: self.most]
-        return iter([x for f in new for x in self._rows(f)]), {"read": [*start["read"], *new]}
-
-    def readBetweenOffsets(self, start, end):
-        read = set(start["read"])
-        return (x for f in end["read"] if f not in read for x in self._rows(f))
+        try:
+            units = Units(partition.path, r.units(partition.path))
+        except StreamError as e:
+            if r.failfast:
+                raise
+            units = Units(partition.path, [], e.as_row())
+        yield from r.read(units)
 
     def commit(self, end):
         pass
@@ -307,7 +355,7 @@ class XzSource(_Source):
     def name(cls):
         return "xz"
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return XzStreamReader(self.options)
 
 

@@ -148,10 +148,70 @@ def test_writers(spark, tmp_path):
     assert len(got.split()) == 5
 
 
+def test_appends_keep_what_is_there(spark, tmp_path):
+    """Two appends, two jobs at once, and a task that is tried again: every row is there once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    register(spark)
+    one = lambda v: spark.createDataFrame([(f"{v}\n",)], "data string").coalesce(1)
+    for name in ("xz", "lzma2", "lzma"):
+        out = str(tmp_path / name)
+        for v in (1, 2):
+            one(v).write.format(name).mode("append").save(out)
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda v: one(v).write.format(name).mode("append").save(out), range(3, 9)))
+        got = b"".join(bytes(r["data"]) for r in spark.read.format(name).load(out).collect())
+        assert sorted(map(int, got.split())) == list(range(1, 9))
+        assert not [p for p in (tmp_path / name).iterdir() if p.name.startswith("_")]
+
+
+def test_attempts_of_a_task_do_not_meet(tmp_path, monkeypatch):
+    import pyspark
+    from pyspark.sql.types import BinaryType, StructType
+
+    from sluice.sources.datasource import _Writer
+
+    def context(attempt):
+        class Context:
+            partitionId = staticmethod(lambda: 0)
+            taskAttemptId = staticmethod(lambda: attempt)
+
+        return Context
+
+    out = str(tmp_path / "o")
+    schema = StructType().add("data", BinaryType())
+    job, other = (_Writer({"path": out}, schema, False, ".xz") for _ in range(2))
+    said = []
+    for w, attempt, rows in ((job, 1, [b"lost"]), (job, 2, [b"kept"]), (other, 3, [b"other"])):
+        monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda a=attempt: context(a)))
+        said.append(w.write(iter([{"data": x} for x in rows])))
+    job.commit([said[1]])
+    assert len(list((tmp_path / "o").glob("*.xz"))) == 1
+    other.commit([said[2]])
+    import lzma
+
+    assert sorted(lzma.decompress(p.read_bytes()) for p in (tmp_path / "o").glob("*.xz")) == [b"kept", b"other"]
+    assert not list((tmp_path / "o").glob("_*"))
+    third = _Writer({"path": out}, schema, False, ".xz")
+    third.abort([third.write(iter([{"data": b"x"}]))])
+    assert len(list((tmp_path / "o").iterdir())) == 2
+
+
+def test_many_files_are_planned_by_their_tasks(spark, files):
+    register(spark)
+    path, data = files
+    from sluice.sources.datasource import XzReader
+
+    r = XzReader({"path": path + "/a.xz", "planFiles": "0"})
+    assert [p.units for p in r.partitions()] == [None]
+    got = spark.read.format("xz").option("planFiles", 0).load(path + "/a.xz")
+    assert joined(got.collect(), "a.xz") == data and got.where("block_no = 3").count() == 1
+
+
 def test_file_stream(spark, files, tmp_path):
     register(spark)
     path, data = files
-    q = spark.readStream.format("xz").load(path + "/a.xz").writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = spark.readStream.format("xz").option("journal", str(tmp_path / "j")).load(path + "/a.xz").writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert joined(spark.read.parquet(str(tmp_path / "o")).collect(), "a.xz") == data
 
@@ -161,15 +221,26 @@ def test_file_stream_reads_later_files_of_smaller_names(tmp_path):
 
     from sluice.sources.datasource import XzStreamReader
 
-    reader, got = XzStreamReader({"path": str(tmp_path)}), []
+    def data(reader, start, end):
+        rows = [r for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist()]
+        return b"".join(r["data"] for r in rows if r["data"] is not None)
+
+    options = {"path": str(tmp_path)}
+    reader, got = XzStreamReader(options), []
     at = first = reader.initialOffset()
     for name in ("b", "a", "c"):
         (tmp_path / f"{name}.xz").write_bytes(lzma.compress(name.encode()))
-        rows, at = reader.read(at)
-        got.append(b"".join(bytes(r[4]) for r in rows if r[4] is not None))
+        to = reader.latestOffset()
+        got.append(data(reader, at, to))
+        at = to
     assert got == [b"b", b"a", b"c"]
-    assert reader.read(at)[1] == at
-    assert b"".join(bytes(r[4]) for r in reader.readBetweenOffsets(first, at) if r[4] is not None) == b"bac"
+    assert reader.latestOffset() == at
+    # a restarted query reads the same files in the same batches
+    again = XzStreamReader(options)
+    assert data(again, first, at) == b"bac" and data(again, {"batch": 1}, {"batch": 2}) == b"a" and again.latestOffset() == at
+    (tmp_path / "bad.xz").write_bytes(b"no xz file")
+    rows = [r for p in again.partitions(at, again.latestOffset()) for b in again.read(p) for r in b.to_pylist()]
+    assert [r["error"] is not None for r in rows] == [True]
 
 
 def test_arriving_files(spark, tmp_path):
