@@ -67,9 +67,10 @@ class Tree:
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """staged(); the shuffle files go when the table is written, not when the driver collects garbage, and joins whose
-    partitions are all small, which is known when they are there, hash them instead of sorting both sides."""
+    partitions are all small, which is known when they are there, hash them instead of sorting both sides. Almost every
+    key of the aggregations is new to its task, so a small table before the large one would only be in the way."""
     conf = df.sparkSession.conf
-    options = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB"}
+    options = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB", "spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}
     before = {k: conf.get(k) for k in options}
     for k, v in options.items():
         conf.set(k, v)
@@ -180,8 +181,10 @@ def run_counts(train: DataFrame, level: int, below: np.ndarray | None = None) ->
                     if known is not None:
                         on = may_have(known, s) & may_have(known, x)
                         s, x, key = s[on], x[on], key[on]
-                    _, first, n = np.unique(key, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(s[first]), pa.array(x[first]), pa.array(n.astype(np.int64))], schema=schema)
+                    order = np.argsort(key)
+                    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else order
+                    n = np.diff(np.append(first, len(key)))
+                    yield pa.RecordBatch.from_arrays([pa.array(s[order[first]]), pa.array(x[order[first]]), pa.array(n.astype(np.int64))], schema=schema)
 
     counted = train.mapInArrow(count, "s long, x long, c long").groupBy("s", "x").agg(F.sum("c").alias("c"))
     return counted.where(F.col("s").isNull() | (F.col("c") >= EDGE_LEAST))
@@ -315,7 +318,7 @@ def head_scores(docs: DataFrame, tree: Tree, *, key: str, text: str) -> DataFram
                     rare_doc.append(doc[last[on]])
             rare, rare_doc = np.concatenate(rare), np.concatenate(rare_doc)
             place = (rare % slices) * len(texts) + rare_doc
-            order = np.argsort(place, kind="stable")
+            order = np.argsort(place)
             rare, place = pa.array(rare[order]), place[order]
             tails = []
             for k in range(slices):
