@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +39,14 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """A column name that none of `columns` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def trimmed(text: Column) -> Column:
     return F.trim(text, F.lit(WS))
 
