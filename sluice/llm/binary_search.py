@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into segments; every segment has an index from its value to codes. By the pigeonhole
+A code is cut into segments of 16 bits; every segment has an index from its value to codes. By the pigeonhole
 principle a code within distance r of the query agrees with it, in some segment, within r // segments. So the
 search grows one segment's radius by one at a time; after segments 0..j are at radius t and the others at
 t - 1, everything nearer than segments * t + j + 1 has been met. It stops when the kth verified distance is
@@ -21,15 +21,22 @@ from pyspark.sql.window import Window
 
 from sluice.llm.runtime import documents, staged
 
-BITS = 64
+#: Bits of a word of a code, and of a segment.
+WORD, WIDTH = 64, 16
 
 
 def sign_code(vector: Column) -> Column:
-    """64-bit code: bit i is set where component i is over 0. Null vectors and those of other lengths: null.
-    A null or NaN component counts as 0."""
-    bit = F.transform(vector, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.expr("0L")))
-    code = F.aggregate(bit, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
-    return F.when(F.size(vector) == BITS, code)
+    """The code as words of 64 bits: bit i is set where component i is over 0, components of a word from its highest
+    bit used. A vector of any length but 0 has one; null and empty vectors: null. A null or NaN component counts as 0."""
+    bit = F.transform(vector, lambda x: F.when((x > 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.expr("0L")))
+    word = lambda at: F.aggregate(F.slice(bit, at * WORD + 1, WORD), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    code = F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / WORD).cast("int")), word)
+    return F.when(F.size(vector) > 0, code)
+
+
+def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hamming distances of codes (rows of words) from one."""
+    return np.bitwise_count(codes ^ code).sum(axis=1).astype(np.int64)
 
 
 @lru_cache(maxsize=64)
@@ -39,23 +46,25 @@ def flips(width: int, radius: int) -> np.ndarray:
 
 
 class MultiIndex:
-    """Segment indexes over distinct codes."""
-
-    def __init__(self, codes: np.ndarray, segments: int = 4):
-        self.codes, self.segments, self.width = codes, segments, BITS // segments
-        self.sorted, self.order, self.start = [], [], []
-        for j in range(segments):
-            value = self.values(codes, j).astype(np.int64)
+    """Segment indexes over distinct codes: rows of words."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.bits = codes, WORD * codes.shape[1]
+        self.segments, self.width = self.bits // WIDTH, WIDTH
+        self.order, self.start = [], []
+        for j in range(self.segments):
+            value = self.value(codes, j).astype(np.int64)
             order = np.argsort(value, kind="stable")
             self.order.append(order)
             self.start.append(np.searchsorted(value[order], np.arange((1 << self.width) + 1)))
 
-    def values(self, codes, j: int):
-        return (codes >> np.uint64(j * self.width)) & np.uint64((1 << self.width) - 1)
+    def value(self, codes: np.ndarray, j: int):
+        per = WORD // self.width
+        return (codes[..., j // per] >> np.uint64(j % per * self.width)) & np.uint64((1 << self.width) - 1)
 
-    def met(self, code: np.uint64, j: int, radius: int) -> np.ndarray:
+    def met(self, code: np.ndarray, j: int, radius: int) -> np.ndarray:
         """Entries whose segment j is at just this distance from the query's."""
-        value = (self.values(code, j) ^ flips(self.width, radius)).astype(np.int64)
+        value = (self.value(code, j) ^ flips(self.width, radius)).astype(np.int64)
         a, b = self.start[j][value], self.start[j][value + 1]
         n = b - a
         on = n > 0
@@ -65,12 +74,12 @@ class MultiIndex:
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return self.order[j][at]
 
-    def search(self, code: np.uint64, k: int, weight: np.ndarray, within: int = BITS) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, code: np.ndarray, k: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """(entries, distances, probes): every entry that can be among the k nearest rows, weight[i] rows being
-        at entry i, and none needed beyond distance `within`."""
+        at entry i."""
         seen = np.zeros(len(self.codes), bool)
-        entries, dists = [], []
-        histogram = np.zeros(BITS + 1, np.int64)
+        entries, dists = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        histogram = np.zeros(self.bits + 1, np.int64)
         probes = 0
         for radius in range(self.width + 1):
             for j in range(self.segments):
@@ -79,70 +88,67 @@ class MultiIndex:
                 found = np.unique(found[~seen[found]])
                 if len(found):
                     seen[found] = True
-                    d = np.bitwise_count(self.codes[found] ^ code).astype(np.int64)
+                    d = distances(self.codes[found], code)
                     entries.append(found)
                     dists.append(d)
-                    histogram += np.bincount(d, weight[found], BITS + 1).astype(np.int64)
+                    histogram += np.bincount(d, weight[found], self.bits + 1).astype(np.int64)
                 covered = self.segments * radius + j
-                kth = int(np.searchsorted(np.cumsum(histogram), k))  # over BITS: fewer than k rows yet
-                if min(kth, within) <= covered:
-                    e, d = np.concatenate([*entries, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*dists, np.empty(0, np.int64)]).astype(np.int64)
-                    near = d <= min(kth, within)
-                    return e[near], d[near], probes
-        e, d = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (entries, dists))
-        return e, d, probes
-
-
-def top_k(
-    rows: DataFrame, queries: DataFrame, k: int = 10, *, block_codes: int = 1 << 20, query_block: int = 4096, least_groups: int = 16, key: str = "vec_id", vector: str = "embedding", segments: int = 4
-) -> DataFrame:
+                kth = int(np.searchsorted(np.cumsum(histogram), k))  # over bits: fewer than k rows yet
+                if kth <= covered:
+                    e, d = np.concatenate(entries), np.concatenate(dists)
+                    return e[d <= kth], d[d <= kth], probes
+        return np.concatenate(entries), np.concatenate(dists), probes
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, *, block_codes: int = 1 << 20, query_block: int = 1 << 18, least_groups: int = 16, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (1 first), key, distance: for each query the k rows nearest by Hamming distance of the sign
-    codes, ties by id; the query's own row is not among them.
+    codes, ties by id; the query's own row is not among them. Vectors have any number of components; those of another
+    number than the query's are no neighbours of it.
 
-    Rows or queries whose vector is null or not of 64 components, or whose id is null, have no code and are in
-    no result. Rows that repeat an id count once if their codes are equal, else once per code. With fewer than
-    k rows, all are returned.
+    Rows or queries whose vector is null or empty, or whose id is null, have no code and are in no result. Rows that
+    repeat an id count once if their codes are equal, else once per code. With fewer than k rows, all are returned; of
+    an empty table, none. Other columns aren't read.
 
     Blocks of about block_codes distinct codes (hash of the code) meet blocks of query_block queries, one group
     each; a group returns k rows per query at most, and a last ranking keeps the nearest k.
     """
-    coded = rows.select(F.col(key).cast("long").alias("id"), sign_code(F.col(vector)).alias("code")).where("id is not null and code is not null")
-    asked = staged(queries.select(F.col(key).cast("long").alias("q"), sign_code(F.col(vector)).alias("qcode")).where("q is not null and qcode is not null").distinct(), "queries")
+    columns = (F.col(key).cast("long"), F.size(vector), sign_code(F.col(vector)))
+    coded = rows.select(*(c.alias(n) for c, n in zip(columns, ("id", "dim", "code"), strict=True))).where("id is not null and code is not null")
+    asked = queries.select(*(c.alias(n) for c, n in zip(columns, ("q", "dim", "qcode"), strict=True))).where("q is not null and qcode is not null")
+    asked = staged(asked.distinct(), "queries")
     # the smallest k + 1 ids of a code: one of them may be the query itself
-    ranked = Window.partitionBy("code", "_salt").orderBy("id")
+    ranked = Window.partitionBy("dim", "code", "_salt").orderBy("id")
     few = coded.distinct().withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k + 1)
-    codes = few.groupBy("code").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
+    codes = few.groupBy("dim", "code").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
     codes = staged(codes, "codes")
     n_codes, n_asked = codes.count(), asked.count()
     blocks = max(1, -(-n_codes // block_codes))
     parts = max(1, -(-n_asked // query_block), min(n_asked // 64, least_groups // blocks))
-    left = codes.withColumn("_b", F.pmod(F.xxhash64("code"), F.lit(blocks))).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("_b", "_p", "code", "ids")
-    right = asked.withColumn("_p", F.pmod(F.xxhash64("q"), F.lit(parts))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("_b", "_p", "q", "qcode")
+    left = codes.withColumn("_b", F.pmod(F.xxhash64("code"), F.lit(blocks))).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("_b", "_p", "dim", "code", "ids")
+    right = asked.withColumn("_p", F.pmod(F.xxhash64("q"), F.lit(parts))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("_b", "_p", "dim", "q", "qcode")
+
+    def words(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return flat.reshape(len(column), -1)
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return empty()
-        codes = a.column("code").to_numpy().astype(np.int64).view(np.uint64)
-        ids = a.column("ids").to_pylist()
-        weight = np.array([len(x) for x in ids])
-        index = MultiIndex(codes, segments)
         out: list[tuple[int, int, int]] = []
-        for q, code in zip(b.column("q").to_pylist(), b.column("qcode").to_numpy().astype(np.int64).view(np.uint64), strict=True):
-            entries, dist, _ = index.search(code, k + 1, weight)
-            order = np.argsort(dist, kind="stable")
-            best, last = [], -1
-            for e, d in zip(entries[order].tolist(), dist[order].tolist(), strict=True):
-                if len(best) >= k and d > last:
-                    break
-                last = d
-                best += [(d, i) for i in ids[e] if i != q]
-            out += [(q, i, d) for d, i in sorted(best)[:k]]
+        if a.num_rows and b.num_rows:
+            codes, ids = words(a.column("code")), a.column("ids").to_pylist()
+            index, weight = MultiIndex(codes), np.array([len(x) for x in ids])
+            for q, code in zip(b.column("q").to_pylist(), words(b.column("qcode")), strict=True):
+                entries, dist, _ = index.search(code, k + 1, weight)
+                order = np.argsort(dist, kind="stable")
+                best, last = [], -1
+                for e, d in zip(entries[order].tolist(), dist[order].tolist(), strict=True):
+                    if len(best) >= k and d > last:
+                        break
+                    last = d
+                    best += [(d, i) for i in ids[e] if i != q]
+                out += [(q, i, d) for d, i in sorted(best)[:k]]
         return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "id": pa.array([x[1] for x in out], pa.int64()), "distance": pa.array([x[2] for x in out], pa.int32())})
 
-    def empty() -> pa.Table:
-        return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.int32())})
-
-    met = left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(meet, "query_id long, id long, distance int")
+    met = left.groupBy("_b", "_p", "dim").cogroup(right.groupBy("_b", "_p", "dim")).applyInArrow(meet, "query_id long, id long, distance int")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     found = met.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", F.col("id").alias(key), "distance")
@@ -166,9 +172,7 @@ def brute_force(ids: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, k: in
     """The same by comparing everything; for tests."""
     out = []
     for q in query_ids:
-        d = np.bitwise_count(codes ^ codes[np.flatnonzero(ids == q)[0]]).astype(int)
+        d = distances(codes, codes[np.flatnonzero(ids == q)[0]])
         rows = sorted((int(x), int(i)) for x, i in zip(d, ids, strict=True) if i != q)[:k]
         out += [(int(q), r + 1, i, x) for r, (x, i) in enumerate(rows)]
     return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "distance"])
-
-

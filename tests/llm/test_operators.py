@@ -68,8 +68,24 @@ def test_capped_targets_and_sainte_lague():
         assert sainte_lague(v, seats, caps).tolist() == want.tolist()
 
 
+def mixed_by_hand(words_of, plan, run_blocks=32):
+    """Per row, how often each word is taken, word by word and block by block: plan has shards as (rows in order,
+    blocks, quota, places)."""
+    out = {}
+    for rows, blocks, quota, place in plan:
+        total = sum(words_of[r] for r in rows)
+        bounds = [b * total // blocks for b in range(blocks + 1)] if blocks else [0]
+        times = [quota // blocks + (place[b // run_blocks] + b % run_blocks < quota % blocks) for b in range(blocks)]
+        of_word = [t for b, t in enumerate(times) for _ in range(bounds[b + 1] - bounds[b])]
+        at = 0
+        for r in rows:
+            out[r] = of_word[at : at + words_of[r]]
+            at += words_of[r]
+    return out
+
+
 def test_mix_of_documents(spark, docs):
-    from sluice.llm.mixing import mix_plan, mixed_documents
+    from sluice.llm.mixing import mix_plan, mixed_documents, op1_mix_sources
 
     plan = mix_plan(docs).toPandas()
     again = mix_plan(docs.repartition(3)).toPandas()
@@ -83,6 +99,53 @@ def test_mix_of_documents(spark, docs):
     n = got.assign(n=[len(words(t)) for t in got.text]).groupby("doc_id").n.sum()
     want = plan.set_index("doc_id").taken
     assert n.to_dict() == want[want > 0].to_dict()
+    query = op1_mix_sources(spark, SF).toPandas()
+    assert query.set_index("doc_id").taken.to_dict() == want.to_dict()
+    # few cuts: most documents that are taken at all are taken whole, or without one part
+    assert np.mean([len(s) for s in plan.spans if len(s)]) < 2.5
+
+
+def test_taken_words_equal_block_by_block(spark):
+    """taken and the mixed texts, repeated rows and ids included, against the blocks laid out one by one."""
+    import xxhash
+
+    from sluice.llm.mixing import capped_targets, mix_plan, mixed_documents, places, sainte_lague
+
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{i}.{k}" for k in range(int(rng.integers(0, 200)))), "ab"[i % 2]) for i in range(60)]
+    rows += [(i % 7, " ".join(f"r{i % 7}.{k}" for k in range(40 + i % 7)), "a") for i in range(90)] + [(None, "n 1 2 3", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    plan = mix_plan(docs, run_blocks=4, shard_words=10**9).collect()
+    size = {s: sum(len(words(t)) for _, t, x in rows if x == s) for s in ("a", "b", None)}
+    targets = capped_targets([size[s] for s in ("a", "b", None)], [1, 2, 3], sum(size.values()))
+    blocks = {s: max(1, round(n / 16)) for s, n in size.items()}
+    seats = dict(zip(("a", "b", None), sainte_lague(targets, round(sum(targets) / 16), [3 * blocks[s] for s in ("a", "b", None)])))
+    for s in ("a", "b", None):
+        mine = sorted((i if i is not None else -1, len(words(t))) for i, t, x in rows if x == s)
+        name = xxhash.xxh3_64_intdigest(f"0 {s}".encode(), seed=17)
+        by_word = mixed_by_hand([n for _, n in mine], [(range(len(mine)), blocks[s], int(seats[s]), places(blocks[s], 4, name))], 4)
+        want = sorted((i, n, sum(by_word[k])) for k, (i, n) in enumerate(mine))
+        assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"], r["taken"]) for r in plan if r["source"] == s) == want
+        assert abs(sum(x for _, _, x in want) - targets[("a", "b", None).index(s)]) <= 16
+    for options in ({"run_blocks": 4, "shard_words": 10**9}, {"run_blocks": 2, "shard_words": 100}):
+        total = sum(r["taken"] for r in mix_plan(docs, **options).collect())
+        mixed = mixed_documents(docs, **options).collect()
+        assert sum(len(words(r["text"])) for r in mixed) == pytest.approx(total, abs=100 if options["shard_words"] == 100 else 0)
+        n = Counter(r["source"] for r in mixed for _ in words(r["text"]))
+        for s, t in zip(("a", "b", None), targets):
+            assert abs(n[s] - t) <= (20 if options["shard_words"] > 100 else 20 + 0.01 * t), (s, n[s], t)
+
+
+def test_places_are_permutations():
+    from sluice.llm.mixing import places
+
+    for blocks, run in ((0, 32), (1, 32), (32, 32), (100, 32), (8192, 32), (77, 1)):
+        p = places(blocks, run, 5)
+        ranks = [int(p[b // run]) + b % run for b in range(blocks)]
+        assert sorted(ranks) == list(range(blocks))
+    a, b = places(8192, 32, 1), places(8192, 32, 2)
+    steps = np.diff(a) % 8192
+    assert (a != b).any() and len(set(steps.tolist())) > 100  # no small step through the shard
 
 
 def test_mix_of_odd_rows(odd, empty):
@@ -91,7 +154,10 @@ def test_mix_of_odd_rows(odd, empty):
     rows = mix_plan(odd).toPandas()
     assert len(rows) == len(ODD) and rows.taken.notna().all()
     assert mix_plan(empty).count() == 0
-    assert mixed_documents(odd).columns == odd.columns
+    clash = odd.withColumnsRenamed({"lang": "_file", "n_chars": "_at", "size": "spans"}).withColumn("file", F.lit(1))
+    assert mixed_documents(odd).columns == odd.columns and mixed_documents(empty).count() == 0
+    assert mixed_documents(clash).columns == clash.columns
+    assert mixed_documents(clash).count() == mixed_documents(odd).count()
 
 
 # ---- 2 quality
@@ -351,15 +417,17 @@ def test_search_equals_brute_force(spark):
     from sluice.llm.binary_search import brute_force, sign_code, top_k
 
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(300, 64))
-    x[40:120] = x[40]  # a vector that many rows share
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0]), (None, x[0].tolist())], "vec_id long, embedding array<float>")
-    coded = rows.select("vec_id", sign_code(F.col("embedding")).alias("c")).where("c is not null and vec_id is not null").toPandas()
-    ids, codes = coded.vec_id.to_numpy().astype(int), coded.c.to_numpy().astype(np.int64).view(np.uint64)
-    for options in ({}, {"block_codes": 40, "query_block": 4}):
-        got = top_k(rows, rows.where("vec_id % 20 = 0"), 10, **options).toPandas().sort_values(["query_id", "rank"])
+    for dim in (64, 32, 100, 200):
+        x = rng.normal(size=(300, dim))
+        x[40:120] = x[40]  # a vector that many rows share
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0]), (902, []), (None, x[0].tolist())], "vec_id long, embedding array<float>")
+        coded = rows.where(F.size("embedding") == dim).select("vec_id", sign_code(F.col("embedding")).alias("c")).where("vec_id is not null").toPandas()
+        ids, codes = coded.vec_id.to_numpy().astype(int), np.array(coded.c.tolist(), np.int64).view(np.uint64)
+        assert codes.shape[1] == -(-dim // 64) and np.bitwise_count(codes).sum(axis=1).tolist() == (x > 0).sum(axis=1).tolist()
         want = brute_force(ids, codes, np.arange(0, 300, 20), 10)
-        assert got.values.tolist() == want.values.tolist()
+        for options in ({}, {"block_codes": 40, "query_block": 4})[: 2 if dim == 64 else 1]:
+            got = top_k(rows, rows.where("vec_id % 20 = 0 and vec_id < 900"), 10, **options).toPandas().sort_values(["query_id", "rank"])
+            assert got.values.tolist() == want.values.tolist()
     few = rows.where("vec_id < 3")
     assert top_k(few, few, 10).count() == 6
     assert top_k(rows.limit(0), rows, 10).count() == 0
@@ -463,31 +531,83 @@ def test_patterns_equal_the_regular_expressions(docs):
 def test_spans(spark, docs, odd, empty):
     from sluice.llm.pii import find_spans, patterns, train, training_texts
 
-    field = train(training_texts(docs))
-    made = [(1, "Call +1 (017) 555-7713 now. Again (017) 555-7713 or mail bob.12@mail3.example.com, thanks."), (2, "No digits here"), (3, "In 1984 there were 12 apples and 300 pears.")]
+    texts = training_texts(docs)
+    assert len(training_texts(docs, most_docs=5)) <= 5 and sum(map(len, training_texts(docs, most_chars=3000))) <= 3000
+    field = train(texts)
+    made = [(1, "Call +1 (017) 555-7713 now. Again (017) 555-7713 or mail bob.12@mail3.example.com, thanks."), (2, "No digits here"), (3, "In 1984 there were 12 apples and 300 pears."), (4, 'the token = "3e5cb3f9186ce4f749644b4847d287be561795be" of it')]
     got = {r["doc_id"]: r for r in find_spans(spark.createDataFrame(made, "doc_id long, text string"), field).collect()}
-    assert got[1]["n_phone"] == 1 and got[1]["n_email"] == 1
+    assert got[1]["n_phone"] == 1 and got[1]["n_email"] == 1 and got[1]["n_spans"] == got[1]["n_added"] + 2
+    assert "phone:34:48" in got[1]["spans"]  # the mention that comes back without its country code
     assert got[2]["spans"] == got[3]["spans"] == ""
+    assert got[4]["spans"] == "secret:13:53"
     for r in find_spans(docs, field).join(docs.select("doc_id", "text"), "doc_id").collect():
         base = [f"{k}:{a}:{b}" for k, a, b in patterns(r["text"])]
         assert hashlib.sha256(",".join(base).encode()).hexdigest() == r["base_sha256"]
         assert set(base) <= set(r["spans"].split(",")) if base else True
+        assert r["n_spans"] == len(base) + r["n_added"] == len([x for x in r["spans"].split(",") if x])
     assert find_spans(odd, field).count() == len(ODD)
-    assert find_spans(empty, train([])).count() == 0
+    assert find_spans(empty, train([])).count() == 0 and training_texts(empty) == []
+
+
+def test_added_spans_on_held_out_texts(spark):
+    """Recall and precision of what the field adds: over made-up texts of another seed, where the truth is known, and
+    over sf0.01, where what it adds is read off the texts: a quoted key after a word that says so."""
+    from sluice.llm.pii import added, find_spans, made_up, patterns, train, training_texts
+
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = training_texts(sf)
+    field = train(texts)
+    hit = wrong = missed = 0
+    for text, spans in made_up(texts[::-1], 300, seed=77):
+        base = patterns(text)
+        truth = [x for x in spans if not any(a < x[2] and b > x[1] for _, a, b in base)]
+        got = added(text, base, field)
+        met = lambda x, y: x[0] == y[0] and x[1] < y[2] and x[2] > y[1]
+        wrong += sum(not any(met(x, y) for y in truth) for x in got)
+        hit += sum(any(met(x, y) for x in got) for y in truth)
+        missed += sum(not any(met(x, y) for x in got) for y in truth)
+    assert hit / (hit + wrong) >= 0.95 and hit / (hit + missed) >= 0.7, (hit, wrong, missed)
+    found, right, there = 0, 0, 0
+    for r in find_spans(sf, field).join(sf, "doc_id").collect():
+        keys = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r"(?i)token = \"([0-9a-f]{32,})\"", r["text"])}
+        more = set(r["spans"].split(",")) - {f"{k}:{a}:{b}" for k, a, b in patterns(r["text"])} - {""}
+        found, right, there = found + len(more), right + len(more & keys), there + len(keys)
+    assert found > 0 and right >= 0.9 * found and right >= 0.9 * there, (found, right, there)
+
+
+def test_beliefs_of_small_graphs():
+    """Exact on trees, near enough on loops, against all labellings."""
+    from itertools import product
+
+    from sluice.llm.pii import Chain, Field, beliefs
+
+    rng = np.random.default_rng(7)
+    m = 6
+    for near, skip, exact in (([(0, 1), (1, 2)], [(0, 3)], True), ([(0, 1), (1, 2)], [(2, 3), (3, 4)], True), ([], [], True), ([(0, 1), (1, 2), (2, 3)], [(0, 2), (1, 3), (0, 4)], False)):
+        field = Field(rng.normal(size=(5, m)), rng.normal(size=m), rng.normal(size=(m, m)) * (1 if exact else 0.4), rng.normal(size=(m, m)) * (1 if exact else 0.4))
+        c = Chain([(2 * i, 2 * i + 1) for i in range(5)], [[i] for i in range(5)], near, skip, [0] * 5)
+        total, want = 0.0, np.zeros((5, m))
+        for y in product(range(m), repeat=5):
+            w = np.exp(sum(field.bias[k] + field.unary[i, k] for i, k in enumerate(y)) + sum(field.near[y[i], y[j]] for i, j in near) + sum(field.skip[y[i], y[j]] for i, j in skip))
+            total += w
+            for i, k in enumerate(y):
+                want[i, k] += w
+        got = beliefs(c, field, rounds=60)
+        assert np.abs(got - want / total).max() < (1e-3 if exact else 0.03)
 
 
 def test_skip_edges_carry_evidence():
-    from sluice.llm.pii import Chain, Field, beliefs
+    from sluice.llm.pii import LABELS, Chain, Field, beliefs, chain, form
 
-    m = 5
+    m = len(LABELS) + 1
     field = Field(np.zeros((4, m)), np.zeros(m), np.zeros((m, m)), np.eye(m) * 2)
     field.unary[1, 4] = 5
     alone = beliefs(Chain([(0, 1), (5, 6)], [[1], [0]], [], [], [0, 0]), field)
     tied = beliefs(Chain([(0, 1), (5, 6)], [[1], [0]], [], [(0, 1)], [0, 0]), field)
-    assert alone[1, 4] == pytest.approx(0.2) and tied[1, 4] > 0.5
-    u = field.unary[[1, 0]]
-    exact = np.exp(u[0][:, None] + u[1][None, :] + field.skip)
-    assert tied[1] == pytest.approx(exact.sum(0) / exact.sum(), abs=1e-3)
+    assert alone[1, 4] == pytest.approx(1 / m) and tied[1, 4] > 0.5
+    # two long words that differ late are told apart, two of one form are not
+    a, b = "1-" * 80 + "x", "1-" * 80 + "#"
+    assert form(a) != form(b) and chain(f"{a} of {b} and {a}", [], 64).skip == [(0, 2)]
 
 
 # ---- 8 language model
