@@ -93,20 +93,35 @@ def fold_crcs(pieces: DataFrame, keys: Sequence[str], order: str, length: str, c
     return rows.select(*keys, "len", "crc")
 
 
+def split_every(blocks: DataFrame, step: int, offset: str = "uncompressed_offset", length: str = "uncompressed_size") -> DataFrame:
+    """split_segments() at every multiple of `step`, which takes no list of cuts: however long a stream is."""
+    at, end = F.col(offset), F.col(offset) + F.col(length)
+    cut = lambda i: F.least(end, F.greatest(at, i * step))
+    spans = F.transform(F.sequence(F.floor(at / step), F.floor((end - 1) / step)), lambda i: F.struct(cut(i).alias("seg_offset"), (cut(i + 1) - cut(i)).alias("seg_len")))
+    return blocks.where(F.col(length) > 0).withColumn("_s", F.explode(spans)).select(*blocks.columns, "_s.*")
+
+
 def answer_ranges(ranges: DataFrame, pieces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """ranges (offset, len) with crc: folded from the pieces (p_offset, p_len, crc hex) that lie within; null unless
-    they tile the range exactly. Of pieces at one offset the longest counts."""
+    they tile the range exactly. Of pieces at one offset the longest counts.
+
+    Ranges and pieces meet by key and by the stretch of the stream in which a piece begins; stretches are as long as
+    the ranges are on average, so a range is in a few of them. Its pieces are folded in rounds, as fold_crcs() does."""
     keys = list(keys)
     best = pieces.groupBy(*keys, "p_offset").agg(F.max_by(F.struct("p_len", "crc"), "p_len").alias("_v")).select(*keys, "p_offset", "_v.*").where("p_len > 0")
     r = ranges.withColumn("_id", F.xxhash64(*keys, "offset", "len"))
+    asked = r.where("len > 0").select(*keys, "_id", "offset", "len").distinct()
+    width = max(1, int(asked.agg(F.avg("len")).first()[0] or 1))
+    stretches = F.sequence(F.floor(F.col("offset") / width), F.floor((F.col("offset") + F.col("len") - 1) / width))
+    met = asked.withColumn("_at", F.explode(stretches)).join(best.withColumn("_at", F.floor(F.col("p_offset") / width)), [*keys, "_at"])
     inside = (F.col("p_offset") >= F.col("offset")) & (F.col("p_offset") + F.col("p_len") <= F.col("offset") + F.col("len"))
-    met = r.join(best, keys, "left") if keys else r.crossJoin(F.broadcast(best))
-    got = met.where(inside).groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("p_offset", "p_len", "crc"))).alias("_p"))
-    tiles = lambda p, o: F.aggregate(p, F.struct(o.alias("at"), F.lit(True).alias("ok")), lambda s, x: F.struct((s["at"] + x["p_len"]).alias("at"), (s["ok"] & (s["at"] == x["p_offset"])).alias("ok")))
-    out = r.join(got, "_id", "left").withColumn("_t", tiles(F.coalesce("_p", F.array().cast("array<struct<p_offset:long,p_len:long,crc:string>>")), F.col("offset")))
-    whole = F.col("_t.ok") & (F.col("_t.at") == F.col("offset") + F.col("len"))
-    crc = _folded(32)(F.transform("_p", lambda p: F.struct(p["p_len"].alias("len"), p["crc"].alias("crc"))))["crc"]
-    return out.withColumn("crc", F.when(F.col("len") == 0, "00000000").when(whole, crc)).select(*ranges.columns, "crc")
+    w = Window.partitionBy("_id").orderBy("p_offset")
+    end = F.col("p_offset") + F.col("p_len")
+    rows = met.where(inside).withColumn("_ok", F.col("p_offset") == F.coalesce(F.lag(end).over(w), F.col("offset")))
+    whole = rows.groupBy("_id", "offset", "len").agg(F.min("_ok").alias("_ok"), F.max(end).alias("_end")).where(F.col("_ok") & (F.col("_end") == F.col("offset") + F.col("len"))).select("_id")
+    folded = fold_crcs(rows.join(whole, "_id", "left_semi").select("_id", "p_offset", "p_len", "crc"), ["_id"], "p_offset", "p_len", "crc").select("_id", "crc")
+    out = r.join(folded, "_id", "left")
+    return out.withColumn("crc", F.when(F.col("len") == 0, "00000000").otherwise(F.col("crc"))).select(*ranges.columns, "crc")
 
 
 def number_runs(chunks: DataFrame, keys: Sequence[str] = ("path",), order: str = "in_offset", control: str = "control") -> DataFrame:

@@ -59,7 +59,7 @@ def _hex16(x: str) -> str:
 
 
 def _hex_list(x: str) -> str:
-    return f"coalesce(list_reduce(list_transform({x}, lambda v: lpad(upper(to_hex(v)), 2, '0')), lambda a, b: a || b), '')"
+    return f"coalesce(array_to_string(list_transform({x}, lambda v: lpad(upper(to_hex(v)), 2, '0')), ''), '')"
 
 
 # ---- checksums
@@ -86,12 +86,13 @@ def q_sha256_docs(spark, sf):
 
 
 @query(
-    f"WITH k AS (SELECT {_T32} AS t), c AS (SELECT string_agg(text, '' ORDER BY item_id) AS text FROM benchmark) "
-    f"SELECT 'all' AS part, octet_length(encode(text))::BIGINT AS len, lpad(upper(to_hex({_crc32_sql(_B.format('text'))})), 8, '0') AS crc FROM c, k"
+    f"WITH k AS (SELECT {_T32} AS t), c AS (SELECT coalesce(source, '') AS part, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL) "
+    f"SELECT part, octet_length(encode(text))::BIGINT AS len, lpad(upper(to_hex({_crc32_sql(_B.format('text'))})), 8, '0') AS crc FROM c, k"
 )
 def q_crc_combine(spark, sf):
-    rows = _bytes(spark, sf, "benchmark", "item_id").select(F.lit("all").alias("part"), "item_id", F.octet_length("content").alias("n"), F.lpad(F.hex(F.crc32("content")), 8, "0").alias("c"))
-    return R.fold_crcs(rows, ["part"], "item_id", "n", "c", fan_in=8)
+    rows = _bytes(spark, sf).join(_t(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("part")), "doc_id")
+    rows = rows.select("part", "doc_id", F.octet_length("content").alias("n"), F.lpad(F.hex(F.crc32("content")), 8, "0").alias("c"))
+    return R.fold_crcs(rows, ["part"], "doc_id", "n", "c", fan_in=64)
 
 
 @query(
@@ -120,37 +121,39 @@ def q_segments(spark, sf):
 
 
 @query(
-    "WITH b AS (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents), o AS (SELECT doc_id, n, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS o FROM b), "
-    "p AS (SELECT doc_id, list_concat(list_concat([o], list_filter(list_transform(range(1, 400), lambda i: i * 65536), lambda c: c > o AND c < o + n)), [o + n]) AS c FROM o WHERE n > 0) "
-    "SELECT doc_id, c[i] AS seg_offset, c[i + 1] - c[i] AS seg_len FROM (SELECT *, unnest(range(1, len(c))) AS i FROM p)"
+    "WITH b AS (SELECT lang, doc_id, octet_length(encode(text))::BIGINT AS n FROM documents), o AS (SELECT doc_id, n, (sum(n) OVER (PARTITION BY lang ORDER BY doc_id) - n)::BIGINT AS o FROM b WHERE n > 0) "
+    "SELECT doc_id, greatest(o, i * 4096) AS seg_offset, least(o + n, (i + 1) * 4096) - greatest(o, i * 4096) AS seg_len FROM (SELECT *, unnest(range(o // 4096, (o + n - 1) // 4096 + 1)) AS i FROM o)"
 )
 def q_split_points(spark, sf):
-    rows = _bytes(spark, sf).select("doc_id", F.lit("f").alias("path"), F.lit(0).alias("stream_no"), F.octet_length("content").cast("long").alias("uncompressed_size"), F.lit(5).cast("long").alias("unpadded_size"))
-    return R.split_segments(R.located(rows, order="doc_id"), [i * 65536 for i in range(1, 400)]).select("doc_id", "seg_offset", "seg_len")
+    """Every document cut at every 4 KiB of its language's stream."""
+    rows = _bytes(spark, sf).join(_t(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("path")), "doc_id")
+    rows = rows.select("doc_id", "path", F.lit(0).alias("stream_no"), F.octet_length("content").cast("long").alias("uncompressed_size"), F.lit(5).cast("long").alias("unpadded_size"))
+    return R.split_every(R.located(rows, order="doc_id"), 4096).select("doc_id", "seg_offset", "seg_len")
 
 
 @query(
-    f"WITH k AS (SELECT {_T32} AS t), b AS (SELECT item_id, {_B.format('text')} AS b FROM benchmark), "
-    "p AS (SELECT item_id, b, (sum(len(b)) OVER (ORDER BY item_id) - len(b))::BIGINT AS o FROM b), "
-    "w AS (SELECT item_id, o, lead(o, 3) OVER (ORDER BY item_id) AS e FROM p), "
-    "r AS (SELECT item_id, 'tiled' AS kind, o AS \"offset\", e - o AS \"len\" FROM w WHERE e IS NOT NULL UNION ALL SELECT item_id, 'late', o + 1, e - o - 1 FROM w WHERE e IS NOT NULL UNION ALL SELECT item_id, 'none', o, 0 FROM w WHERE e IS NOT NULL), "
-    "f AS (SELECT r.item_id, r.kind, r.\"offset\", r.\"len\", flatten(list(p.b ORDER BY p.o)) AS b FROM r JOIN p ON p.item_id BETWEEN r.item_id AND r.item_id + 2 GROUP BY ALL) "
-    f'SELECT item_id, kind, f."offset" AS "offset", f."len" AS "len", ' + f"CASE kind WHEN 'none' THEN '00000000' WHEN 'tiled' THEN lpad(upper(to_hex({_crc32_sql('b')})), 8, '0') END AS crc FROM f, k"
+    f"WITH k AS (SELECT {_T32} AS t), b AS (SELECT lang, doc_id, {_B.format('text')} AS b FROM documents), "
+    "p AS (SELECT lang, doc_id, b, (sum(len(b)) OVER (PARTITION BY lang ORDER BY doc_id) - len(b))::BIGINT AS o FROM b), "
+    "w AS (SELECT lang, doc_id, o, b, lead(o, 3) OVER v AS e, lead(b, 1) OVER v AS b1, lead(b, 2) OVER v AS b2 FROM p WINDOW v AS (PARTITION BY lang ORDER BY doc_id)), "
+    "r AS (SELECT * FROM w WHERE e IS NOT NULL) "
+    "SELECT doc_id, 'tiled' AS kind, o AS \"offset\", e - o AS \"len\", " + f"lpad(upper(to_hex({_crc32_sql('(b || b1 || b2)')})), 8, '0') AS crc FROM r, k UNION ALL "
+    "SELECT doc_id, 'late', o + 1, e - o - 1, NULL FROM r UNION ALL SELECT doc_id, 'none', o, 0, '00000000' FROM r"
 )
 def q_folder_range(spark, sf):
+    """CRCs of ranges of three documents of a language, of ranges that begin within a document, and of empty ones."""
     from pyspark.sql.window import Window
 
-    b = _bytes(spark, sf, "benchmark", "item_id").withColumn("p_len", F.octet_length("content").cast("long"))
-    w = Window.orderBy("item_id")
-    p = b.select("item_id", "p_len", F.coalesce(F.sum("p_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p_offset"), F.lpad(F.hex(F.crc32("content")), 8, "0").alias("crc"))
-    e = p.select("item_id", "p_offset", F.lead("p_offset", 3).over(w).alias("e")).where("e is not null")
+    b = _bytes(spark, sf).join(_t(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), "doc_id").withColumn("p_len", F.octet_length("content").cast("long"))
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    p = b.select("lang", "doc_id", "p_len", F.coalesce(F.sum("p_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p_offset"), F.lpad(F.hex(F.crc32("content")), 8, "0").alias("crc"))
+    e = p.select("lang", "doc_id", "p_offset", F.lead("p_offset", 3).over(w).alias("e")).where("e is not null")
     kinds = F.array(
         F.struct(F.lit("tiled").alias("kind"), F.col("p_offset").alias("offset"), (F.col("e") - F.col("p_offset")).alias("len")),
         F.struct(F.lit("late").alias("kind"), (F.col("p_offset") + 1).alias("offset"), (F.col("e") - F.col("p_offset") - 1).alias("len")),
         F.struct(F.lit("none").alias("kind"), F.col("p_offset").alias("offset"), F.lit(0).cast("long").alias("len")),
     )
-    ranges = e.select("item_id", F.explode(kinds).alias("k")).select("item_id", "k.*")
-    return R.answer_ranges(ranges, p.select("p_offset", "p_len", "crc"))
+    ranges = e.select("lang", "doc_id", F.explode(kinds).alias("k")).select("lang", "doc_id", "k.*")
+    return R.answer_ranges(ranges, p.select("lang", "p_offset", "p_len", "crc"), ["lang"]).select("doc_id", "kind", "offset", "len", "crc")
 
 
 # ---- byte filters
@@ -164,10 +167,9 @@ def _undelta_sql(d: int) -> str:
     return _hex_list(f"list_transform(range(len(b)), lambda i: (list_sum(list_transform(range(i % {d}, i + 1, {d}), lambda j: b[j + 1])) % 256)::INTEGER)")
 
 
-@query(f"WITH b AS (SELECT item_id, {_B.format('text')} AS b FROM benchmark) SELECT item_id, {_delta_sql(1)} AS d1, {_delta_sql(4)} AS d4, {_delta_sql(256)} AS d256 FROM b")
+@query(f"WITH b AS (SELECT doc_id, {_B.format('text')} AS b FROM documents) SELECT doc_id, " + ", ".join(f"md5({_delta_sql(d)}) AS d{d}" for d in (1, 4, 256)) + " FROM b")
 def q_delta_encode(spark, sf):
-    rows = _bytes(spark, sf, "benchmark", "item_id")
-    return rows.select("item_id", *[F.hex(C.delta_encode(F.col("content"), d)).alias(f"d{d}") for d in (1, 4, 256)])
+    return _bytes(spark, sf).select("doc_id", *[F.md5(F.hex(C.delta_encode(F.col("content"), d)).cast("binary")).alias(f"d{d}") for d in (1, 4, 256)])
 
 
 @query(f"WITH b AS (SELECT item_id, {_B.format('text')} AS b FROM benchmark) SELECT item_id, {_undelta_sql(1)} AS d1, {_undelta_sql(4)} AS d4 FROM b")
@@ -423,11 +425,17 @@ def q_first_error_prefix(spark, sf):
     "SELECT lang, limit_mb, greatest(1, least(16, limit_mb * 1048576 // (o + o + 32768), n))::BIGINT AS workers FROM b, (SELECT unnest([0, 1, 4, 64]) AS limit_mb)"
 )
 def q_admission(spark, sf):
+    import pyarrow as pa
+
     n = F.octet_length(F.encode("text", "UTF-8")).cast("long")
     b = _t(spark, sf, "documents").groupBy("lang").agg(F.max(n).alias("o"), F.count("*").alias("n"))
-    rows = b.withColumn("limit_mb", F.explode(F.array(*[F.lit(x) for x in (0, 1, 4, 64)])))
-    fit = F.floor(F.col("limit_mb") * 1048576 / (F.col("o") * 2 + 32768))
-    return rows.select("lang", "limit_mb", F.greatest(F.lit(1), F.least(F.lit(16), fit, F.col("n"))).cast("long").alias("workers"))
+
+    def run(batches):
+        for x in batches:
+            rows = [(lang, mb, props.admitted(16, mb << 20, props.block_memory(o, o), k)) for lang, o, k in zip(*(c.to_pylist() for c in x.columns), strict=True) for mb in (0, 1, 4, 64)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "limit_mb", "workers"), r, strict=True)) for r in rows], pa.schema([("lang", pa.string()), ("limit_mb", pa.int32()), ("workers", pa.int64())]))
+
+    return b.mapInArrow(run, "lang string, limit_mb int, workers long")
 
 
 _HEADS = [
@@ -543,9 +551,12 @@ def q_lzma_props(spark, sf):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one on one machine."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir; where that is unset, a temporary one,
+    if the master is this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
@@ -553,22 +564,22 @@ def _scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def write_documents(spark: SparkSession, sf: str, path: str, parts: int = 4, block_size: int = 65536) -> None:
-    """documents.text, a line each, as .xz files of several blocks."""
+def write_documents(spark: SparkSession, sf: str, path: str, parts: int = 4, block_size: int = 65536, kind: str = "xz") -> None:
+    """documents.text, a line each, as files of several blocks or runs."""
     from sluice.sources.datasource import register
 
     register(spark)
     lines = _t(spark, sf, "documents").select("doc_id", F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")), "UTF-8").alias("data"))
     rows = lines.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select("data")
-    rows.write.format("xz").option("preset", "1").option("blockSize", str(block_size)).mode("append").save(path)
+    rows.write.format(kind).option("preset", "1").option("blockSize", str(block_size)).mode("append").save(path)
 
 
 _TOTALS = "SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents"
 
 
 def _totals(pieces: DataFrame) -> DataFrame:
-    h = F.hex("data")
-    newlines = F.size(F.filter(F.regexp_extract_all(h, F.lit("(..)"), 1), lambda x: x == "0A"))
+    one_a_byte = F.decode("data", "ISO-8859-1")
+    newlines = F.length(one_a_byte) - F.length(F.translate(one_a_byte, "\n", ""))
     return pieces.where("error is null").agg(F.sum(F.octet_length("data")).alias("n_bytes"), F.sum(newlines).alias("n_lines"))
 
 
@@ -609,6 +620,223 @@ def q_arriving(spark, sf):
     return pieces.select(F.col("file_id").cast("long").alias("item_id"), F.sha2(whole, 256).alias("sha256"), F.octet_length(whole).cast("long").alias("n"))
 
 
+@query(_TOTALS)
+def q_sequential(spark, sf):
+    """The forward path over whole files, blocks chased as their chunks arrive."""
+    from sluice.plans.decode import decode_sequential, list_files
+
+    path = _scratch(spark)
+    write_documents(spark, sf, path)
+    return _totals(decode_sequential(list_files(spark, path, "*.xz"), chase=True))
+
+
+@query("SELECT 4::BIGINT AS streams, sum((octet_length(encode(text)) + 1))::BIGINT AS uncompressed_size, 4 AS check_id, 8 AS check_size, 0::BIGINT AS errors FROM documents")
+def q_xz_streams(spark, sf):
+    """The stream table of files, from headers, indexes and footers."""
+    from sluice.plans.decode import list_files, xz_streams
+
+    path = _scratch(spark)
+    write_documents(spark, sf, path)
+    t = xz_streams(list_files(spark, path, "*.xz"))
+    return t.agg(F.count("*").alias("streams"), F.sum("uncompressed_size").alias("uncompressed_size"), F.max("check_id").alias("check_id"), F.max("check_size").alias("check_size"), F.count("error").alias("errors"))
+
+
+@query(_TOTALS)
+def q_lzma2_runs(spark, sf):
+    """Raw LZMA2 files: their runs from chunk headers, then each run decoded on its own."""
+    from sluice.plans.decode import decode_runs, list_files, lzma2_runs
+
+    path = _scratch(spark)
+    write_documents(spark, sf, path, kind="lzma2")
+    return _totals(decode_runs(lzma2_runs(list_files(spark, path, "*.lzma2")), 40))
+
+
+@query("SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes, true AS tiled, true AS equal FROM documents")
+def q_run_checks(spark, sf):
+    """Checks of decoded runs, cut at 100,000 bytes in the tasks that decode them: the segments tile the files, and their
+    CRCs fold to that of each file's bytes."""
+    from sluice.plans.decode import decode_runs, list_files, lzma2_runs, with_checks
+
+    path = _scratch(spark)
+    write_documents(spark, sf, path, kind="lzma2")
+    total = _t(spark, sf, "documents").agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    pieces = decode_runs(lzma2_runs(list_files(spark, path, "*.lzma2")), 40)
+    cut = with_checks(pieces, cs.ChecksumPlan("Crc32", tuple(range(100_000, int(total), 100_000))))
+    seg = cut.select("path", F.explode("segments").alias("s")).select("path", F.col("s.offset").alias("o"), F.col("s.len").alias("n"), F.lpad(F.hex("s.crc32"), 8, "0").alias("c"))
+    folded = R.fold_crcs(seg, ["path"], "o", "n", "c").select("path", F.col("len"), F.col("crc"))
+    whole = R.fold_crcs(pieces.select("path", "out_offset", F.octet_length("data").alias("n"), F.lpad(F.hex(F.crc32("data")), 8, "0").alias("c")), ["path"], "out_offset", "n", "c").select("path", F.col("len").alias("l"), F.col("crc").alias("w"))
+    return folded.join(whole, "path").agg(F.sum("len").alias("n_bytes"), F.min(F.col("len") == F.col("l")).alias("tiled"), F.min(F.col("crc") == F.col("w")).alias("equal"))
+
+
+def _by_value(rows: DataFrame, f) -> DataFrame:
+    """doc_id, and f(bytes) -> bytes, of each row's content."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f(x) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
+
+    return rows.mapInArrow(run, "doc_id long, data binary")
+
+
+@query("SELECT doc_id, sha256(text) AS again, sha256(text) AS pushed FROM documents")
+def q_lzma1_roundtrip(spark, sf):
+    """Raw LZMA1, with its property byte and dictionary size kept apart, encoded whole and pushed in portions."""
+
+    def whole(x):
+        p, raw = codec.lzma1_encode(x, 0)
+        return codec.lzma1_decode(raw, p)
+
+    def pushed(x):
+        w = codec.Lzma1Writer(0)
+        raw = b"".join([*(w.push(x[k : k + 1000]) for k in range(0, len(x), 1000)), w.finish()])
+        return codec.lzma1_decode(raw, w.props)
+
+    a, b = (_by_value(_bytes(spark, sf), f) for f in (whole, pushed))
+    return a.select("doc_id", F.sha2("data", 256).alias("again")).join(b.select("doc_id", F.sha2("data", 256).alias("pushed")), "doc_id")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, 20 AS prop, sha256(text) AS again FROM documents")
+def q_block_parallel_lzma2(spark, sf):
+    """Raw LZMA2 streams from blocks that are encoded on their own, and decoded again."""
+    from sluice.plans.decode import encode_lzma2_files
+
+    got = encode_lzma2_files(_bytes(spark, sf), codec.Encoder(3, block_size=20_000, settings={"dict_size": 1 << 22}), "doc_id")
+    return got.select("doc_id", "prop", F.sha2(C.lzma2_decompress(F.struct("prop", "data")), 256).alias("again"))
+
+
+@query("SELECT doc_id, sha256(text) AS again FROM documents")
+def q_chunked_filters(spark, sf):
+    """A chain over blocks that arrive in portions: encoded whole, decoded by portions."""
+    from sluice.operators.byte_filters import ChunkedChain, encode_chain
+
+    chain = [xz.Filter(xz.DELTA_ID, b"\x03"), xz.Filter(7)]
+
+    def again(x):
+        c, enc = ChunkedChain(chain, False), encode_chain(chain, x)
+        return b"".join([*(c.push(enc[k : k + 777]) for k in range(0, len(enc), 777)), c.finish()])
+
+    return _by_value(_bytes(spark, sf), again).select("doc_id", F.sha2("data", 256).alias("again"))
+
+
+@query("SELECT doc_id, 'good' AS kind, 12 AS header_size, 3::BIGINT AS first_filter, 33::BIGINT AS last_filter, '03' AS delta FROM documents WHERE octet_length(encode(text)) > 0")
+def q_block_headers(spark, sf):
+    """The block header of each document's compressed form: its size and filter flags."""
+    enc = codec.Encoder(0, "crc32", 0, (xz.Filter(xz.DELTA_ID, b"\x03"),))
+    rows = _bytes(spark, sf).where("octet_length(content) > 0").select("doc_id", C.block_header(F.substring(C.xz_compress(F.col("content"), enc), 13, 1024)).alias("h"))
+    f = F.col("h.filters")
+    return rows.select("doc_id", "h.kind", F.lit(12).alias("header_size"), f[0]["id"].alias("first_filter"), F.element_at(f, -1)["id"].alias("last_filter"), F.hex(f[0]["props"]).alias("delta"))
+
+
+@query(
+    "WITH b AS (SELECT lang AS path, doc_id % 5 AS stream_no, doc_id, octet_length(encode(text))::BIGINT AS n FROM documents), "
+    "p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY path ORDER BY stream_no, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM b) SELECT path, doc_id, o AS uncompressed_offset FROM p"
+)
+def q_offsets_across(spark, sf):
+    """Offsets of blocks in streams, and of streams in files."""
+    n = F.octet_length(F.encode("text", "UTF-8")).cast("long")
+    rows = _t(spark, sf, "documents").select(F.col("lang").alias("path"), (F.col("doc_id") % 5).alias("stream_no"), F.col("doc_id").alias("block_no"), n.alias("uncompressed_size"), (n + 5).alias("unpadded_size"))
+    return R.located_across(rows).select("path", F.col("block_no").alias("doc_id"), "uncompressed_offset")
+
+
+@query(_PREFIX + "SELECT lang, count(*) AS records, sum(padded_size)::BIGINT AS padded, sum(uncompressed_size)::BIGINT AS unpacked, true AS equal FROM p GROUP BY lang")
+def q_index_fold(spark, sf):
+    """The constant-memory fold of a stream's records, as they come and put together from two halves' order."""
+    import pandas as pd
+
+    n = F.octet_length(F.encode("text", "UTF-8")).cast("long")
+    rows = _t(spark, sf, "documents").select("lang", "doc_id", n.alias("uncompressed_size"), (n + 5).alias("unpadded_size"))
+
+    def fold(key, batches):
+        a, b = cs.IndexFold(), cs.IndexFold()
+        records = []
+        for x in batches:
+            records += zip(x["doc_id"], x["unpadded_size"], x["uncompressed_size"], strict=True)
+        for _, u, v in sorted(records):
+            a.push(int(u), int(v))
+            b.push(int(u), int(v))
+        return pd.DataFrame([(key[0], *a.finish()[:3], a.finish() == b.finish())], columns=["lang", "records", "padded", "unpacked", "equal"])
+
+    whole = lambda key, frame: fold(key, [frame])
+    return rows.groupBy("lang").applyInPandas(whole, "lang string, records long, padded long, unpacked long, equal boolean")
+
+
+@query("SELECT doc_id::VARCHAR AS file_id, 0::BIGINT AS run_no, octet_length(encode(text))::BIGINT AS unpacked_len FROM documents WHERE octet_length(encode(text)) > 0")
+def q_runs_arriving(spark, sf):
+    """Stored LZMA2 streams of the documents that arrive in portions of 30,000 bytes: their runs as they become whole."""
+    from sluice.streaming.splitter import INPUT_DDL, runs_arriving
+
+    path = _scratch(spark)
+    c = _bytes(spark, sf).where("octet_length(content) > 0").select(F.col("doc_id").cast("string").alias("file_id"), C.stored_lzma2(F.col("content"), 1000).alias("c"))
+    n = F.octet_length("c")
+    parts = c.select("file_id", "c", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / 30_000).cast("int"))).alias("i"))
+    parts.select("file_id", F.col("i").cast("long").alias("seq"), F.substring("c", F.col("i") * 30_000 + 1, F.lit(30_000)).alias("data"), ((F.col("i") + 1) * 30_000 >= n).alias("last")).write.parquet(f"{path}/in")
+    rows = spark.readStream.schema(INPUT_DDL).parquet(f"{path}/in")
+    q = runs_arriving(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("file_id", "run_no", "unpacked_len")
+
+
+# ---- converters, by instructions whose operand is the part's number
+
+
+def _hex_le(x: str, n: int) -> str:
+    return " || ".join(f"lpad(upper(to_hex((({x}) >> {8 * k}) & 255)), 2, '0')" for k in range(n))
+
+
+@query(f"SELECT p_partkey, 'E8' || {_hex_le('p_partkey + 5', 4)} || repeat('00', 11) AS encoded, 'E8' || {_hex_le('p_partkey', 4)} || repeat('00', 11) AS again FROM part")
+def q_bcj_x86(spark, sf):
+    """A near call at the front: its offset becomes the address after it plus the offset."""
+    return _bcj(_made(spark, sf, lambda v: F.concat(F.lit("E8"), _le_hex(v, 4), F.lit("00" * 11))), "X86")
+
+
+def _thumb(v: str) -> str:
+    return f"{_hex_le(f'61440 + (({v}) >> 11)', 2)} || {_hex_le(f'63488 + (({v}) & 2047)', 2)}"
+
+
+@query(f"SELECT p_partkey, {_thumb('p_partkey + 2')} || {_thumb('p_partkey + 4')} AS encoded, {_thumb('p_partkey')} || {_thumb('p_partkey')} AS again FROM part")
+def q_bcj_thumb(spark, sf):
+    """Two branches with link, of two halfwords each: 22 bits that count halfwords, from the place plus four."""
+    one = lambda v: F.concat(_le_hex(F.lit(0xF000) + F.shiftright(v, 11), 2), _le_hex(F.lit(0xF800) + v.bitwiseAND(F.lit(2047)), 2))
+    return _bcj(_made(spark, sf, lambda v: F.concat(one(v), one(v))), "ArmThumb")
+
+
+@query("SELECT p_partkey, " + _three("lpad(upper(to_hex(1073741824 + p_partkey + PC // 4)), 8, '0')") + " AS encoded, " + _three("lpad(upper(to_hex(1073741824 + p_partkey)), 8, '0')") + " AS again FROM part")
+def q_bcj_sparc(spark, sf):
+    """Three calls forward: the displacement counts words."""
+    one = lambda v: F.lpad(F.hex(F.lit(0x40000000) + v), 8, "0")
+    return _bcj(_made(spark, sf, lambda v: F.concat(one(v), one(v), one(v))), "Sparc")
+
+
+_JAL = "239 + ((((p_partkey * 2) >> 12) & 255) << 12) + ((((p_partkey * 2) >> 11) & 1) << 20) + ((((p_partkey * 2) >> 1) & 1023) << 21)"
+
+
+def _jal_address(place: int) -> str:
+    """JAL x1 with an absolute address: bits 17 to 20 of it in the second byte's upper half, then 9 to 16, then 1 to 8."""
+    a = f"(p_partkey * 2 + {place})"
+    return f"'EF' || lpad(upper(to_hex(({a} >> 13) & 240)), 2, '0') || lpad(upper(to_hex(({a} >> 9) & 255)), 2, '0') || lpad(upper(to_hex(({a} >> 1) & 255)), 2, '0')"
+
+
+@query(f"SELECT p_partkey, {_jal_address(0)} || repeat('00', 4) || {_jal_address(8)} || repeat('00', 8) AS encoded, {_hex_le(_JAL, 4)} || repeat('00', 4) || {_hex_le(_JAL, 4)} || repeat('00', 8) AS again FROM part")
+def q_bcj_riscv(spark, sf):
+    """Two jumps with link to x1, at 0 and 8."""
+
+    def one(v):
+        o = v * 2
+        field = lambda low, n, to: F.shiftleft(F.shiftright(o, low).bitwiseAND(F.lit((1 << n) - 1)), to)
+        return _le_hex(F.lit(239) + field(12, 8, 12) + field(11, 1, 20) + field(1, 10, 21), 4)
+
+    return _bcj(_made(spark, sf, lambda v: F.concat(one(v), F.lit("00" * 4), one(v), F.lit("00" * 8))), "RiscV")
+
+
+def _le_hex(v, n: int):
+    return F.concat(*[F.lpad(F.hex(F.shiftright(v, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(n)])
+
+
+def _made(spark, sf, build) -> DataFrame:
+    return _t(spark, sf, "part").select("p_partkey", F.unhex(build(F.col("p_partkey").cast("long"))).alias("content"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Compress documents into files of many blocks, plan from the indexes, decode, and list the pieces."""
     from sluice.plans.decode import read_xz
