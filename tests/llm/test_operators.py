@@ -866,3 +866,53 @@ def test_pipeline(spark, odd, empty):
         assert last.count() == at.count()
     run = p.run(spark, SF)
     assert run.where("not round_trip").count() == 0 and run.count() > 0
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage on its own input, against plain Python."""
+    import public_tokenizers
+    import sentencepiece
+
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(p.STAGES)
+    rows = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    at = docs
+    got = p.staged(stages["quality_rules"](spark, at, SF), "t")
+    assert sorted(rows(got)) == sorted(r for r in rows(at) if not rejected_by(r[1]))
+    at, got = got, p.staged(stages["line_dedup"](spark, got, SF), "t")
+    fold = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    held: dict = {}
+    for i, t in rows(at):
+        for x in t.split("\n"):
+            held.setdefault(fold(x), set()).add(i)
+    want = [(i, "\n".join(x for x in t.split("\n") if len(fold(x)) < 10 or len(held[fold(x)]) < 2 or i == min(held[fold(x)]))) for i, t in rows(at)]
+    assert sorted(rows(got)) == sorted(want)
+    assert got.where(F.length("text") != F.col("n_chars")).count() == 0
+    at, got = got, p.staged(stages["near_dedup"](spark, got, SF), "t")
+    least = brute_components(rows(at))
+    assert sorted(rows(got)) == sorted(r for r in rows(at) if least[r[0]][1] == r[0])
+    at, got = got, p.staged(stages["mix"](spark, got, SF), "t")
+    whole, copies_ = dict(rows(at)), Counter()
+    for i, t in rows(got):
+        w, n = words(whole[i]), 0
+        for x in words(t):  # the words taken, in their order
+            n = w.index(x, n) + 1
+        copies_[i] += 1
+    assert max(copies_.values()) <= 3 and set(copies_) <= set(whole)
+    from sluice.llm.mixing import capped_targets, ranked_weights
+
+    size, taken = Counter(), Counter()
+    for r in at.collect():
+        size[r["source"]] += len(words(r["text"]))
+    for r in got.collect():
+        taken[r["source"]] += len(words(r["text"]))
+    order = sorted((s for s in size if s is not None), key=str) + [None] * (None in size)
+    weights = ranked_weights(order)
+    for s, t in zip(order, capped_targets([size[s] for s in order], [weights[s] for s in order], sum(size.values()))):
+        assert abs(taken[s] - t) <= 32
+    at, got = got, stages["sentencepiece"](spark, got, SF)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert sorted((r["doc_id"], tuple(r["ids"])) for r in got.collect()) == sorted((i, tuple(sp.encode(t))) for i, t in rows(at))
+    assert got.where("not round_trip").count() == 0
