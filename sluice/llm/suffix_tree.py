@@ -140,7 +140,8 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = np.append(hashes, np.uint64(END)).view(np.int64)
     which = coded.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-    real = np.append(words != b"", True)[which] if len(words) else np.empty(0, bool)
+    blank = pc.index(coded.dictionary, "").as_py()  # before or after white space at a text's end
+    real = which != blank
     which, doc = which[real], doc[real]
     lengths = np.bincount(doc, minlength=len(texts)) + 1
     out = np.full(int(lengths.sum()), len(hashes) - 1, np.int64)
@@ -294,7 +295,7 @@ def head_scores(docs: DataFrame, tree: Tree, *, key: str, text: str) -> DataFram
         head = shared.value
         of_word, of_run = head.indexes()
         row = TaskContext.get().partitionId() << 36
-        for batch, texts in grouped(batches, 1, 2_000_000):
+        for batch, texts in grouped(batches, 1):
             distinct, which, lengths = token_hashes(texts)
             h = distinct[which]
             doc = np.repeat(np.arange(len(texts)), lengths)
