@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. run() writes each stage's result to the shared folder and hands it to the next.
+
+In every stage null texts count as empty, null ids and sources are values of their own, rows that are alike are rows
+each, texts are whole at any length, an empty table stays empty, and columns that docs has besides, whatever their
+names, pass through all stages but the last. What that comes to is said at each stage.
 """
 
 from __future__ import annotations
@@ -18,27 +22,30 @@ from sluice.llm.sentencepiece_op import encode_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects; null and empty texts have too few words, so they go."""
     return quality_filter(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier document has; n_chars follows the text."""
+    """All documents, without lines that an earlier document (of smaller id, null first) has; n_chars follows the text,
+    which may be empty then. Rows that share an id are one document: none loses a line to another."""
     return with_length(dedup_lines(docs, counts=False), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest id; texts without words stay."""
     return one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy that is taken of a document, its text cut to the words taken."""
+    """The mix: a row for each copy that is taken of a document, its text cut to the words taken. Texts without words
+    have nothing to take, so they go; rows that are alike are taken each for itself."""
     return with_length(mixed_documents(docs), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, and two distinct sampled segmentations with inclusion scores."""
+    """Token ids of every row, and two distinct sampled segmentations with inclusion scores; fewer, where a text has
+    fewer. Rows that share id and text get the same samples; null ids stay null."""
     import public_tokenizers
 
     got = encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
