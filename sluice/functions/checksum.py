@@ -71,50 +71,47 @@ def crc64_combine(a: int, b: int, len_b: int) -> int:
     return combine(64, a, b, len_b)
 
 
+#: Bytes whose contributions to a CRC are looked up at once.
+_SPAN = 4096
+
+
+@lru_cache(maxsize=1)
+def _contributions() -> np.ndarray:
+    """What a byte adds to a raw CRC-64 with p bytes after it, at p * 256 + byte, for p below _SPAN."""
+    table = np.array(_T64, np.uint64)
+    out = np.empty((_SPAN, 256), np.uint64)
+    out[0] = table
+    for p in range(1, _SPAN):
+        out[p] = table[(out[p - 1] & np.uint64(255)).astype(np.intp)] ^ (out[p - 1] >> np.uint64(8))
+    return out.ravel()
+
+
+_BEFORE = np.arange(_SPAN - 1, -1, -1, dtype=np.intp) * 256
+
+
 def crc64_xz(data: bytes) -> int:
-    return crc64_many([data])[0]
+    """CRC-64/XZ. A CRC is the exclusive or of what its bytes add, each by its distance from the end; the state so far
+    counts as if it were in the next eight bytes. So a span of bytes is one look-up of them all."""
+    n = len(data)
+    if n < 64:
+        return _crc64_plain(data)
+    add, state, at = _contributions(), 2**64 - 1, 0
+    raw = np.frombuffer(data, np.uint8)
+    while n - at >= 8:
+        size = min(_SPAN, n - at)
+        place = _BEFORE[_SPAN - size :] + raw[at : at + size]
+        first = np.frombuffer(state.to_bytes(8, "little"), np.uint8)
+        place[:8] = _BEFORE[_SPAN - size : _SPAN - size + 8] + (raw[at : at + 8] ^ first)
+        state = int(np.bitwise_xor.reduce(add[place]))
+        at += size
+    for x in data[at:]:
+        state = _T64[(state ^ x) & 255] ^ state >> 8
+    return state ^ 2**64 - 1
 
 
 def crc64_many(values: Sequence[bytes]) -> list[int]:
-    """CRC-64/XZ of each value. Values are cut into segments that advance together, a byte of each at a time, and
-    are then combined; segments are as short as gives about 2,048 of them."""
-    total = sum(map(len, values))
-    if total < 4096:
-        return [_crc64_plain(v) for v in values]
-    length = 1 << min(14, max(6, (total // 2048).bit_length()))
-    starts, sizes, firsts, at = [], [], [], 0
-    for v in values:
-        firsts.append(len(starts))
-        n = len(v)
-        # the odd piece comes first, so that every later one is `length` long
-        head = n % length or min(n, length)
-        for k in [0, *range(head, n, length)] if n else []:
-            starts.append(at + k)
-            sizes.append(head if k == 0 else length)
-        at += n
-    firsts.append(len(starts))
-    data = np.frombuffer(b"".join(values), np.uint8)
-    start, size = np.array(starts, np.int64), np.array(sizes, np.int64)
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    state = np.zeros(len(start), np.uint64)
-    opening = np.zeros(len(start), bool)
-    opening[[f for f, g in zip(firsts, firsts[1:], strict=False) if g > f]] = True
-    state[opening[order]] = np.uint64(2**64 - 1)
-    active = len(size) - np.searchsorted(size[::-1], np.arange(1, int(size[0]) + 1), side="left")
-    table, eight, low = np.array(_T64, np.uint64), np.uint64(8), np.uint64(255)
-    for t, n in enumerate(active.tolist()):
-        s = state[:n]
-        state[:n] = table[((s ^ data[start[:n] + t]) & low).astype(np.int64)] ^ (s >> eight)
-    done = np.empty_like(state)
-    done[order] = state
-    parts, shift, out = done.tolist(), _power(64, length.bit_length() - 1), []
-    for a, b in zip(firsts, firsts[1:], strict=False):
-        crc = parts[a] if b > a else 2**64 - 1
-        for x in parts[a + 1 : b]:
-            crc = _times(shift, crc) ^ x
-        out.append(crc ^ 2**64 - 1)
-    return out
+    """CRC-64/XZ of each value."""
+    return [crc64_xz(v) for v in values]
 
 
 def _crc64_plain(data: bytes) -> int:
@@ -151,6 +148,25 @@ def hooks_installed() -> bool:
     return bool(_HOOKS)
 
 
+def carried(run: Callable) -> Callable:
+    """run, for a worker process: the hooks that are installed here and now are installed there while it runs."""
+    hooks = dict(_HOOKS)
+    if not hooks:
+        return run
+
+    def hooked(*arguments):
+        before = dict(_HOOKS)
+        _HOOKS.clear()
+        _HOOKS.update(hooks)
+        try:
+            return run(*arguments)
+        finally:
+            _HOOKS.clear()
+            _HOOKS.update(before)
+
+    return hooked
+
+
 def digest(name: str, data: bytes):
     return (_HOOKS.get(name) or _OWN[name])(data)
 

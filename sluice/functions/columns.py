@@ -50,7 +50,8 @@ def crc64_hex_expr(content: Column) -> Column:
 
 
 def _each(kind: str, run: Callable, *columns: Column) -> Column:
-    """A scalar Arrow UDF: run(values of a row) -> value; null where any argument is null."""
+    """A scalar Arrow UDF: run(values of a row) -> value; null where any argument is null. Hash hooks go along."""
+    run = cs.carried(run)
 
     def call(*arrays: pa.Array) -> pa.Array:
         rows = zip(*(a.to_pylist() for a in arrays), strict=True)

@@ -150,9 +150,12 @@ def lzma_alone_decode(data: bytes, memory: int = 512 << 20) -> bytes:
 
 
 def encode_block(data: bytes, enc: Encoder) -> tuple[bytes, int, int]:
-    """(header, payload, padding and check; unpadded size; uncompressed size). The check covers the data as given."""
-    filters = [*enc.filters, xz.Filter(xz.LZMA2_ID, bytes((xz.prop_from_dict_size(enc.dict_size),)))]
-    packed = lzma.compress(encode_chain(list(enc.filters), data), lzma.FORMAT_RAW, filters=enc.spec)
+    """(header, payload, padding and check; unpadded size; uncompressed size). The check covers the data as given. The
+    dictionary is no larger than the block needs, so neither side allocates more."""
+    size = min(enc.dict_size, max(4096, 1 << (len(data) - 1).bit_length()))
+    filters = [*enc.filters, xz.Filter(xz.LZMA2_ID, bytes((xz.prop_from_dict_size(size),)))]
+    spec = [{**enc.spec[0], "dict_size": size}]
+    packed = lzma.compress(encode_chain(list(enc.filters), data), lzma.FORMAT_RAW, filters=spec)
     head = xz.make_block_header(filters, len(packed), len(data))
     check = check_bytes(CHECK_IDS[enc.check], data)
     return head + packed + bytes(-len(packed) % 4) + check, len(head) + len(packed) + len(check), len(data)

@@ -331,3 +331,20 @@ def test_checks_counts_and_lzma2_encoding(spark, files):
     rows = spark.createDataFrame([("a", bytearray(data)), ("e", bytearray(b""))], "path string, content binary")
     got = {r["path"]: codec.lzma2_decode(r["data"], r["prop"]) for r in P.encode_lzma2_files(rows, codec.Encoder(0, block_size=50_000)).collect()}
     assert got == {"a": data, "e": b""}
+
+
+def test_hash_hooks_reach_the_workers(spark):
+    from sluice.functions import checksum as cs
+    from sluice.functions import columns as C
+
+    rows = spark.createDataFrame([(bytearray(b"some data"),)], "content binary").repartition(2)
+    enc = codec.Encoder(0, "crc32")
+    plain = bytes(rows.select(C.xz_compress(F.col("content"), enc).alias("c")).first()["c"])
+    cs.install_hooks(crc32=lambda x: 7)
+    try:
+        packed = rows.select(C.xz_compress(F.col("content"), enc).alias("c"))
+    finally:
+        cs.clear_hooks()
+    hooked = bytes(packed.first()["c"])
+    assert (7).to_bytes(4, "little") in hooked and hooked != plain
+    assert bytes(rows.select(C.xz_decompress(C.xz_compress(F.col("content"), enc)).alias("c")).first()["c"]) == b"some data"
