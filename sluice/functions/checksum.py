@@ -71,41 +71,59 @@ def crc64_combine(a: int, b: int, len_b: int) -> int:
     return combine(64, a, b, len_b)
 
 
-#: Bytes whose contributions to a CRC are looked up at once.
-_SPAN = 4096
+#: A CRC is the exclusive or of what its bytes add, each by its distance from the end; spans of so many bytes are looked
+#: up byte by byte, then groups of so many spans likewise, by the eight bytes of what each came to.
+_SPAN, _GROUP = 256, 16
 
 
 @lru_cache(maxsize=1)
-def _contributions() -> np.ndarray:
-    """What a byte adds to a raw CRC-64 with p bytes after it, at p * 256 + byte, for p below _SPAN."""
+def _contributions() -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """What a byte adds with p bytes after it in its span, at p' * 256 + byte with p' its place; what the byte j of a
+    span's sum adds from the span's place in its group, at (place * 8 + j) * 256 + byte; the same over a whole group."""
     table = np.array(_T64, np.uint64)
-    out = np.empty((_SPAN, 256), np.uint64)
-    out[0] = table
-    for p in range(1, _SPAN):
-        out[p] = table[(out[p - 1] & np.uint64(255)).astype(np.intp)] ^ (out[p - 1] >> np.uint64(8))
-    return out.ravel()
+    span = np.empty((_SPAN, 256), np.uint64)
+    span[-1] = table
+    for p in range(_SPAN - 2, -1, -1):
+        span[p] = table[(span[p + 1] & np.uint64(255)).astype(np.intp)] ^ (span[p + 1] >> np.uint64(8))
 
+    def by_bytes(columns: Sequence[int]) -> np.ndarray:
+        out = np.zeros((8, 256), np.uint64)
+        number = np.arange(256)
+        for i, c in enumerate(columns):
+            out[i // 8] ^= np.where(number >> (i % 8) & 1, np.uint64(c), np.uint64(0))
+        return out
 
-_BEFORE = np.arange(_SPAN - 1, -1, -1, dtype=np.intp) * 256
+    step, columns = _power(64, _SPAN.bit_length() - 1), tuple(1 << i for i in range(64))
+    group = np.empty((_GROUP + 1, 8, 256), np.uint64)
+    for p in range(_GROUP, -1, -1):
+        group[p] = by_bytes(columns)
+        columns = tuple(_times(step, c) for c in columns)
+    return span.ravel(), group[1:].ravel(), group[0].tolist()
 
 
-def crc64_xz(data: bytes) -> int:
-    """CRC-64/XZ. A CRC is the exclusive or of what its bytes add, each by its distance from the end; the state so far
-    counts as if it were in the next eight bytes. So a span of bytes is one look-up of them all."""
+_IN_SPAN = np.arange(_SPAN, dtype=np.intp) * 256
+_IN_GROUP = np.arange(_GROUP * 8, dtype=np.intp).reshape(_GROUP, 8) * 256
+
+
+def crc64_xz(data: bytes, portion: int = 1 << 14) -> int:
+    """CRC-64/XZ. The opening state counts as if it were in the first eight bytes, and zeros before them add nothing, so
+    data is filled up at its front to whole groups."""
     n = len(data)
     if n < 64:
         return _crc64_plain(data)
-    add, state, at = _contributions(), 2**64 - 1, 0
-    raw = np.frombuffer(data, np.uint8)
-    while n - at >= 8:
-        size = min(_SPAN, n - at)
-        place = _BEFORE[_SPAN - size :] + raw[at : at + size]
-        first = np.frombuffer(state.to_bytes(8, "little"), np.uint8)
-        place[:8] = _BEFORE[_SPAN - size : _SPAN - size + 8] + (raw[at : at + 8] ^ first)
-        state = int(np.bitwise_xor.reduce(add[place]))
-        at += size
-    for x in data[at:]:
-        state = _T64[(state ^ x) & 255] ^ state >> 8
+    span, group, whole = _contributions()
+    size = _SPAN * _GROUP
+    raw = np.zeros(-(-n // size) * size, np.uint8)
+    raw[-n:] = np.frombuffer(data, np.uint8)
+    raw[len(raw) - n : len(raw) - n + 8] ^= 255
+    state = 0
+    for at in range(0, len(raw), portion):
+        sums = np.bitwise_xor.reduce(span.take(raw[at : at + portion].reshape(-1, _SPAN) + _IN_SPAN), axis=1)
+        parts = group.take(sums.view(np.uint8).reshape(-1, _GROUP, 8) + _IN_GROUP).reshape(-1, _GROUP * 8)
+        for x in np.bitwise_xor.reduce(parts, axis=1).tolist():
+            for j in range(8):
+                x ^= whole[j][state >> 8 * j & 255]
+            state = x
     return state ^ 2**64 - 1
 
 

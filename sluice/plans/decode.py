@@ -101,9 +101,11 @@ def lzma2_runs(files: DataFrame) -> DataFrame:
 
 
 def packed(units: DataFrame, size: str, target: int = 128 << 20) -> DataFrame:
-    """Rows dealt into tasks of about `target` bytes by the running sum of `size` within a file; large units get a
-    task of their own. The number of tasks is a plan-time total of one number."""
+    """Rows dealt into tasks of about `target` bytes, or less where there would be fewer tasks than two a core, by the
+    running sum of `size` within a file; large units get a task of their own. The number of tasks is a plan-time total of
+    one number."""
     total = units.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
+    target = min(target, max(1 << 20, int(total["n"]) // (2 * units.sparkSession.sparkContext.defaultParallelism)))
     tasks = max(1, min(total["c"], -(-int(total["n"]) // target)))
     if tasks == 1:
         return units.coalesce(1)
