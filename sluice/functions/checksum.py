@@ -173,14 +173,17 @@ def carried(run: Callable) -> Callable:
         return run
 
     def hooked(*arguments):
-        before = dict(_HOOKS)
-        _HOOKS.clear()
-        _HOOKS.update(hooks)
+        # the module's own table: this function travels, and its globals would with it
+        from sluice.functions.checksum import _HOOKS as here
+
+        before = dict(here)
+        here.clear()
+        here.update(hooks)
         try:
             return run(*arguments)
         finally:
-            _HOOKS.clear()
-            _HOOKS.update(before)
+            here.clear()
+            here.update(before)
 
     return hooked
 
