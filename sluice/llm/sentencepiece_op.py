@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from sluice.llm.runtime import documents
 from sluice.llm.token_files import groups
 
-#: Characters that are worked on at once.
-GROUP = 2_000_000
+#: Characters that are worked on at once. Worker processes outlive a stage, so what one holds counts beside later ones.
+GROUP = 1_000_000
 
 SPACE = "▁"
 #: Probabilities are drawn in units of 1 / _GRAIN.
@@ -129,7 +129,7 @@ class Lattices:
     starts anew, so memory stays bounded.
     """
 
-    def __init__(self, model: Model, most_edges: int = 4_000_000):
+    def __init__(self, model: Model, most_edges: int = 2_500_000):
         self.model, self.most = model, most_edges
         self.clear()
 
@@ -157,7 +157,7 @@ class Lattices:
             for k, v in built.items():
                 have, need = self.n[k], self.n[k] + len(v)
                 if need > len(self.held[k]):
-                    self.held[k] = np.concatenate([self.held[k][:have], np.empty(2 * need - have, self.kinds[k])])
+                    self.held[k] = np.concatenate([self.held[k][:have], np.empty(need + need // 4 - have, self.kinds[k])])
                 self.held[k][have:need] = v
                 self.n[k] = need
             self.entry.update(zip(chunks, range(at, at + len(chunks)), strict=True))
@@ -552,6 +552,7 @@ def encode_documents(docs: DataFrame, model: str, *, k: int = 2, alpha: float =
                 seeds = [xxhash.xxh3_64_intdigest(repr(name).encode(), seed=seed) for name in keys[at : at + len(group)]]
                 drawn = top_k(lat.starts(entries), bounds, seeds, lat.flat(), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), lists(raw, ends), pa.array(same), sampled(drawn, lat)], names=["_key", "ids", "decoded", "samples"])
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))
     sample = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"

@@ -196,6 +196,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
                 out = [frame(b"".join((k.to_bytes(8, "little", signed=True), width, e, end))) for k, e in zip(ids[at : at + len(group)], bpe.encode(group), strict=True)]
                 # the record's own newline is the writer's line end
                 yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], names=["value"])
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_t"))
     rows = rows.withColumn("_h", F.xxhash64("_t")).repartitionByRange(files, "_id", "_h").sortWithinPartitions("_id", "_h", "_t")
