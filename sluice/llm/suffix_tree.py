@@ -118,7 +118,7 @@ def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], column: int, chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def grouped(batches: Iterator[pa.RecordBatch], column: int, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batches, and their texts, of about so many bytes."""
     for batch in batches:
         texts = batch.column(column).cast(pa.large_string()).fill_null("")
@@ -295,7 +295,7 @@ def head_scores(docs: DataFrame, tree: Tree, *, key: str, text: str) -> DataFram
         head = shared.value
         of_word, of_run = head.indexes()
         row = TaskContext.get().partitionId() << 36
-        for batch, texts in grouped(batches, 1):
+        for batch, texts in grouped(batches, 1, 1_000_000):
             distinct, which, lengths = token_hashes(texts)
             h = distinct[which]
             doc = np.repeat(np.arange(len(texts)), lengths)
@@ -329,6 +329,7 @@ def head_scores(docs: DataFrame, tree: Tree, *, key: str, text: str) -> DataFram
             out = [batch.column(0), pa.array(row + np.arange(len(texts)), pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(sums(known.astype(float)).astype(np.int64)), pa.array(sums(base)), pa.array(sums(base + more)), *tails]
             row += len(texts)
             yield pa.RecordBatch.from_arrays(out, names=["_key", "_row", "n_tokens", "n_known", "base_score", "score", *(f"tail{k}" for k in range(slices))])
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text))
     return rows.mapInArrow(run, "_key long, _row long, n_tokens long, n_known long, base_score double, score double, " + ", ".join(f"tail{k} array<long>" for k in range(slices)))
