@@ -4,6 +4,8 @@ A read plans one input partition per group of blocks from the files' indexes and
 filters on block_no and out_offset that Spark pushes keep blocks out of the plan. A write puts one stream per
 task down in a folder of the job's own; commit moves the files of the attempts that Spark committed to names with the
 job's id, so jobs that append to one path, at once or in turn, keep out of each other's way; abort removes the folder.
+
+Spark hands options over with keys in lower case; they are kept in its own mapping, which asks by any case.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import CaseInsensitiveDict, DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from sluice.errors import StreamError
 from sluice.operators import codec
@@ -70,7 +72,7 @@ class _Reader(DataSourceReader):
     suffix = ""
 
     def __init__(self, options: dict):
-        self.options = {**options}
+        self.options = CaseInsensitiveDict(options)
         self.target = int(options.get("partitionBytes", 128 << 20))
         self.failfast = options.get("mode", "permissive").lower() == "failfast"
         self.bounds: list[tuple[str, str, int]] = []
@@ -213,7 +215,7 @@ class _Writer(DataSourceWriter):
     task holds is one block (`blockSize`; 16 MiB for LZMA2 where it isn't set), and for .lzma nothing."""
 
     def __init__(self, options: dict, schema, overwrite: bool, suffix: str):
-        self.options, self.suffix, self.overwrite, self.job = {**options}, suffix, overwrite, uuid.uuid4().hex
+        self.options, self.suffix, self.overwrite, self.job = CaseInsensitiveDict(options), suffix, overwrite, uuid.uuid4().hex
         names = [f.name for f in schema.fields if f.dataType.typeName() in ("binary", "string")]
         if not names:
             raise ValueError("a binary or string column is needed")
@@ -285,7 +287,7 @@ class XzStreamReader(DataSourceStreamReader):
     query reads the same files in the same batch."""
 
     def __init__(self, options: dict):
-        self.options = {**options}
+        self.options = CaseInsensitiveDict(options)
         self.most = int(options.get("maxFilesPerTrigger", 100))
         path = options["path"]
         self.fs, inner = pafs.FileSystem.from_uri(uri_of(path))

@@ -163,6 +163,22 @@ def test_writers(spark, tmp_path):
     assert len(got.split()) == 5
 
 
+def test_options_reach_writers_and_readers_in_any_case(spark, tmp_path):
+    """Spark passes keys in lower case: blocks have their size, tasks theirs, and bounds hold."""
+    register(spark)
+    rows = spark.range(2000, numPartitions=1).select(F.encode(F.lpad(F.col("id").cast("string"), 10, " "), "UTF-8").alias("data"))
+    for name in ("xz", "lzma2"):
+        out = str(tmp_path / name)
+        rows.write.format(name).option("preset", 0).option("blockSize", 1000).mode("append").save(out)
+        read = spark.read.format(name).option("partitionBytes", 5000)
+        got = read.load(out)
+        assert [len(r["data"]) for r in got.orderBy("out_offset").collect()] == [1000] * 20
+        assert got.rdd.getNumPartitions() == 4
+        assert read.option("planFiles", 0).load(out).rdd.getNumPartitions() == 1
+    kinds = spark.read.format("xz").option("maxUnpackBytes", 19_999).load(str(tmp_path / "xz")).select("error.kind").distinct().collect()
+    assert [r.kind for r in kinds] == ["TooMuchOutput"]
+
+
 def test_appends_keep_what_is_there(spark, tmp_path):
     """Two appends, two jobs at once, and a task that is tried again: every row is there once."""
     from concurrent.futures import ThreadPoolExecutor
