@@ -22,7 +22,7 @@ import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from math import exp
 
 import numpy as np
@@ -36,7 +36,7 @@ from sluice.llm.runtime import documents
 from sluice.llm.token_files import groups
 
 #: Characters that are worked on at once. Worker processes outlive a stage, so what one holds counts beside later ones.
-GROUP = 1_000_000
+GROUP = 700_000
 
 SPACE = "▁"
 #: Probabilities are drawn in units of 1 / _GRAIN.
@@ -64,6 +64,14 @@ def slot(h: np.ndarray, length: int, salt: int) -> np.ndarray:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS = 20
+#: In place of a piece's number: no piece, but the beginning of one.
+_BEGINS = -2
+
+
+def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each span, `count` numbers of it, one span after the other."""
+    ends = np.cumsum(count, dtype=np.int64)
+    return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Model:
@@ -84,6 +92,8 @@ class Model:
                 pieces.setdefault(len(p), []).append((p, i))
         self.longest = max(pieces)
         known = [p for items in pieces.values() for p, _ in items]
+        for begin in {p[:k] for p in known for k in range(1, len(p))}.difference(known):
+            pieces.setdefault(len(begin), []).append((begin, _BEGINS))
         #: whether texts can be cut at line breaks, and before punctuation after a letter or digit
         self.cut_lines = not any("\n" in p for p in known)
         self.cut_tails = not any((a.isalpha() or a in string.digits) and b in string.punctuation for p in known for a, b in zip(p, p[1:], strict=False))
@@ -102,19 +112,21 @@ class Model:
             places = [slot(h, length, salt).tolist() for salt in (0, 1)]
             for k, (_, i) in enumerate(items):
                 for (ids, keys), at in zip(self.tables, (places[0][k], places[1][k]), strict=True):
-                    if ids[at] < 0:
+                    if ids[at] == -1:
                         ids[at], keys[at] = i, h[k] ^ np.uint64(length)
                         break
                 else:
                     self.rest[(length, int(h[k]))] = i
 
     def find(self, h: np.ndarray, length: int) -> np.ndarray:
-        """Piece with this hash and length, or -1."""
+        """Piece with this hash and length; else _BEGINS if it is what a longer one begins with, or -1."""
         key = h ^ np.uint64(length)
         out = np.full(len(h), -1, np.int32)
+        left = np.arange(len(h))
         for salt, (ids, keys) in enumerate(self.tables):
-            at = slot(h, length, salt)
-            out = np.where((out < 0) & (keys[at] == key), ids[at], out)
+            at = slot(h[left], length, salt)
+            out[left] = np.where(keys[at] == key[left], ids[at], -1)
+            left = left[out[left] == -1]
         for (n, value), i in self.rest.items():
             if n == length:
                 out[h == np.uint64(value)] = i
@@ -126,7 +138,7 @@ class Lattices:
     first; `cum` is their cumulative probability in units of 1 / _GRAIN.
 
     Many chunks are built at once, position by position from their ends. Holds about `most_edges` edges; then it
-    starts anew, so memory stays bounded.
+    forgets what was wanted once, and of the rest what was wanted least, so memory stays bounded.
     """
 
     def __init__(self, model: Model, most_edges: int = 2_500_000):
@@ -137,23 +149,24 @@ class Lattices:
         self.entry: dict[str, int] = {}  # chunk -> its number; from there its first state and its encoding
         self.several: list[tuple[int, ...]] = []  # pieces of edges that are more than one piece
         self.bytes_of: dict[int, int] = {}
-        self.kinds = {"cum": np.int32, "logp": np.float64, "to": np.int32, "piece": np.int32, "first": np.int32, "count": np.int32, "start": np.int32, "ids": np.int32, "end": np.int64}
+        self.kinds = {"cum": np.int32, "logp": np.float64, "to": np.int32, "piece": np.int32, "first": np.int32, "count": np.int32, "start": np.int32, "ids": np.int32, "end": np.int64, "uses": np.int32}
         self.n = dict.fromkeys(self.kinds, 0)
         self.held = {k: np.empty(1 << 12, t) for k, t in self.kinds.items()}
 
     def learn(self, wanted: list[str]) -> np.ndarray:
         """Numbers of these distinct chunks, valid until the next call."""
         if self.n["cum"] > self.most:
-            self.clear()
-        found = list(map(self.entry.get, wanted))
-        new = [k for k, e in enumerate(found) if e is None]
-        if new:
-            chunks = [wanted[k] for k in new]
+            self.forget()
+        found = np.fromiter(map(self.entry.get, wanted, repeat(-1)), np.int64, len(wanted))
+        self.held["uses"][found[found >= 0]] += 1
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            chunks = [wanted[k] for k in new.tolist()]
             at = len(self.entry)
             lists = self.encoded(chunks)
             size = np.fromiter(map(len, lists), np.int64, len(lists))
             built = self._built(chunks)
-            built |= {"ids": np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), "end": self.n["ids"] + np.cumsum(size)}
+            built |= {"ids": np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), "end": self.n["ids"] + np.cumsum(size), "uses": np.ones(len(chunks), np.int32)}
             for k, v in built.items():
                 have, need = self.n[k], self.n[k] + len(v)
                 if need > len(self.held[k]):
@@ -161,9 +174,34 @@ class Lattices:
                 self.held[k][have:need] = v
                 self.n[k] = need
             self.entry.update(zip(chunks, range(at, at + len(chunks)), strict=True))
-            for k in new:
-                found[k] = self.entry[wanted[k]]
-        return np.array(found, np.int64)
+            found[new] = np.arange(at, at + len(chunks))
+        return found
+
+    def forget(self) -> None:
+        """Keeps the chunks that most calls wanted, two at least, with half of the edges at most. What they keep of their
+        counts is half, so that new ones get their turn."""
+        held = {k: v[: self.n[k]] for k, v in self.held.items()}
+        start, count, uses, end = (held[k] for k in ("start", "count", "uses", "end"))
+        size, n_ids = np.diff(start, append=len(count)), np.diff(end, prepend=0)
+        order = np.argsort(-uses, kind="stable")
+        keep = np.sort(order[(uses[order] > 1) & (np.cumsum(np.add.reduceat(count, start)[order]) <= self.most // 2)])
+        names = list(self.entry)
+        several, bytes_of = self.several, self.bytes_of
+        self.clear()
+        if not len(keep) or len(several) > 100_000:
+            return
+        self.several, self.bytes_of = several, bytes_of
+        self.entry = {names[k]: i for i, k in enumerate(keep.tolist())}
+        state = spans(start[keep], size[keep])
+        edge = spans(held["first"][state], count[state])
+        place = np.full(len(count) + 1, -1, np.int32)  # the last one is for edges that end a chunk, whose `to` is -1
+        place[state] = np.arange(len(state))
+        ends = lambda x: np.cumsum(x, dtype=np.int64)
+        # each goes when what is kept of it is there
+        new = {k: held.pop(k)[edge] for k in ("logp", "cum", "piece")} | {"to": place[held["to"][edge]], "count": count[state], "first": ends(count[state]) - count[state]}
+        new |= {"start": ends(size[keep]) - size[keep], "ids": held["ids"][spans(end[keep] - n_ids[keep], n_ids[keep])], "end": ends(n_ids[keep]), "uses": uses[keep] // 2}
+        self.held = {k: v.astype(self.kinds[k], copy=False) for k, v in new.items()}
+        self.n = {k: len(v) for k, v in new.items()}
 
     def starts(self, entries: np.ndarray) -> np.ndarray:
         return self.held["start"][entries]
@@ -205,10 +243,9 @@ class Lattices:
         src, length, piece = [], [], []
         at, h = place, None
         for k in range(1, min(m.longest, int(size.max())) + 1):
-            on = left[at] >= k
-            at, h = at[on], None if h is None else h[on]
             h = hashed(codes, at, k, h)
             ids = m.find(h, k)
+            on = np.flatnonzero((ids != -1) & (left[at] > k))
             if k == 1:
                 for p in np.flatnonzero(ids < 0).tolist():
                     ids[p] = self._byte_edge(int(codes[p]))
@@ -218,8 +255,11 @@ class Lattices:
             src.append(at[hit])
             length.append(np.full(len(hit), k))
             piece.append(ids[hit])
+            # no piece is longer than what begins none
+            at, h = at[on], h[on]
         src, length, piece = np.concatenate(src), np.concatenate(length), np.concatenate(piece)
-        order = np.lexsort((-length, src, left[src]))
+        # by distance to the end, place and length, the longest first; one number of each edge, all of them different
+        order = np.argsort((left[src] * len(codes) + src) * (m.longest + 1) + (m.longest - length))
         src, length, piece = src[order], length[order], piece[order]
         score = np.where(piece >= 0, m.score[np.maximum(piece, 0)], 0.0)
         for e in np.flatnonzero(piece < 0).tolist():

@@ -292,6 +292,50 @@ def test_texts_are_cut_where_no_piece_spans(pieces):
         assert not decoded_equal(raw, ends[1:], [t + "?" for t in group], m).any()
 
 
+def test_a_full_table_keeps_the_chunks_that_are_wanted(pieces):
+    """Word after word is new and one set of chunks comes back: those aren't built again, and whatever is forgotten,
+    encodings, lattices and samples are those of a table that holds everything."""
+    import random
+
+    from sluice.llm.sentencepiece_op import Lattices, Model, top_k
+
+    m, rng = Model(pieces), random.Random(5)
+    some = ["\u2581the", "\n", "\u2581B\u00e9\u6f22\U0001f600", "\u2581", ".x", "\u2581entz\u00f6st"]
+    small, whole, built = Lattices(m, most_edges=2_000), Lattices(m, most_edges=10**9), []
+    build = small._built
+    small._built = lambda chunks: (built.extend(chunks), build(chunks))[1]
+    seen = 0
+    for k in range(120):
+        wanted = sorted({*some, *("\u2581" + "".join(rng.choice("abcdeo\u00df\u6f22") for _ in range(rng.randrange(1, 12))) for _ in range(20))})
+        rng.shuffle(wanted)
+        got = []
+        for lat in (small, whole):
+            at = lat.learn(wanted)
+            raw, ends = lat.best(at)
+            drawn = top_k(lat.starts(at), np.arange(len(at) + 1), [k + 7 * j for j in range(len(at))], lat.flat(), 3)
+            got.append([raw.tolist(), ends.tolist(), [([(g, p, lat.pieces(e)[0].tolist()) for g, p, e in found], floor) for found, floor in drawn]])
+        assert got[0] == got[1]
+        seen = max(seen, small.n["cum"])
+    assert seen < 2_000 + 2_000 and whole.n["cum"] > 20_000
+    assert all(built.count(c) <= 2 for c in some)
+
+
+def test_pieces_are_found_by_what_they_begin_with(pieces):
+    """find() tells pieces, beginnings of pieces and the rest apart."""
+    from sluice.llm.sentencepiece_op import Model, hashed
+
+    m = Model(pieces)
+    every = {m.sp.id_to_piece(i): i for i in range(m.sp.get_piece_size()) if not (m.sp.is_byte(i) or m.sp.is_control(i) or m.sp.is_unknown(i) or m.sp.is_unused(i))}
+    begins = {p[:k] for p in every for k in range(1, len(p))}
+    for length in range(1, m.longest + 1):
+        asked = sorted({p[:length] for p in every if len(p) >= length} | {p[:length][:-1] + "\u0416" for p in every if len(p) >= length})
+        codes = np.array([ord(c) for x in asked for c in x], np.uint64)
+        h = None
+        for k in range(1, length + 1):
+            h = hashed(codes, np.arange(len(asked)) * length, k, h)
+        assert m.find(h, length).tolist() == [every.get(x, -2 if x in begins else -1) for x in asked]
+
+
 def test_samples_follow_the_lattice(pieces):
     from sluice.llm.sentencepiece_op import Lattices, Model, chunks_of, top_k
 
