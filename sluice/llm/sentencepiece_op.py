@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.runtime import documents
+from sluice.llm.runtime import WhileUsed, documents, given_back
 from sluice.llm.token_files import groups
 
 #: Characters that are worked on at once. Worker processes outlive a stage, so what one holds counts beside later ones.
@@ -537,10 +537,12 @@ def _model(path: str, alpha: float) -> Model:
     return Model(path, alpha)
 
 
-@lru_cache(maxsize=2)
-def _lattices(path: str, alpha: float) -> Lattices:
-    """One table per worker process: what it remembers serves all of the process's tasks."""
-    return Lattices(_model(path, alpha))
+_TABLES = WhileUsed(lambda path, alpha: Lattices(Model(path, alpha)))
+
+
+def _lattices(path: str, alpha: float):
+    """One table per worker process: what it remembers serves all of the process's tasks, until it has none."""
+    return _TABLES(path, alpha)
 
 
 def decoded_equal(ids: np.ndarray, ends: np.ndarray, texts: list[str], model: Model) -> np.ndarray:
@@ -579,20 +581,21 @@ def encode_documents(docs: DataFrame, model: str, *, k: int = 2, alpha: float =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = _lattices(model, alpha)
-        m = lat.model
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, group in groups(texts, GROUP):
-                distinct, which, bounds = chunked(group, m)
-                entries = lat.learn(distinct)[which] if distinct else which
-                raw, ends = lat.best(entries)
-                ends = np.concatenate([[0], ends])[bounds[1:]]
-                same = decoded_equal(raw, ends, group, m)
-                seeds = [xxhash.xxh3_64_intdigest(repr(name).encode(), seed=seed) for name in keys[at : at + len(group)]]
-                drawn = top_k(lat.starts(entries), bounds, seeds, lat.flat(), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), lists(raw, ends), pa.array(same), sampled(drawn, lat)], names=["_key", "ids", "decoded", "samples"])
-        pa.default_memory_pool().release_unused()
+        with _lattices(model, alpha) as lat:
+            m = lat.model
+            for batch in batches:
+                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for at, group in groups(texts, GROUP):
+                    distinct, which, bounds = chunked(group, m)
+                    entries = lat.learn(distinct)[which] if distinct else which
+                    raw, ends = lat.best(entries)
+                    ends = np.concatenate([[0], ends])[bounds[1:]]
+                    same = decoded_equal(raw, ends, group, m)
+                    seeds = [xxhash.xxh3_64_intdigest(repr(name).encode(), seed=seed) for name in keys[at : at + len(group)]]
+                    drawn = top_k(lat.starts(entries), bounds, seeds, lat.flat(), k)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), lists(raw, ends), pa.array(same), sampled(drawn, lat)], names=["_key", "ids", "decoded", "samples"])
+        del lat, m
+        given_back()
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))
     sample = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"

@@ -657,6 +657,34 @@ def test_skip_edges_carry_evidence():
 # ---- 8 language model
 
 
+def test_idle_workers_forget_their_tables(spark, docs):
+    """Worker processes outlive the stage, so the tables and the model must not stay in them."""
+    import time
+
+    import public_tokenizers
+
+    from sluice.llm.sentencepiece_op import encode_documents
+
+    encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).select("ids").collect()
+    time.sleep(2)
+
+    def held(batches):
+        import gc
+        import sys
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        there = sys.modules.get("sluice.llm.sentencepiece_op")
+        n = sum(isinstance(x, (there.Lattices, there.Model)) for x in gc.get_objects()) if there else 0
+        yield pa.RecordBatch.from_pydict({"used": [there is not None], "n": [n]})
+
+    got = spark.range(64, numPartitions=64).mapInArrow(held, "used boolean, n long").collect()
+    assert any(r["used"] for r in got)
+    assert sum(r["n"] for r in got) == 0
+
+
 def test_lm_scores(spark, odd, empty):
     from sluice.llm.runtime import key_crc
     from sluice.llm.suffix_tree import op8_lm_scores
